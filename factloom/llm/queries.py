@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import quality, sharding, simhash
+from factloom.llm import lm, quality, sharding, simhash, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 4))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -23,5 +33,52 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op7_quality": op7_quality, "op9_sharding": op9_sharding, "op10_simhash": op10_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_substrings": op3_substrings,
+    "op7_quality": op7_quality,
+    "op8_lm": op8_lm,
+    "op9_sharding": op9_sharding,
+    "op10_simhash": op10_simhash,
+}
+
+_WORDS = r"""
+docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"""
+
+ORACLES: dict[str, str] = {
+    "op3_substrings": f"""
+WITH {_WORDS},
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs)),
+firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM windows JOIN firsts USING (k), range(13) AS r(j) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (
+  SELECT words.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS text
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op8_lm": f"""
+WITH {_WORDS},
+grams AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+one AS (SELECT c AS x, count(*) AS n FROM grams GROUP BY c),
+two AS (SELECT b AS x, c AS y, count(*) AS n FROM grams WHERE i > 1 GROUP BY b, c),
+three AS (SELECT a AS x, b AS y, c AS z, count(*) AS n FROM grams WHERE i > 2 GROUP BY a, b, c),
+scored AS (
+  SELECT doc_id,
+    CASE WHEN three.n >= 2 THEN 3 WHEN bc.n >= 2 THEN 2 ELSE 1 END AS k,
+    CASE WHEN three.n >= 2 THEN ln(three.n / ab.n)
+         WHEN bc.n >= 2 THEN ln(bc.n / ub.n) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+         ELSE ln(uc.n / (SELECT sum(n) FROM one)) + least(i - 1, 2) * ln(0.4) END AS s
+  FROM grams
+  LEFT JOIN three ON three.x = a AND three.y = b AND three.z = c
+  LEFT JOIN two AS ab ON ab.x = a AND ab.y = b
+  LEFT JOIN two AS bc ON bc.x = b AND bc.y = c
+  LEFT JOIN one AS ub ON ub.x = b
+  LEFT JOIN one AS uc ON uc.x = c),
+summed AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 3) AS n_order3, count(*) FILTER (WHERE k = 2) AS n_order2,
+         count(*) FILTER (WHERE k = 1) AS n_order1, sum(s) AS s FROM scored GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_order3, 0) AS n_order3, coalesce(n_order2, 0) AS n_order2,
+       coalesce(n_order1, 0) AS n_order1, round(coalesce(s, 0.0), 4) AS log_score
+FROM docs LEFT JOIN summed USING (doc_id)""",
+}
