@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import lm, quality, sharding, simhash, substrings
+from factloom.llm import langid, lm, quality, sharding, simhash, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.drop_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,6 +38,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_langid": op2_langid,
     "op3_substrings": op3_substrings,
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
