@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import langid, lm, quality, sharding, simhash, substrings
+from factloom.llm import langid, lm, quality, secrets, sharding, simhash, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 4))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_langid": op2_langid,
     "op3_substrings": op3_substrings,
+    "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
     "op9_sharding": op9_sharding,
