@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import langid, lm, quality, secrets, sharding, simhash, substrings
+from factloom.llm import decontaminate, langid, lm, quality, secrets, sharding, simhash, substrings
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_substrings": op3_substrings,
     "op5_secrets": op5_secrets,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
     "op9_sharding": op9_sharding,
