@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, langid, lm, quality, secrets, sharding, simhash, substrings
+from factloom.llm import decontaminate, langid, lm, quality, secrets, sentencepiece_codec, sharding, simhash, substrings
+
+
+#: A public SentencePiece model; only the driver opens it.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    coded = sentencepiece_codec.encode_decode(documents(spark, sf_dir), sentencepiece_codec.load(model))
+    return coded.select("doc_id", "ids", "n_tokens", "n_bytes", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -46,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
     "op3_substrings": op3_substrings,
     "op5_secrets": op5_secrets,
