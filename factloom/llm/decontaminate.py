@@ -212,3 +212,11 @@ def _item_words(items: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], ["item", "item_id", "words"])
 
     return items.select("item", "item_id", "text").mapInArrow(run, "item long, item_id long, words array<long>")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no leak is found."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, min_score)
+    found = materialize(found.select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    return docs.join(broadcast_if_small(found), key == F.col("leaked"), "left_anti")

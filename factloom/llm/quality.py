@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.rows import drop_rows
 from factloom.plans.shared import materialize
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -27,17 +28,19 @@ KEEP, REJECT, ABSTAIN = 1, -1, 0
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id`` and the counts that the rules look at."""
+    """``docs(doc_id, text)`` -> ``doc_id``, ``text_id`` (a hash) and the counts that the rules look at."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), text.alias("text"))
     d = d.select(
         "doc_id",
+        "text_id",
         "text",
         F.array_remove(F.split("text", BLANK, -1), "").alias("words"),
         F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     d = d.select(
         "doc_id",
+        "text_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -120,8 +123,8 @@ def _logistic(x: float) -> float:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> a row for each row: the counts, ``base_failed``,
-    ``quality`` (posterior probability) and ``kept``."""
+    """``docs(doc_id, text, ...)`` -> a row for each row: ``doc_id``, ``text_id``, the counts,
+    ``base_failed``, ``kept`` and ``quality`` (posterior probability)."""
     votes = rules()
     seen = materialize(measures(docs), "measures")
     seen = seen.select("*", *[v.alias(f"vote_{k}") for k, v in votes.items()])
@@ -134,4 +137,9 @@ def judge(docs: DataFrame) -> DataFrame:
         odds = odds + F.when(F.col(name) == KEEP, w[KEEP]).when(F.col(name) == REJECT, w[REJECT]).otherwise(w[ABSTAIN])
     failed, quality = base_failed(), 1 / (1 + F.exp(-odds))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return seen.select("doc_id", *counts, failed.alias("base_failed"), (~failed & (quality >= 0.5)).alias("kept"), quality.alias("quality"))
+    return seen.select("doc_id", "text_id", *counts, failed.alias("base_failed"), (~failed & (quality >= 0.5)).alias("kept"), quality.alias("quality"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    return drop_rows(docs, judge(docs).where(~F.col("kept")).select("doc_id", "text_id"))

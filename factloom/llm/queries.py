@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, langid, lm, quality, secrets, sentencepiece_codec, sharding, simhash, substrings
+from factloom.llm import decontaminate, langid, lines, lm, quality, secrets, sentencepiece_codec, sharding, simhash, substrings
 
 
 #: A public SentencePiece model; only the driver opens it.
@@ -34,6 +34,11 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 4))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(documents(spark, sf_dir))
+    return found.select("row.doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"), "lines")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
     "op3_substrings": op3_substrings,
+    "op4_lines": op4_lines,
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,

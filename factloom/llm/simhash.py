@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.rows import drop_rows
 from factloom.plans.components import connected_components
 from factloom.plans.shared import materialize
 
@@ -53,15 +54,17 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp)``, a row for each row."""
+    """``docs(doc_id, text)`` -> ``(doc_id, text_id, fp)``, a row for each row; ``text_id`` is a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = [fingerprint(t.as_py() or b"") for t in texts]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
+    return rows.mapInArrow(run, "doc_id long, text_id long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -201,12 +204,25 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, shard: int = SH
     return rows.mapInArrow(lambda it: _search(it, radius), "a long, b long").distinct()
 
 
+def _classes(docs: DataFrame, radius: int, shard: int) -> DataFrame:
+    """``(doc_id, text_id, fp, root)`` of each row; root is one fingerprint of its component."""
+    own = materialize(fingerprints(docs), "fingerprints")
+    fps = materialize(own.select("fp").distinct(), "distinct")
+    roots = connected_components(link_fingerprints(fps, radius, shard)).withColumnRenamed("node", "fp")
+    fps = fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return own.join(fps, "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fingerprint, component_id)``, a row for each row."""
-    own = materialize(fingerprints(docs), "fingerprints")
-    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = connected_components(link_fingerprints(fps.select("fp"), radius, shard))
-    fps = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = fps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = fps.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    own = _classes(docs, radius, shard)
+    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return own.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first in their component, in
+    order of doc_id (null last) and text hash."""
+    own = _classes(docs, radius, shard).withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "text_id"))
+    first = own.groupBy("root").agg(F.min("place").alias("first"))
+    return drop_rows(docs, own.join(first, "root").where(~F.col("place").eqNullSafe(F.col("first"))).select("doc_id", "text_id"))
