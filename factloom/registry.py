@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None, views: tuple[str, ...] = (), rec
     return add
 
 
-MODULES = ("operators.filters", "operators.windows", "operators.graph", "operators.aggregates", "operators.joins", "operators.merge", "operators.reports", "operators.search", "operators.extract")
+MODULES = ("operators.filters", "operators.windows", "operators.graph", "operators.aggregates", "operators.joins", "operators.merge", "operators.reports", "operators.search", "operators.extract", "streaming.upkeep")
 
 for _module in MODULES:
     import_module(f"factloom.{_module}")
