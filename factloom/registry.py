@@ -1,13 +1,12 @@
 """Registered queries and their SQL oracles.
 
-Each module of ``operators`` registers what it implements with ``query``; importing this
-module loads them all.
+Each module of ``operators`` registers what it implements with ``query``; ``catalog`` loads
+them all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +26,3 @@ def query(name: str, oracle: str | None = None, views: tuple[str, ...] = (), rec
         return f
 
     return add
-
-
-MODULES = ("operators.filters", "operators.windows", "operators.graph", "operators.aggregates", "operators.joins", "operators.merge", "operators.reports", "operators.search", "operators.extract", "streaming.upkeep")
-
-for _module in MODULES:
-    import_module(f"factloom.{_module}")

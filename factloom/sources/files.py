@@ -23,7 +23,7 @@ def read_graphs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = raw.select("*", F.col("_metadata.file_path").alias("file"))
     good = raw.where("_corrupt is null")
     rows = lambda c: good.select("file", F.posexplode(c).alias("seq", "x")).select("file", "seq", "x.*")
-    return {c: rows(c) for c in ("nodes", "edges", "layers")} | {"rejects": raw.where("_corrupt is not null").select("file")}
+    return {c: rows(c) for c in ("nodes", "edges", "layers")} | {"rejects": raw.where("_corrupt is not null and nodes is null").select("file")}
 
 
 def census(spark: SparkSession, root: str) -> DataFrame:
