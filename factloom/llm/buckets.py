@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkernels as tk
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 
-def count_buckets(docs: DataFrame) -> int:
+def count_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """As many as the text needs, and no fewer than the session's shuffle partitions."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
 
 
 def deal(docs: DataFrame, buckets: int) -> DataFrame:

@@ -6,7 +6,9 @@ only their first ``WINDOW`` words matter, so a tree is cut at that depth.
 
 1. Each bucket of documents sends the hashes of its windows to hash ranges, which mark
    those that come in two documents or more. Every other suffix is a leaf on its own and
-   is left out; a false mark costs time, not correctness.
+   is left out; a false mark costs time, not correctness. Hashes of whole documents go
+   along: of a text that comes whole in an earlier document every window does, so a copy
+   is settled here and adds nothing to the trees.
 2. Each marked suffix, once per bucket, goes to the group of its prefix: as many leading
    words as it takes to reach ``PREFIX_BYTES``, so that prefixes of short frequent words
    grow longer. Groups are hash ranges of prefixes and hold a share of the input.
@@ -33,11 +35,14 @@ from factloom.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 
 WINDOW = 13
 PREFIX_BYTES = 12
-_SHORT = 40  # bits of the hashes of step 1
-
-MARKS = "bucket int, part int, hashes binary, twice binary"
-SUFFIXES = "bucket int, part int, suffixes binary, docs binary"
-NODES = "bucket int, part int, hashes binary, docs binary"
+BUCKET_BYTES = 8 << 20
+BUCKETS_A_GROUP = 4  # larger groups hold more suffixes that overlap, which pack better
+_SHORT = 40  # bits of the window hashes of step 1
+_SLICE = 1 << 16
+
+MARKS = "bucket int, part int, hashes binary, twice binary, texts binary, docs binary"
+SUFFIXES = "bucket int, part int, suffixes binary, docs binary, copies binary"
+NODES = "bucket int, part int, hashes binary, docs binary, copies binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
 
 
@@ -50,6 +55,17 @@ class Windows(Bucket):
         counted = self.owner < self.known
         self.hash, self.at, self.owner = self.hash[counted], self.at[counted], self.owner[counted]
 
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of whole documents of a window or more, ascending, and whose they are."""
+        own = np.flatnonzero(np.diff(self.first)[: self.known] >= self.size)
+        if not len(own):
+            return np.empty(0, np.uint64), own
+        place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], np.diff(self.first))
+        total = np.concatenate([[0], np.cumsum(tk.mix(self.hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))]).astype(np.uint64)
+        h = tk.mix(total[self.first[own + 1]] - total[self.first[own]])
+        order = np.argsort(h, kind="stable")
+        return h[order], own[order]
+
     def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct short hashes, the place of each window's, and which are in two documents."""
         values, place = np.unique(self.hash >> np.uint64(64 - _SHORT), return_inverse=True)
@@ -65,18 +81,36 @@ def _ask(parts: int, window: int):
         bucket = Windows(table, window)
         values, _, twice = bucket.short()
         cuts = split(values, parts, _SHORT)
-        return pa.table({"bucket": pa.array([key[0].as_py()] * parts, pa.int32()), "part": pa.array(range(parts), pa.int32()), "hashes": pa.array([pack_sorted(values[a:b]) for a, b in cuts], pa.binary()), "twice": pa.array([np.packbits(twice[a:b]).tobytes() for a, b in cuts], pa.binary())})
+        whole, owner = bucket.whole()
+        ids = bucket.doc_ids[owner].astype("<i8")
+        texts = split(whole, parts)
+        columns = {
+            "hashes": [pack_sorted(values[a:b]) for a, b in cuts],
+            "twice": [np.packbits(twice[a:b]).tobytes() for a, b in cuts],
+            "texts": [pack_sorted(whole[a:b]) for a, b in texts],
+            "docs": [pack(ids[a:b]) for a, b in texts],
+        }
+        return pa.table({"bucket": pa.array([key[0].as_py()] * parts, pa.int32()), "part": pa.array(range(parts), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
 
     return run
 
 
 def _mark(key: tuple, table: pa.Table) -> pa.Table:
+    """Which windows are in two documents, and the first document of each whole text."""
     lists = [unpack_sorted(b) for b in table.column("hashes").to_pylist()]
     own = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(v)).astype(bool) for b, v in zip(table.column("twice").to_pylist(), lists, strict=True)]
     _, place, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     cut = np.cumsum([0, *map(len, lists)])
     both = [np.packbits((count[place[a:b]] > 1) | t).tobytes() for a, b, t in zip(cut[:-1], cut[1:], own, strict=True)]
-    return table.set_column(2, "hashes", pa.array([b""] * len(lists), pa.binary())).set_column(3, "twice", pa.array(both, pa.binary()))
+    texts = [unpack_sorted(b) for b in table.column("texts").to_pylist()]
+    docs = np.concatenate([unpack(b, "<i8") for b in table.column("docs").to_pylist()])
+    values, place = np.unique(np.concatenate(texts), return_inverse=True)
+    least = np.full(len(values), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, docs)
+    cut = np.cumsum([0, *map(len, texts)])
+    firsts = [pack(least[place[a:b]].astype("<i8")) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    none = pa.array([b""] * len(lists), pa.binary())
+    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "hashes": none, "twice": pa.array(both, pa.binary()), "texts": none, "docs": pa.array(firsts, pa.binary())})
 
 
 def _prefix_hashes(bucket: Bucket, at: np.ndarray, window: int) -> np.ndarray:
@@ -93,33 +127,40 @@ def _prefix_hashes(bucket: Bucket, at: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
-def _send(parts: int, window: int):
+def _send(parts: int, groups: int, window: int):
     def run(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         bucket = Windows(docs, window)
         values, place, _ = bucket.short()
         cuts = split(values, parts, _SHORT)
-        marked = np.zeros(len(values), bool)
-        for part, bits in zip(marks.column("part").to_pylist(), marks.column("twice").to_pylist(), strict=True):
+        whole, owner = bucket.whole()
+        texts = split(whole, parts)
+        marked, copy = np.zeros(len(values), bool), np.zeros(len(bucket.ids), bool)
+        for part, bits, firsts in zip(*(marks.column(c).to_pylist() for c in ("part", "twice", "docs")), strict=True):
             a, b = cuts[part]
             marked[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        some = np.flatnonzero(marked[place]) if len(place) else place
+            who = owner[slice(*texts[part])]
+            copy[who] = unpack(firsts, "<i8") < bucket.doc_ids[who]
+        some = np.flatnonzero(marked[place] & ~copy[bucket.owner]) if len(place) else place
         _, lead = np.unique(bucket.hash[some], return_index=True)
-        lead = some[lead]
-        group = _prefix_hashes(bucket, bucket.at[lead], window) % np.uint64(parts)
+        lead = np.sort(some[lead])
+        group = _prefix_hashes(bucket, bucket.at[lead], window) % np.uint64(groups)
         order = np.argsort(group, kind="stable")
         lead, group = lead[order], group[order]
         text, start, end = bucket.joined()
         text = text.tobytes()
-        cut = np.searchsorted(group, np.arange(parts + 1, dtype=np.uint64))
-        rows: dict[str, list] = {"part": [], "suffixes": [], "docs": []}
-        for part in np.flatnonzero(np.diff(cut)):
+        cut = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+        copies = pack(np.flatnonzero(copy).astype("<i4"))
+        rows: dict[str, list] = {"part": [], "suffixes": [], "docs": [], "copies": []}
+        for part in np.flatnonzero(np.diff(cut)).tolist() or [0]:
             own = lead[cut[part] : cut[part + 1]]
             at = bucket.at[own]
-            suffixes = sorted(zip([text[a:b] for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True)], bucket.doc_ids[bucket.owner[own]].tolist(), strict=True))
-            rows["part"].append(int(part))
-            rows["suffixes"].append(zstandard.ZstdCompressor(level=3).compress(b"\n".join(s for s, _ in suffixes)))
-            rows["docs"].append(pack(np.array([d for _, d in suffixes], "<i8")))
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows["part"]), pa.int32()), "part": pa.array(rows["part"], pa.int32()), "suffixes": pa.array(rows["suffixes"], pa.binary()), "docs": pa.array(rows["docs"], pa.binary())})
+            suffixes = [text[a:b] for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True)]
+            rows["part"].append(part)
+            rows["suffixes"].append(zstandard.ZstdCompressor(level=6).compress(b"\n".join(suffixes)))
+            rows["docs"].append(pack(bucket.doc_ids[bucket.owner[own]].astype("<i8")))
+            rows["copies"].append(copies)  # comes back with the first answer
+            copies = b""
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows["part"]), pa.int32()), "part": pa.array(rows["part"], pa.int32())} | {c: pa.array(rows[c], pa.binary()) for c in ("suffixes", "docs", "copies")})
 
     return run
 
@@ -146,25 +187,34 @@ def deep_nodes(suffixes: list[bytes], window: int) -> np.ndarray:
     return out
 
 
+def _suffix_hashes(suffixes: list[bytes], window: int) -> np.ndarray:
+    out = [np.empty(0, np.uint64)]
+    for k in range(0, len(suffixes), _SLICE):
+        data, offsets = tk.utf8(pa.array(suffixes[k : k + _SLICE], pa.large_binary()))
+        starts, ends, first = tk.word_spans(data, offsets)
+        out.append(tk.window_hashes(tk.word_hashes(data, starts, ends), first, window)[0])
+    return np.concatenate(out)
+
+
 def _grow(window: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        lists = [zstandard.ZstdDecompressor().decompress(b).split(b"\n") for b in table.column("suffixes").to_pylist()]
+        """A group's subtree: the first document of each deep node, for all that asked."""
+        lists = [[s for s in zstandard.ZstdDecompressor().decompress(b).split(b"\n") if s] for b in table.column("suffixes").to_pylist()]
         docs = np.concatenate([unpack(b, "<i8") for b in table.column("docs").to_pylist()])
         suffixes = [s for one in lists for s in one]
         node = deep_nodes(suffixes, window)
-        least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+        least = np.full(len(suffixes), np.iinfo(np.int64).max)
         np.minimum.at(least, node, docs)
-        column = pa.array(suffixes, pa.large_binary())
-        data, offsets = tk.utf8(column)
-        starts, ends, first = tk.word_spans(data, offsets)
-        h, _ = tk.window_hashes(tk.word_hashes(data, starts, ends), first, window)
+        h = _suffix_hashes(suffixes, window)
         hashes, found = [], []
         cut = np.cumsum([0, *map(len, lists)])
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            order = np.argsort(h[a:b])
+            first = least[node[a:b]]
+            news = np.flatnonzero(first < docs[a:b])  # a bucket knows its own first document
+            order = news[np.argsort(h[a:b][news])]
             hashes.append(pack_sorted(h[a:b][order]))
-            found.append(pack(least[node[a:b]][order].astype("<i8")))
-        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "hashes": pa.array(hashes, pa.binary()), "docs": pa.array(found, pa.binary())})
+            found.append(pack(first[order].astype("<i8")))
+        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "hashes": pa.array(hashes, pa.binary()), "docs": pa.array(found, pa.binary()), "copies": table.column("copies")})
 
     return run
 
@@ -172,17 +222,22 @@ def _grow(window: int):
 def _drop(window: int):
     def run(key: tuple, docs: pa.Table, nodes: pa.Table) -> pa.Table:
         bucket = Windows(docs, window)
-        known = [unpack_sorted(b) for b in nodes.column("hashes").to_pylist()]
-        least = [unpack(b, "<i8") for b in nodes.column("docs").to_pylist()]
         gone = np.zeros(len(bucket.starts) + 1, np.int64)
-        if known and len(bucket.hash):
-            known, least = np.concatenate(known), np.concatenate(least)
-            order = np.argsort(known)
-            known, least = known[order], least[order]
-            place = np.minimum(np.searchsorted(known, bucket.hash), len(known) - 1)
-            earlier = (known[place] == bucket.hash) & (least[place] < bucket.doc_ids[bucket.owner])
-            np.add.at(gone, bucket.at[earlier], 1)
-            np.add.at(gone, bucket.at[earlier] + window, -1)
+        if len(bucket.hash):
+            # the first document of each window: here, or where the trees know an earlier one
+            values, place = np.unique(bucket.hash, return_inverse=True)
+            least = np.full(len(values), np.iinfo(np.int64).max)
+            np.minimum.at(least, place, bucket.doc_ids[bucket.owner])
+            for blob, docs_blob in zip(nodes.column("hashes").to_pylist(), nodes.column("docs").to_pylist(), strict=True):
+                known = unpack_sorted(blob)
+                least[np.searchsorted(values, known)] = unpack(docs_blob, "<i8")
+            earlier = bucket.at[least[place] < bucket.doc_ids[bucket.owner]]
+            np.add.at(gone, earlier, 1)
+            np.add.at(gone, earlier + window, -1)
+        for blob in filter(None, nodes.column("copies").to_pylist()):
+            copy = unpack(blob, "<i4")
+            np.add.at(gone, bucket.first[copy], 1)
+            np.add.at(gone, bucket.first[copy + 1], -1)
         gone = np.cumsum(gone)[:-1] > 0
         text, start, end = bucket.joined()
         text = text.tobytes()
@@ -206,9 +261,10 @@ def _drop(window: int):
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> a row for each row: ``doc_id, n_words, n_removed,
     kept_text`` (the words left, joined by single spaces) and ``spans`` of removed words."""
-    n = count_buckets(docs)
+    n = count_buckets(docs, BUCKET_BYTES)
+    groups = -(-n // BUCKETS_A_GROUP)
     dealt = deal(docs, n)
     marks = dealt.groupBy("bucket").applyInArrow(_ask(n, window), MARKS).groupBy("part").applyInArrow(_mark, MARKS)
-    suffixes = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_send(n, window), SUFFIXES)
+    suffixes = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_send(n, groups, window), SUFFIXES)
     nodes = suffixes.groupBy("part").applyInArrow(_grow(window), NODES)
     return dealt.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_drop(window), RESULT)
