@@ -9,7 +9,7 @@ out of the tables, so backoff takes over there:
     S(w | u v) = c(u v w) / c(u v)  if c(u v w) >= 2,  else 0.4 S(w | v)
     S(w | v)   = c(v w) / c(v)      if c(v w) >= 2,    else 0.4 c(w) / N
 
-n-grams are identified by 64-bit hashes. Defined results: a null or blank text has no words
+n-grams are identified by ``HASH_BITS``-bit hashes. Defined results: a null or blank text has no words
 and score 0; repeated rows count each time.
 """
 
@@ -24,6 +24,9 @@ from factloom.llm.buckets import Bucket, count_buckets, deal, split
 from factloom.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 
 BACKOFF = 0.4
+#: Bits of an n-gram's hash that identify it, and text of a bucket of documents.
+HASH_BITS = 56
+BUCKET_BYTES = 8 << 20
 MIN_COUNT = 2
 ORDERS = (1, 2, 3)
 
@@ -35,7 +38,7 @@ RESULT = "doc_id long, n_words long, n_order3 long, n_order2 long, n_order1 long
 def _grams(bucket: Bucket, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, each n-gram's place among them, counts, and first words' places."""
     h, at = tk.window_hashes(bucket.hashes, bucket.first, order, seed=order)
-    values, place, count = np.unique(h, return_inverse=True, return_counts=True)
+    values, place, count = np.unique(h >> np.uint64(64 - HASH_BITS), return_inverse=True, return_counts=True)
     return values, place, count, at
 
 
@@ -45,7 +48,7 @@ def _ask(parts: int):
         out = {"bucket": pa.array([key[0].as_py()] * parts, pa.int32()), "part": pa.array(range(parts), pa.int32()), "words": pa.array([0] * parts, pa.int64())}
         for k in ORDERS:
             values, _, count, _ = _grams(bucket, k)
-            cuts = split(values, parts)
+            cuts = split(values, parts, HASH_BITS)
             out[f"h{k}"] = pa.array([pack_sorted(values[a:b]) for a, b in cuts], pa.binary())
             out[f"c{k}"] = pa.array([pack(count[a:b].astype("<u4")) for a, b in cuts], pa.binary())
         return pa.table(out)
@@ -109,7 +112,7 @@ def _score(parts: int):
 def score(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> a row for each row: words scored at each order and the
     sum of log scores."""
-    n = count_buckets(docs)
+    n = count_buckets(docs, BUCKET_BYTES)
     dealt = deal(docs, n)
     tables = dealt.groupBy("bucket").applyInArrow(_ask(n), TABLES).groupBy("part").applyInArrow(_add, TABLES)
     return dealt.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_score(n), RESULT)
