@@ -5,7 +5,7 @@ Two different lines of ``MIN_CHARS`` characters or more are linked if their edit
 contains one of them whole, at a place that the edits can have shifted it to. Segments are
 indexed with their number and the line's length; a line probes the index for its own and the
 EDITS shorter lengths with just the substrings that can match (the length-aware selection of
-Pass-Join). Two semi-joins keep the lines that share a key with another line; only those get
+Pass-Join). Semi-joins keep the lines that share a key with another line; only those get
 their text back and are joined, the distance being part of the join condition, so no table of
 unverified pairs is ever made, however many lines share a segment.
 
@@ -23,7 +23,7 @@ document and get equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.components import connected_components
@@ -34,34 +34,32 @@ MIN_CHARS = 32
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment k of a line; the last ones are the longer ones."""
-    parts = edits + 1
-    size, longer = F.floor(length / parts), length % parts
-    short = parts - longer
-    start = k * size + F.greatest(k - short, F.lit(0))
-    return start.cast("int"), (size + F.when(F.lit(k) >= short, 1).otherwise(0)).cast("int")
+def _index_places(edits: int) -> list[tuple[int, int, int]]:
+    """``(segment, shorter by, shift)`` of a line's own segments."""
+    return [(k, 0, 0) for k in range(edits + 1)]
 
 
-def _index_keys(edits: int) -> Column:
-    n = F.char_length("line")
-    keys = []
-    for k in range(edits + 1):
-        start, size = _segment(n, k, edits)
-        keys.append(F.xxhash64(F.lit(k), n, F.substring(F.col("line"), start + 1, size)))
-    return F.array(*keys)
-
-
-def _probe_keys(edits: int) -> Column:
-    n = F.char_length("line")
-    keys = []
+def _probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """Of the substrings that can match a segment of a line as long or shorter; one that is the
+    line's own segment is in the index already."""
+    out = []
     for less in range(edits + 1):
         for k in range(edits + 1):
-            start, size = _segment(n - less, k, edits)
             left, right = k, edits - k  # edits that can lie before and behind the segment
-            for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                keys.append(F.xxhash64(F.lit(k), n - less, F.substring(F.col("line"), start + shift + 1, size)))
-    return F.array_distinct(F.array(*keys))
+            out += [(k, less, shift) for shift in range(max(-left, less - right), min(left, less + right) + 1) if less or shift]
+    return out
+
+
+def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """``lines(i, line)`` with a row and a key ``h`` for each place: the segment's number, the
+    length of the line it belongs to and its text, hashed. Of EDITS + 1 segments the last are
+    the longer ones."""
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(p, ("k", "less", "shift"), strict=True)]) for p in places]))
+    d = lines.withColumn("n", F.char_length("line")).select("*", each.alias("p")).select("i", "line", "p.k", "p.shift", (F.col("n") - F.col("p.less")).alias("m"))
+    base, short = F.expr(f"m div {edits + 1}"), edits + 1 - F.col("m") % (edits + 1)
+    start = F.col("k") * base + F.greatest(F.col("k") - short, F.lit(0)) + F.col("shift")
+    size = base + (F.col("k") >= short).cast("int")
+    return d.withColumn("h", F.xxhash64("k", "m", F.substring(F.col("line"), (start + 1).cast("int"), size.cast("int"))))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -73,19 +71,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``lines(line, id)`` -> links ``(a, b)`` between ids of different lines within ``edits``."""
-    long = lines.where(F.char_length("line") >= min_chars).select("line").distinct().withColumn("id", F.xxhash64("line"))
-    index = long.select("id", F.explode(_index_keys(edits)).alias("key"))
-    probe = long.select("id", F.explode(_probe_keys(edits)).alias("key"))
-    index_b, probe_b = (d.withColumnsRenamed({"id": "other", "key": "key_b"}).hint("shuffle_hash") for d in (index, probe))
+    long = lines.where(F.char_length("line") >= min_chars).select("line").distinct().withColumn("i", F.xxhash64("line"))
+    index, probe = (_keys(long, places(edits), edits) for places in (_index_places, _probe_places))
+    left = lambda d: d.select(F.col("i").alias("id"), F.col("h").alias("key"))
+    right = lambda d: d.select(F.col("i").alias("other"), F.col("h").alias("key_b")).hint("shuffle_hash")
     meets = (F.col("key") == F.col("key_b")) & (F.col("id") != F.col("other"))
-    some = probe.join(index_b, meets, "left_semi").select("id").union(index.join(probe_b, meets, "left_semi").select("id"))
-    some = materialize(some.distinct(), "candidates")
+    some = [left(a).join(right(b), meets, "left_semi").select("id") for a, b in ((index, index), (index, probe), (probe, index))]
+    some = materialize(some[0].union(some[1]).union(some[2]).distinct(), "candidates")
     texts = lines.where(F.char_length("line") >= min_chars).join(broadcast_if_small(some), "id", "left_semi")
-    texts = materialize(texts.select("id", "line").distinct(), "lines")
-    a = texts.select("id", "line", F.explode(_probe_keys(edits)).alias("key"))
-    b = texts.select(F.col("id").alias("other"), F.col("line").alias("line_b"), F.explode(_index_keys(edits)).alias("key"))
-    close = (a.key == b.key) & (F.col("id") != F.col("other")) & (F.levenshtein("line", "line_b", edits) >= 0)
-    return a.join(b, close).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    texts = materialize(texts.select(F.col("id").alias("i"), "line").distinct(), "lines")
+    a = _keys(texts, _index_places(edits) + _probe_places(edits), edits).select("i", "line", "h")
+    b = _keys(texts, _index_places(edits), edits).select(F.col("i").alias("j"), F.col("line").alias("line_b"), "h")
+    close = (a.h == b.h) & (F.col("i") != F.col("j")) & (F.levenshtein("line", "line_b", edits) >= 0)
+    return a.join(b, close).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct()
 
 
 def shared_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
