@@ -149,9 +149,9 @@ def _flows(t: Tables) -> DataFrame:
     )
 
 
-@query("p3_flow_filter", f"flows AS ({_FLOWS}) SELECT seq, path, method FROM flows WHERE (lower(name) LIKE '%/p%' OR lower(path) LIKE '%/p%') AND method IN ('GET', 'ANY') AND verdict IN ('grounded')")
+@query("p3_flow_filter", f"flows AS ({_FLOWS}) SELECT seq, path, method FROM flows WHERE (lower(name) LIKE '%/e%' OR lower(path) LIKE '%/e%') AND method IN ('GET', 'ANY') AND verdict IN ('grounded')")
 def _p3(t: Tables) -> DataFrame:
-    return flow_filter(_flows(t), "/P", method=["GET", "ANY"], verdict=["grounded"], name=[]).select("seq", "path", "method")
+    return flow_filter(_flows(t), "/E", method=["GET", "ANY"], verdict=["grounded"], name=[]).select("seq", "path", "method")
 
 
 @query("p4_facets", f"flows AS ({_FLOWS}) SELECT 'method' AS facet, method AS value, count(*) AS count FROM flows GROUP BY method UNION ALL SELECT 'verdict', verdict, count(*) FROM flows WHERE verdict IS NOT NULL GROUP BY verdict")
