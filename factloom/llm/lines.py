@@ -14,7 +14,7 @@ order of doc_id (null last), text and place, stays; the others go.
 
 Only DataFrame functions are used. The distance is Spark's ``levenshtein`` with a threshold,
 which computes a band of 2 * EDITS + 1 cells a row; the bit-parallel form of the same band
-has no counterpart among the functions and was slower when written with ``aggregate``.
+has no counterpart among the functions.
 
 Lines are identified by 64-bit hashes. Defined results: a null text stays null; a line
 without a word is neither compared nor dropped; rows with equal doc_id and text are one
@@ -76,8 +76,10 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     left = lambda d: d.select(F.col("i").alias("id"), F.col("h").alias("key"))
     right = lambda d: d.select(F.col("i").alias("other"), F.col("h").alias("key_b")).hint("shuffle_hash")
     meets = (F.col("key") == F.col("key_b")) & (F.col("id") != F.col("other"))
-    some = [left(a).join(right(b), meets, "left_semi").select("id") for a, b in ((index, index), (index, probe), (probe, index))]
-    some = materialize(some[0].union(some[1]).union(some[2]).distinct(), "candidates")
+    probing = left(probe).join(right(index), meets, "left_semi")
+    probed = left(index).join(probing.toDF("other", "key_b").hint("shuffle_hash"), meets, "left_semi")
+    equal = left(index).join(right(index), meets, "left_semi")
+    some = materialize(probing.select("id").union(probed.select("id")).union(equal.select("id")).distinct(), "candidates")
     texts = lines.where(F.char_length("line") >= min_chars).join(broadcast_if_small(some), "id", "left_semi")
     texts = materialize(texts.select(F.col("id").alias("i"), "line").distinct(), "lines")
     a = _keys(texts, _index_places(edits) + _probe_places(edits), edits).select("i", "line", "h")
