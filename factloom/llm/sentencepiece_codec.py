@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
@@ -31,8 +32,9 @@ from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHED_WORDS = 1 << 18
-_GROUP = 1 << 22
+_CACHED_WORDS = 1 << 17
+_WORDS_A_CALL = 1 << 12
+_GROUP = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -131,6 +133,12 @@ def _regex(pattern: str):
 _WORD = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + size]`` one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+
+
 class Codec:
     """Encodes and decodes batches of texts."""
 
@@ -139,42 +147,68 @@ class Codec:
             os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model = SentencePieceModel(data)
-        self.whole = self.model.tokenizer()
         self.apart = self.model.words_apart()
         self.plain = self.model.tokenizer(normalize=False)
-        self.cache: dict[str, np.ndarray] = {}
-        self.bytes = np.zeros(len(self.model.pieces), bool)
-        self.spelled: list[bytes] = []
-        for i, (p, _, kind) in enumerate(self.model.pieces):
-            self.bytes[i] = kind == BYTE
-            self.spelled.append(bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode())
-
-    def _words(self, text: str) -> list[str]:
-        text = text.replace(" ", MARK)
-        return _WORD.findall(MARK + text if self.model.dummy_prefix else text)
+        self._forget()
+        kinds = [k for _, _, k in self.model.pieces]
+        self.bytes = np.array([k == BYTE for k in kinds])
+        spelled = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.size = np.array([len(x) for x in spelled])
+        self.start = np.cumsum(self.size) - self.size
+
+    @functools.cached_property
+    def whole(self) -> Tokenizer:
+        """For whole texts; built where it is needed."""
+        return self.model.tokenizer()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.word_ids, self.word_size, self.word_start = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, words: set[str]) -> None:
+        fresh = sorted(words.difference(self.known))
+        if not fresh:
+            return
+        coded: list[list[int]] = []
+        for k in range(0, len(fresh), _WORDS_A_CALL):  # the library's results are far larger than the ids
+            coded += [e.ids for e in self.plain.encode_batch(fresh[k : k + _WORDS_A_CALL], add_special_tokens=False)]
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.word_ids = np.concatenate([self.word_ids, np.array([i for ids in coded for i in ids], np.int32)])
+        self.word_size = np.concatenate([self.word_size, np.array([len(ids) for ids in coded])])
+        self.word_start = np.cumsum(self.word_size) - self.word_size
+
+    def encode_rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and each text's first place (one more at the end)."""
+        if not self.apart:
+            rows = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            return np.array([i for ids in rows for i in ids], np.int32), np.cumsum([0, *map(len, rows)])
+        lead = MARK if self.model.dummy_prefix else ""
+        split = [_WORD.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts]
+        words = [w for row in split for w in row]
+        if len(self.known) > _CACHED_WORDS:
+            self._forget()
+        self._learn(set(words))
+        place = np.array([self.known[w] for w in words], np.int64)
+        size = self.word_size[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return _spread(self.word_ids, self.word_start[place], size), ends[np.cumsum([0, *map(len, split)])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if not self.apart:
-            return [np.array(e.ids, np.int32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        out, cache = [], self.cache
-        if len(cache) > _CACHED_WORDS:
-            cache.clear()
-        for text in texts:
-            words = self._words(text) if text else []
-            fresh = [w for w in dict.fromkeys(words) if w not in cache]
-            if fresh:
-                for w, e in zip(fresh, self.plain.encode_batch(fresh, add_special_tokens=False), strict=True):
-                    cache[w] = np.array(e.ids, np.int32)
-            out.append(np.concatenate([cache[w] for w in words]) if words else np.empty(0, np.int32))
-        return out
+        ids, first = self.encode_rows(texts)
+        return [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def decode_rows(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """Text of each row of ids; bytes that are no UTF-8 become U+FFFD."""
+        size = self.size[ids]
+        text = _spread(self.spelled, self.start[ids], size).tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[first].tolist()
+        rows = [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [(r[1:] if self.model.dummy_prefix and r[:1] == b" " else r).decode(errors="replace") for r in rows]
 
     def decode(self, ids: np.ndarray) -> str:
-        """Text of a sequence of ids; bytes that are no UTF-8 become U+FFFD."""
-        text = b"".join([self.spelled[i] for i in ids.tolist()])
-        if self.model.dummy_prefix and text.startswith(b" "):
-            text = text[1:]
-        return text.decode(errors="replace")
+        return self.decode_rows(ids, np.array([0, len(ids)]))[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -195,22 +229,25 @@ def encode_decode(docs: DataFrame, model: bytes, threads: int | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, threads)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < batch.num_rows:
                 end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end] or "") <= _GROUP):
-                    held += len(texts[end] or "")
+                while end < batch.num_rows and (end == at or held + sizes[end] <= _GROUP):
+                    held += sizes[end]
                     end += 1
-                ids = iter(codec.encode([t for t in texts[at:end] if t is not None]))
-                rows = [None if t is None else next(ids) for t in texts[at:end]]
+                some = batch.column(1).slice(at, end - at).to_pylist()
+                null = np.array([t is None for t in some])
+                ids, first = codec.encode_rows([t or "" for t in some])
+                decoded = codec.decode_rows(ids, first)
+                spelled = np.concatenate([[0], np.cumsum(codec.bytes[ids])])
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(at, end - at),
-                        pa.array(rows, pa.list_(pa.int32())),
-                        pa.array([None if r is None else len(r) for r in rows], pa.int64()),
-                        pa.array([None if r is None else int(codec.bytes[r].sum()) for r in rows], pa.int64()),
-                        pa.array([None if r is None else codec.decode(r) for r in rows], pa.string()),
+                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(null)),
+                        pa.array(np.diff(first), pa.int64(), mask=null),
+                        pa.array(np.diff(spelled[first]), pa.int64(), mask=null),
+                        pa.array([None if n else d for n, d in zip(null, decoded, strict=True)], pa.string()),
                     ],
                     ["doc_id", "ids", "n_tokens", "n_bytes", "decoded"],
                 )
