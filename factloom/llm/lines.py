@@ -9,6 +9,11 @@ Pass-Join). Semi-joins keep the lines that share a key with another line; only t
 their text back and are joined, the distance being part of the join condition, so no table of
 unverified pairs is ever made, however many lines share a segment.
 
+That is ``near_links``, whose distance is the same for all lines. ``grown_links``, which the
+query and the pipeline use, takes it for lines under ``LONG_CHARS``; beyond, a line is allowed
+an edit for every ``SHARE`` characters, and lines meet by the words' beginnings: n characters
+with n div SHARE edits keep a run of 24 or more, which holds an anchored substring whole.
+
 Classes are the connected components of links and equal lines. The first line of a class, in
 order of doc_id (null last), text and place, stays; the others go.
 
@@ -23,6 +28,8 @@ document and get equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,12 @@ from factloom.plans.shared import broadcast_if_small, materialize
 
 EDITS = 2
 MIN_CHARS = 32
+SHORT_CHARS = 16
+LONG_CHARS = 96
+SHARE = 32
+#: The 14 characters that follow a space or 10 characters without one. A run of 24 characters
+#: holds one of them whole, the same one wherever the run stands.
+_ANCHORED = r"(?s)(?:(?<= )|(?<=[^ ]{10}))(?=(.{14}))"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -88,12 +101,39 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     return a.join(b, close).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct()
 
 
-def shared_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def long_links(lines: DataFrame) -> DataFrame:
+    """``lines(line, id)`` -> links ``(a, b)`` between ids of different lines of ``LONG_CHARS``
+    characters or more, within one edit for each ``SHARE`` characters of the shorter one."""
+    long = materialize(lines.where(F.char_length("line") >= LONG_CHARS).select("id", "line").distinct(), "long")
+    grams = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(_ANCHORED), F.lit(1))))
+    # 55 bits of hash, and 9 of the length's logarithm: lengths within a share are a step apart at most
+    step = F.floor(F.log(F.char_length("line")) / F.log(F.lit(1 + 1 / SHARE)))
+    rows = long.select("id", F.least(step, F.lit(511)).alias("step"), grams.alias("gram"))
+    rows = rows.select("id", F.shiftleft(F.xxhash64("gram"), 9).bitwiseOR(F.col("step")).alias("key"))
+    a, b = rows.toDF("a", "key_a"), rows.toDF("b", "key_b").hint("shuffle_hash")
+    meets = (F.shiftright("key_a", 9) == F.shiftright("key_b", 9)) & (F.col("a") > F.col("b"))
+    near = F.abs(F.col("key_a").bitwiseAND(F.lit(511)) - F.col("key_b").bitwiseAND(F.lit(511))) <= 1
+    pairs = a.join(b, meets & near).select("a", "b").distinct()
+    pairs = pairs.join(long.toDF("a", "line_a"), "a").join(long.toDF("b", "line_b"), "b")
+    most = f"cast(least(char_length(line_a), char_length(line_b)) div {SHARE} as int)"
+    return pairs.where(f"levenshtein(line_a, line_b, {most}) >= 0").select("a", "b")
+
+
+def grown_links(lines: DataFrame) -> DataFrame:
+    """``lines(line, id)`` -> links ``(a, b)`` between ids of different lines within a distance
+    that grows with the shorter line: 1 from ``SHORT_CHARS`` characters, ``EDITS`` from
+    ``MIN_CHARS``, and a ``SHARE``-th of its length from ``LONG_CHARS``."""
+    n = F.char_length("line")
+    short = near_links(lines.where(n <= MIN_CHARS), 1, SHORT_CHARS)
+    return short.union(near_links(lines.where(n < LONG_CHARS + EDITS))).union(long_links(lines)).distinct()
+
+
+def shared_lines(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
     """Lines whose class has another: ``(doc_id, text_id, lines)``, ``lines`` an array of
     ``(line_no, class, kept, near)``; near: the line differs from the one that stays."""
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = occurrences(d)
-    roots = connected_components(near_links(found.select("line", "id"), edits, min_chars)).withColumnRenamed("node", "id")
+    roots = connected_components(links(found.select("line", "id"))).withColumnRenamed("node", "id")
     rows = found.select("doc_id", "text_id", "line_no", "id")
     rows = rows.join(broadcast_if_small(materialize(roots, "classes")), "id", "left").withColumn("class", F.coalesce("root", "id"))
     rows = rows.groupBy("class", "doc_id", "text_id", "line_no", "id").agg(F.lit(1).alias("one"))  # equal rows are one document
@@ -105,11 +145,11 @@ def shared_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     return rows.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(mark)).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
     """A row for each row of ``docs(doc_id, text, ...)``: ``row`` (the input row), ``n_lines``,
     ``n_removed``, ``n_near`` (removed and not equal to the line that stays), ``kept_text``,
     ``lines`` (as in ``shared_lines``) and ``emptied`` (lost lines and has no word left)."""
-    marks = materialize(shared_lines(docs, edits, min_chars).withColumnsRenamed({"doc_id": "of_doc", "text_id": "of_text"}), "marks")
+    marks = materialize(shared_lines(docs, links).withColumnsRenamed({"doc_id": "of_doc", "text_id": "of_text"}), "marks")
     text = F.col("text").cast("string")
     d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_doc"), text.alias("own"), F.xxhash64(text).alias("own_text"))
     d = d.join(broadcast_if_small(marks), (F.col("own_text") == F.col("of_text")) & F.col("own_doc").eqNullSafe(F.col("of_doc")), "left")
@@ -129,9 +169,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     ).withColumn("emptied", (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(_WORD))
 
 
-def strip_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def strip_lines(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = grown_links) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text`` (and ``n_chars``, if there, set
     anew); documents left without a word go."""
     new = {"text": F.col("kept_text")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
-    found = dedup_lines(docs, edits, min_chars).where(~F.coalesce("emptied", F.lit(False)))
+    found = dedup_lines(docs, links).where(~F.coalesce("emptied", F.lit(False)))
     return found.select(*[new.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -35,7 +35,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(documents(spark, sf_dir))
+    found = lines.dedup_lines(documents(spark, sf_dir), lines.grown_links)
     return found.select("row.doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"), "lines")
 
 

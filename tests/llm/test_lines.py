@@ -86,3 +86,38 @@ def test_edge_rows(spark):
     assert {r.row.doc_id for r in got if r.emptied} == {5, None, 6, 8}
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(docs).collect() == []
+
+
+def test_distance_grows_with_the_line(spark):
+    rng = random.Random(5)
+    pool = []
+    for n in [16, 20, 31, 32, 33, 60, 94, 95, 96, 97, 127, 128, 200, 330, 700]:
+        for gaps in (True, False):
+            base = "".join(rng.choice("abcdefghé  " if gaps else "abcdefghé") for _ in range(n - 2)) + "zz"
+            most = 1 if n < 32 else 2 if n < 96 else n // 32
+            pool.append(base)
+            for k in (most - 1, most, most, most + 1, most + 2):
+                x = list(base)
+                for p in sorted(rng.sample(range(n), k), reverse=True) if rng.random() < 0.5 else [n * (2 * i + 1) // (2 * k) for i in range(k)][::-1]:
+                    x[p : p + 1] = rng.choice([["Q"], [], ["Q", x[p]]])
+                pool.append("".join(x))
+    rows = spark.createDataFrame([(x,) for x in set(pool)], "line string").selectExpr("line", "xxhash64(line) id")
+    ids = {r.line: r.id for r in rows.collect()}
+    want = set()
+    for a in ids:
+        for b in ids:
+            n = min(len(a), len(b))
+            most = 0 if n < 16 else 1 if n < 32 else 2 if n < 96 else n // 32
+            if ids[a] > ids[b] and abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                want.add((ids[a], ids[b]))
+    got = lines.grown_links(rows).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want) and len(want) > 60
+
+
+def test_query_drops_a_line_with_a_word_replaced(spark, tmp_path):
+    from factloom.llm.queries import op4_lines
+
+    x = "a notice of two hundred characters and some more that stands at the end of many pages of the site, in which the one who copied it has put another name, or a date, where the first had been, and no more"
+    rows = [(1, x), (2, x.replace("notice", "caution")), (3, "a line of under 32 chars"), (4, "a line of under 32 char")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_near for r in op4_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
