@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
@@ -58,8 +58,11 @@ def document_index(docs: DataFrame) -> DataFrame:
 def onboarding(memberships: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     """Names of a layer's first members and how many are complex."""
     d = memberships.join(nodes.select(F.col("id").alias("node_id"), "name", "complexity"), "node_id")
-    d = d.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "name"))).alias("all"), F.count_if(F.col("complexity") == "complex").alias("complex"))
-    return d.select("layer", F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["name"]), ",").alias("members"), "complex")
+    place = F.row_number().over(Window.partitionBy("layer").orderBy("pos", "node_id", "name"))
+    first = d.withColumn("place", place).where(F.col("place") <= most).groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("first"))
+    first = first.select(F.col("layer").alias("of"), F.array_join(F.transform("first", lambda x: x["name"]), ",").alias("members"))
+    counts = d.groupBy("layer").agg(F.count_if(F.col("complexity") == "complex").alias("complex"))
+    return counts.join(first, F.col("layer").eqNullSafe(F.col("of"))).select("layer", "members", "complex")
 
 
 def wiki_graph(links: DataFrame, pages: DataFrame) -> DataFrame:

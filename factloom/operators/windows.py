@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from factloom.fixtures import Tables
 from factloom.registry import query
@@ -127,19 +129,22 @@ def chunks(df: DataFrame, key: str, order: Sequence[str], size: int) -> DataFram
 
 def packed(df: DataFrame, key: str, order: Sequence[str], size: str, budget: int) -> DataFrame:
     """In order, rows whose running total of kept sizes stays in the budget are kept; one
-    that does not fit is skipped but listed. A fold over each key's ordered sizes."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(size).alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-    fold = F.aggregate(
-        "rows",
-        start,
-        lambda a, r: F.struct(
-            F.when(a["used"] + r["n"] <= budget, a["used"] + r["n"]).otherwise(a["used"]).alias("used"),
-            F.concat(a["kept"], F.array(a["used"] + r["n"] <= budget)).alias("kept"),
-        ),
-    )
-    out = rows.withColumn("fold", fold).select(key, F.posexplode(F.arrays_zip("rows", F.col("fold.kept").alias("kept"))).alias("pos", "x"))
-    return out.select(key, *[F.col("x.rows")[c].alias(c) for c in order], F.col("x.rows.n").alias(size), F.col("x.kept").alias("kept"))
+    that does not fit is skipped but listed. Each key's rows come sorted, and only the running
+    total is held."""
+    rows = df.select(key, *order, size).repartition(key).sortWithinPartitions(key, *order, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, 0
+        for batch in batches:
+            kept: list[bool | None] = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                last, used = k, used if k == last else 0
+                fits = None if n is None else used + n <= budget
+                used += n if fits else 0
+                kept.append(fits)
+            yield pa.record_batch([*batch.columns, pa.array(kept, pa.bool_())], [*batch.schema.names, "kept"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("kept", BooleanType())]))
 
 
 _METRICS = """metrics AS (SELECT path, loc, CASE WHEN domain = 'brand11' THEN NULL ELSE seq % 17 END AS complexity FROM files)"""

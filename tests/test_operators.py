@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from factloom.functions import text as fn
-from factloom.operators import filters, graph, joins, search, windows
+from factloom.operators import documents, filters, graph, joins, search, windows
 from factloom.operators.merge import table_hash
 from factloom.plans.components import connected_components
 from factloom.sources import files
@@ -118,3 +118,30 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_document_states_reject_illegal_moves(spark):
     e = spark.createDataFrame([("d", 1, 1, "purchase"), ("d", 2, 2, "view"), ("d", 3, 3, "purchase"), ("d", 4, 4, "other")], "entity string, ts long, seq long, event string")
     assert tuple(upkeep.document_states(e).first()) == ("d", "approved", 1)
+
+
+def test_onboarding_keeps_few_members_ahead_of_the_shuffle(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"name{i}", "complex" if i % 4 == 0 else "simple") for i in range(300)], "id string, name string, complexity string")
+    members = spark.createDataFrame([(None if i % 3 == 0 else "a", 300 - i // 2, f"n{i}") for i in range(300)], "layer string, pos long, node_id string")
+    d = documents.onboarding(members, nodes)
+    got = {r.layer: (r.members, r.complex) for r in d.collect()}
+    want = {}
+    for layer in (None, "a"):
+        own = sorted((300 - i // 2, f"n{i}", f"name{i}") for i in range(300) if (i % 3 == 0) == (layer is None))
+        want[layer] = (",".join(x[2] for x in own[:5]), sum(int(x[1][1:]) % 4 == 0 for x in own))
+    assert got == want
+    assert "WindowGroupLimit" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packing_streams_the_rows_of_a_key(spark):
+    rows = [(None if i % 3 == 0 else f"k{i % 3}", i * 37 % 400, None if i == 7 else i % 11) for i in range(400)]
+    d = windows.packed(spark.createDataFrame(rows, "k string, pos long, n long"), "k", ["pos"], "n", 60)
+    want = []
+    for key in (None, "k1", "k2"):
+        used = 0
+        for _, p, n in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            kept = None if n is None else used + n <= 60
+            used += n if kept else 0
+            want.append((key, p, n, kept))
+    assert sorted(map(tuple, d.collect()), key=str) == sorted(want, key=str)
+    assert "collect_list" not in d._jdf.queryExecution().executedPlan().toString()
