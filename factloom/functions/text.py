@@ -1,4 +1,4 @@
-"""Normalisers, tokenisers, paths, URLs, ids and similarity as Column expressions."""
+"""Normalisers, tokenisers, paths, URLs, ids and similarity as Column expressions (N1-N20 without N14 and N18)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Aggregations."""
+"""Aggregations (A1-A32 without A27)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Inventories, system maps, batches, skeletons and further checks."""
+"""Inventories, system maps, batches, skeletons and further checks (A11-A28 without A27, C3-C24, C27, G6-G15 without G14, Q4-Q8)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Graph hygiene and merging."""
+"""Graph hygiene and merging (N1-N20 without N14 and N18, U1-U9, Q1-Q8)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Scores and composite reports."""
+"""Scores and composite reports."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Ranks, first and last of a key, periods, top-k and packing (W, K, R5)."""
+"""Ranks, first and last of a key, periods, top-k and packing (W, K and R5, without W9-W11, K5 and K9)."""
 
 from __future__ import annotations
 
