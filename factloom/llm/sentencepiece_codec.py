@@ -7,11 +7,14 @@ in batches on the library's threads.
 
 Where no piece has the marker behind another character, no merge or segment crosses from a
 word to the next marker, so a text's ids are those of its words in order. Then each distinct
-word of a batch is encoded once; parity with encoding whole texts is tested, as is parity
-with the SentencePiece library. Decoding goes the same way back.
+word of a batch is encoded once, and its ids are decoded once; a text's ids and decoded text
+are put together from those of its words. Parity with encoding
+whole texts is tested, as is parity with the SentencePiece library.
 
 Defined results: a null text has null ids and decodes to null; the empty text has no ids;
 whatever the vocabulary lacks is spelled in bytes, so decoding gives the normalised text.
+Each row is coded by itself, so repeated rows get equal results and a null doc_id stays null;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
@@ -32,9 +35,12 @@ from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_CACHED_WORDS = 1 << 17
+_CACHED_WORDS = 1 << 19
 _WORDS_A_CALL = 1 << 12
-_GROUP = 1 << 20
+_WORDS_A_TEXT = 256
+_GROUP = 1 << 22
+#: Threads of the library in each worker where ``threads`` is not given: a task has one core.
+_THREADS = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -120,7 +126,8 @@ class SentencePieceModel:
         special = [p for p, _, k in self.pieces if k == CONTROL]
         t.add_special_tokens([AddedToken(p, normalized=False, special=True) for p in special])
         t.encode_special_tokens = True  # their spelling in a text is ordinary text
-        t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
+        # the space of the dummy prefix is taken off where a whole text has been put together
+        t.decoder = decoders.Sequence([decoders.Replace(self.pieces[self.unk][0], " ⁇ "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         return t
 
 
@@ -145,17 +152,20 @@ class Codec:
     def __init__(self, data: bytes, threads: int | None = None):
         if threads:
             os.environ["RAYON_NUM_THREADS"] = str(threads)
+        os.environ.setdefault("RAYON_NUM_THREADS", str(_THREADS))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model = SentencePieceModel(data)
         self.apart = self.model.words_apart()
         self.plain = self.model.tokenizer(normalize=False)
-        self._forget()
         kinds = [k for _, _, k in self.model.pieces]
         self.bytes = np.array([k == BYTE for k in kinds])
-        spelled = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
-        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
-        self.size = np.array([len(x) for x in spelled])
-        self.start = np.cumsum(self.size) - self.size
+        self.odd = np.array([k in (BYTE, UNKNOWN, CONTROL) for k in kinds])
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        spelled = [b"" if o else p.replace(MARK, " ").encode() for (p, _, _), o in zip(self.model.pieces, self.odd.tolist(), strict=True)]
+        self.piece_text = np.frombuffer(b"".join(spelled), np.uint8)
+        self.piece_size = np.array([len(x) for x in spelled])
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self._forget()
 
     @functools.cached_property
     def whole(self) -> Tokenizer:
@@ -165,50 +175,121 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.word_ids, self.word_size, self.word_start = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _learn(self, words: set[str]) -> None:
-        fresh = sorted(words.difference(self.known))
-        if not fresh:
-            return
-        coded: list[list[int]] = []
+        self.word_text = pa.array([], pa.large_string())
+        self.held = [(self.word_ids, self.word_size, self.word_text)]
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has.
+
+        Words that start with their only marker are put into texts of many, since a call and a
+        result for each word cost more than its ids: a word begins where a piece has the marker.
+        """
+        joined = np.array([w[0] == MARK and w.count(MARK) == 1 for w in words])
+        some = [w for w, j in zip(words, joined.tolist(), strict=True) if j]
+        texts = ["".join(some[k : k + _WORDS_A_TEXT]) for k in range(0, len(some), _WORDS_A_TEXT)]
+        size = np.zeros(len(words), np.int64)
+        run = np.array([i for e in self.plain.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        begins = np.flatnonzero(self.marked[run])
+        if len(begins) == len(some):
+            size[joined] = np.diff(np.concatenate([begins, [len(run)]]))
+        else:  # the model spells the marker itself in bytes
+            joined[:], run = False, np.empty(0, np.int32)
+        rest = [w for w, j in zip(words, joined.tolist(), strict=True) if not j]
+        alone = [e.ids for e in self.plain.encode_batch_fast(rest, add_special_tokens=False)]
+        size[~joined] = [len(ids) for ids in alone]
+        out, mine = np.empty(size.sum(), np.int32), np.repeat(joined, size)
+        out[mine], out[~mine] = run, [i for ids in alone for i in ids]
+        return out, size
+
+    def _spell(self, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Text of each word's ids: its pieces' texts in a row; the library's decoder puts
+        together those that are spelled in bytes or unknown."""
+        length = self.piece_size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        offsets = np.concatenate([[0], np.cumsum(length)])[ends]
+        data = _spread(self.piece_text, self.piece_start[ids], length)
+        text = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+        odd = np.flatnonzero(np.add.reduceat(np.concatenate([self.odd[ids], [False]]).astype(np.int64), ends[:-1]) * (size > 0)) if len(size) else ends[:0]
+        if not len(odd):
+            return text
+        decoded = self.plain.decode_batch([ids[ends[k] : ends[k + 1]].tolist() for k in odd], skip_special_tokens=True)
+        mask = np.zeros(len(size), bool)
+        mask[odd] = True
+        return pc.replace_with_mask(text, pa.array(mask), pa.array(decoded, pa.large_string()))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of new words, and the text that those ids decode to."""
         for k in range(0, len(fresh), _WORDS_A_CALL):  # the library's results are far larger than the ids
-            coded += [e.ids for e in self.plain.encode_batch(fresh[k : k + _WORDS_A_CALL], add_special_tokens=False)]
+            ids, size = self._ids(fresh[k : k + _WORDS_A_CALL])
+            self.held.append((ids, size, self._spell(ids, size)))
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        self.word_ids = np.concatenate([self.word_ids, np.array([i for ids in coded for i in ids], np.int32)])
-        self.word_size = np.concatenate([self.word_size, np.array([len(ids) for ids in coded])])
-        self.word_start = np.cumsum(self.word_size) - self.word_size
+        if len(self.held) > 1:
+            self.held = [(np.concatenate([x for x, _, _ in self.held]), np.concatenate([y for _, y, _ in self.held]), pa.concat_arrays([z for _, _, z in self.held]))]
+            self.word_ids, self.word_size, self.word_text = self.held[0]
+            self.word_start = np.cumsum(self.word_size) - self.word_size
 
-    def encode_rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and each text's first place (one more at the end)."""
-        if not self.apart:
-            rows = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for ids in rows for i in ids], np.int32), np.cumsum([0, *map(len, rows)])
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Place among the known words of each word of the texts, and each text's first word.
+
+        Words are split and told apart by Arrow, once for a batch; texts with marks of their
+        own or with spaces in a row, whose marks belong to the next word, are split one by one.
+        """
         lead = MARK if self.model.dummy_prefix else ""
-        split = [_WORD.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        words = [w for row in split for w in row]
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.ends_with(texts, " "), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, ""))))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        split = pc.split_pattern(plain, " ")
+        coded = split.flatten().dictionary_encode()
+        firsts = split.offsets.to_numpy()[:-1] - (split.offsets[0].as_py() if len(split.offsets) else 0)
+        # the first word of a text has a marker only where the model adds one
+        words = [MARK + w for w in coded.dictionary.to_pylist()]
+        heads = [] if lead or not len(plain) else pc.list_element(split, 0).to_pylist()
+        slow = [_WORD.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+        wanted = dict.fromkeys(words)
+        wanted.update(dict.fromkeys(heads))
+        wanted.update(dict.fromkeys(w for row in slow for w in row))
         if len(self.known) > _CACHED_WORDS:
             self._forget()
-        self._learn(set(words))
-        place = np.array([self.known[w] for w in words], np.int64)
+        self._learn([w for w in wanted if w not in self.known])
+        place = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy()] if words else np.empty(0, np.int64)
+        if heads:
+            place[firsts] = [self.known[w] for w in heads]
+        if not odd.any():
+            return place, np.concatenate([firsts, [len(place)]])
+        size = np.zeros(len(odd), np.int64)
+        size[~odd] = np.diff(np.concatenate([firsts, [len(place)]]))
+        size[odd] = [len(row) for row in slow]
+        first = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(first[-1], np.int64)
+        out[np.repeat(~odd, size)] = place
+        out[np.repeat(odd, size)] = [self.known[w] for row in slow for w in row]
+        return out, first
+
+    def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all texts in a row, each text's first place (one more at the end), and the
+        text that each row of ids decodes to."""
+        if not self.apart:
+            rows = [e.ids for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in rows for i in ids], np.int32), np.cumsum([0, *map(len, rows)]), pa.array([self.decode(ids) for ids in rows], pa.large_string())
+        place, first = self._places(texts)
         size = self.word_size[place]
         ends = np.concatenate([[0], np.cumsum(size)])
-        return _spread(self.word_ids, self.word_start[place], size), ends[np.cumsum([0, *map(len, split)])]
+        ids = _spread(self.word_ids, self.word_start[place], size)
+        words = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), self.word_text.take(pa.array(place)))
+        decoded = pc.binary_join(words, pa.scalar("", pa.large_string()))
+        if self.model.dummy_prefix:
+            decoded = pc.if_else(pc.starts_with(decoded, " "), pc.utf8_slice_codeunits(decoded, 1), decoded)
+        return ids, ends[first], decoded
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        ids, first = self.encode_rows(texts)
+        ids, first, _ = self.code(pa.array(texts, pa.large_string()))
         return [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
-    def decode_rows(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
-        """Text of each row of ids; bytes that are no UTF-8 become U+FFFD."""
-        size = self.size[ids]
-        text = _spread(self.spelled, self.start[ids], size).tobytes()
-        ends = np.concatenate([[0], np.cumsum(size)])[first].tolist()
-        rows = [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return [(r[1:] if self.model.dummy_prefix and r[:1] == b" " else r).decode(errors="replace") for r in rows]
-
-    def decode(self, ids: np.ndarray) -> str:
-        return self.decode_rows(ids, np.array([0, len(ids)]))[0]
+    def decode(self, ids) -> str:
+        """Text of ids; bytes that are no UTF-8 become U+FFFD."""
+        text = self.plain.decode(list(map(int, ids)), skip_special_tokens=True)
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
 @functools.lru_cache(maxsize=2)
@@ -229,17 +310,17 @@ def encode_decode(docs: DataFrame, model: bytes, threads: int | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, threads)
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+            texts = batch.column(1).cast(pa.large_string())
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             at = 0
             while at < batch.num_rows:
                 end, held = at, 0
                 while end < batch.num_rows and (end == at or held + sizes[end] <= _GROUP):
                     held += sizes[end]
                     end += 1
-                some = batch.column(1).slice(at, end - at).to_pylist()
-                null = np.array([t is None for t in some])
-                ids, first = codec.encode_rows([t or "" for t in some])
-                decoded = codec.decode_rows(ids, first)
+                some = texts.slice(at, end - at)
+                null = some.is_null().to_numpy(zero_copy_only=False)
+                ids, first, decoded = codec.code(some.fill_null(""))
                 spelled = np.concatenate([[0], np.cumsum(codec.bytes[ids])])
                 yield pa.record_batch(
                     [
@@ -247,7 +328,7 @@ def encode_decode(docs: DataFrame, model: bytes, threads: int | None = None) ->
                         pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(null)),
                         pa.array(np.diff(first), pa.int64(), mask=null),
                         pa.array(np.diff(spelled[first]), pa.int64(), mask=null),
-                        pa.array([None if n else d for n, d in zip(null, decoded, strict=True)], pa.string()),
+                        pc.if_else(pa.array(null), None, decoded).cast(pa.string()),
                     ],
                     ["doc_id", "ids", "n_tokens", "n_bytes", "decoded"],
                 )

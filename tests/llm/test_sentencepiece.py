@@ -3,9 +3,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from factloom.llm import sentencepiece_codec as sp
+from factloom.llm.queries import MODEL
 
-P = pytest.importorskip("public_tokenizers")
-PATH = P.path("piece_bpe_32k.model")
+PATH = MODEL
 ODD = ["", " ", "  two  spaces ", "\n\tx\n", "▁mark ▁▁ x▁y", "ДЖ 梦 😀 \x00 ​", "<s> </s> <unk> <0x41>", "a" * 3000, "ñandú ciónñ ßü", "x y", "é", "\r\n", "word " * 2000]
 
 
