@@ -1,78 +1,168 @@
 """Line dedup across documents: exact copies, and near copies by a segment-partition edit join.
 
-Two different lines of ``MIN_CHARS`` characters or more are linked if their edit distance is
-``EDITS`` or less. Such a line is split into EDITS + 1 segments, so a line within EDITS edits
-contains one of them whole, at a place that the edits can have shifted it to. Segments are
-indexed with their number and the line's length; a line probes the index for its own and the
-EDITS shorter lengths with just the substrings that can match (the length-aware selection of
-Pass-Join). Semi-joins keep the lines that share a key with another line; only those get
-their text back and are joined, the distance being part of the join condition, so no table of
-unverified pairs is ever made, however many lines share a segment.
-
-That is ``near_links``, whose distance is the same for all lines. ``grown_links``, which the
-query and the pipeline use, takes it for lines under ``LONG_CHARS``; beyond, a line is allowed
-an edit for every ``SHARE`` characters, and lines meet by the words' beginnings: n characters
-with n div SHARE edits keep a run of 24 or more, which holds an anchored substring whole.
+Edits are counted in words for lines of ``MIN_WORDS`` words or more and in characters for
+shorter ones; a line is compared with lines of its own kind. How many are allowed grows with
+the shorter line (``allowed``): by words 1, and from 59 words on one for every ``RUN`` + 1
+beyond the first ``RUN`` + 1, at most ``MOST``; by characters none below 16, 1 below 32, else 2.
+Words are what stands between spaces.
+
+A line with k edits allowed is split into k + 1 segments, one of which another line within k
+edits contains whole. Segments are indexed, and lines probe the index with the substrings
+that can match:
+
+* characters: with the segment's number and the line's length; the substrings are those at
+  places that the edits can have shifted a segment to, for the own and the shorter lengths;
+* up to 39 words (one edit): the front and back halves, for the own length and one less;
+* more words: every segment holds ``RUN`` words or more and is indexed by a substring of its
+  first ``RUN`` words: the ``GRAM`` words from the one whose hash is least, the last three
+  aside. A line probes with these substrings of all its windows of ``RUN`` words, so whole
+  segments meet wherever they stand, with a key for about nine words. Length and place are
+  compared as part of the join.
+
+No table of all pairs under a key is made. First each line is compared with one line of its
+key, the one that occurs most often; of the others only pairs that this has not put together
+are compared, dealt by key, length and place. Verified links are returned, which connect
+all lines that any chain of pairs within the allowed edits connects.
+
+Distances are banded and bit-parallel (``within``): a band of 61 rows as one long, a step for
+each word or character, folded over the longer line by ``aggregate``.
 
 Classes are the connected components of links and equal lines. The first line of a class, in
 order of doc_id (null last), text and place, stays; the others go.
 
-Only DataFrame functions are used. The distance is Spark's ``levenshtein`` with a threshold,
-which computes a band of 2 * EDITS + 1 cells a row; the bit-parallel form of the same band
-has no counterpart among the functions.
-
-Lines are identified by 64-bit hashes. Defined results: a null text stays null; a line
-without a word is neither compared nor dropped; rows with equal doc_id and text are one
-document and get equal results; an empty table gives no rows.
+Only DataFrame functions are used. Lines and words are identified by 64-bit hashes. Defined
+results: a null text stays null; a line without a word is neither compared nor dropped; rows
+with equal doc_id and text are one document and get equal results; an empty table gives no
+rows; columns of ``docs`` besides doc_id and text are carried in ``row``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.components import connected_components
 from factloom.plans.shared import broadcast_if_small, materialize
 
-EDITS = 2
-MIN_CHARS = 32
-SHORT_CHARS = 16
-LONG_CHARS = 96
-SHARE = 32
-#: The 14 characters that follow a space or 10 characters without one. A run of 24 characters
-#: holds one of them whole, the same one wherever the run stands.
-_ANCHORED = r"(?s)(?:(?<= )|(?<=[^ ]{10}))(?=(.{14}))"
+MIN_WORDS = 12
+RUN, GRAM = 19, 4
+#: Edits allowed at most: a band of 2 * MOST + 1 rows is one long.
+MOST = 30
+_TOP = 2 * MOST
+_ALL = (1 << (_TOP + 1)) - 1
+#: Lines of so many words or more are indexed by least hashes.
+_LONG = 2 * RUN + 1
+_PLACE = (1 << 24) - 1
 _WORD = r"[^\x20\x09-\x0D]"
+_BLANK = r"[\x20\x09-\x0D]+"
+
+
+def allowed(few: Column, n: Column) -> Column:
+    """Edits for a shorter line of n characters (``few``) or words."""
+    by_words = F.greatest(F.lit(1), F.least(F.lit(MOST), F.floor((n + 1) / (RUN + 1)).cast("int") - 1))
+    return F.when(few, F.when(n < 16, 0).when(n < 32, 1).otherwise(2)).otherwise(by_words)
+
+
+def _let(x: Column, use) -> Column:
+    """``use(x)``, computing x once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def within(a: Column, b: Column, most: Column) -> Column:
+    """Whether two arrays, longer than ``most``, are within ``most`` edits.
+
+    Bit 60 of the band stands for row j + most of column j. Up to the last row the distance
+    is followed down the diagonal, then along the last row.
+    """
+    flip = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(_ALL))
+    left = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+    right = lambda x, k: F.call_function("shiftrightunsigned", x, k.cast("int"))
+
+    def distance(given: Column) -> Column:
+        k, n = given["most"], given["n"]
+        band = F.sequence(F.lit(0), 2 * k)
+        # for each place of b, the rows of its band that hold the same
+        equal = F.transform(b, lambda y, j: F.aggregate(band, F.lit(0).cast("long"), lambda m, t: F.when(F.get(a, j + k - t) == y, m.bitwiseOR(left(F.lit(_TOP) - t))).otherwise(m)))
+        start = F.struct((F.lit(_ALL) - (left(F.lit(_TOP) - k) - 1)).alias("vp"), F.lit(0).cast("long").alias("vn"), k.cast("long").alias("d"), F.lit(0).alias("j"))
+
+        def step(s: Column, x: Column) -> Column:
+            def inner(d0: Column) -> Column:
+                hp = s["vn"].bitwiseOR(flip(d0.bitwiseOR(s["vp"])))
+                hn = d0.bitwiseAND(s["vp"])
+                last = s["j"] - (n - k)  # columns since the band met the last row
+                row = F.lit(_TOP - 1) - last
+                d = s["d"] + F.when(last < 0, 1 - right(d0, F.lit(_TOP))).otherwise(right(hp, row).bitwiseAND(F.lit(1)) - right(hn, row).bitwiseAND(F.lit(1)))
+                low = right(d0, F.lit(1))
+                return F.struct(hn.bitwiseOR(flip(low.bitwiseOR(hp))).alias("vp"), low.bitwiseAND(hp).alias("vn"), d.alias("d"), (s["j"] + 1).alias("j"))
+
+            d0 = (x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(x).bitwiseOR(s["vn"]).bitwiseAND(F.lit(_ALL))
+            return _let(d0, inner)
 
+        return F.when(F.abs(n - F.size(b)) <= k, F.aggregate(equal, start, step, lambda s: s["d"]) <= k).otherwise(False)
 
-def _index_places(edits: int) -> list[tuple[int, int, int]]:
-    """``(segment, shorter by, shift)`` of a line's own segments."""
-    return [(k, 0, 0) for k in range(edits + 1)]
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return _let(F.struct(most.cast("int").alias("most"), F.size(a).alias("n")), distance)
 
 
-def _probe_places(edits: int) -> list[tuple[int, int, int]]:
-    """Of the substrings that can match a segment of a line as long or shorter; one that is the
-    line's own segment is in the index already."""
-    out = []
+def _places(edits: int) -> list[tuple[int, int, int, bool]]:
+    """``(segment, shorter by, shift, index)`` of a short line's own segments, which are the
+    index, and of the other substrings that can match a segment of a line as long or shorter."""
+    out = [(k, 0, 0, True) for k in range(edits + 1)]
     for less in range(edits + 1):
         for k in range(edits + 1):
             left, right = k, edits - k  # edits that can lie before and behind the segment
-            out += [(k, less, shift) for shift in range(max(-left, less - right), min(left, less + right) + 1) if less or shift]
+            out += [(k, less, shift, False) for shift in range(max(-left, less - right), min(left, less + right) + 1) if less or shift]
     return out
 
 
-def _keys(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """``lines(i, line)`` with a row and a key ``h`` for each place: the segment's number, the
-    length of the line it belongs to and its text, hashed. Of EDITS + 1 segments the last are
-    the longer ones."""
-    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(p, ("k", "less", "shift"), strict=True)]) for p in places]))
-    d = lines.withColumn("n", F.char_length("line")).select("*", each.alias("p")).select("i", "line", "p.k", "p.shift", (F.col("n") - F.col("p.less")).alias("m"))
-    base, short = F.expr(f"m div {edits + 1}"), edits + 1 - F.col("m") % (edits + 1)
-    start = F.col("k") * base + F.greatest(F.col("k") - short, F.lit(0)) + F.col("shift")
-    size = base + (F.col("k") >= short).cast("int")
-    return d.withColumn("h", F.xxhash64("k", "m", F.substring(F.col("line"), (start + 1).cast("int"), size.cast("int"))))
+def _tokens() -> Column:
+    """What the edits of a line are counted in, hashed: its words, or its characters."""
+    return F.when(F.col("few"), F.transform(F.split("line", ""), lambda c: F.ascii(c).cast("long"))).otherwise(F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def _measured(lines: DataFrame) -> DataFrame:
+    """``lines(line, ...)`` with ``words``, ``few`` and ``n``."""
+    d = lines.withColumn("words", F.split("line", " "))
+    d = d.withColumn("few", F.size("words") < MIN_WORDS)
+    return d.withColumn("n", F.when(F.col("few"), F.char_length("line")).otherwise(F.size("words")))
+
+
+def keyed(lines: DataFrame) -> DataFrame:
+    """``lines(line, ...)`` with ``few``, ``n`` and ``keys``, an array of ``(key, pos, index)``;
+    ``pos`` is the substring's place, -1 for keys that have the place in them."""
+    n, few = F.col("n"), F.col("few")
+    key = lambda key, pos, index: F.struct(key.cast("long").alias("key"), F.lit(pos).cast("int").alias("pos"), F.lit(index).cast("boolean").alias("index"))
+
+    def by_place(edits: int) -> Column:
+        """Of the segments of a short line the last are the longer ones."""
+        places = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(p, ("k", "less", "shift", "index"), strict=True)]) for p in _places(edits)])
+
+        def cut(x: Column) -> Column:
+            m = n - x["less"]
+            base, short = F.floor(m / (edits + 1)).cast("int"), edits + 1 - m % (edits + 1)
+            start = x["k"] * base + F.greatest(x["k"] - short, F.lit(0)) + x["shift"]
+            return key(F.xxhash64(F.lit(2), x["k"], m, F.substring(F.col("line"), start + 1, base + (x["k"] >= short).cast("int"))), -1, x["index"])
+
+        return F.transform(places, cut)
+
+    # halves of a line with one edit
+    half = lambda m: F.floor(m / 2).cast("int")
+    front = lambda m: F.xxhash64(F.lit(0), m, F.slice("words", F.lit(1), half(m)))
+    back = lambda m: F.xxhash64(F.lit(1), m, F.slice("words", n - (m - half(m)) + 1, m - half(m)))
+    halves = F.array(key(front(n), -1, True), key(back(n), -1, True), key(front(n - 1), -1, False), key(back(n - 1), -1, False))
+    # least words of windows by hash; the low bits hold the place, so the first of equals is least
+    ranked = F.transform("words", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
+    least = lambda m, step: F.transform(m, lambda x, i: F.least(x, *[F.get(m, i + step * k) for k in (1, 2, 3)]))
+    sixteen = _let(ranked, lambda p: _let(least(p, 1), lambda m: F.slice(least(m, 4), F.lit(1), n - (RUN - 1))))
+    d = _measured(lines).withColumn("m", F.when(~few & (n >= _LONG), sixteen)).withColumn("k1", allowed(few, n) + 1)
+    segments = F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda k: F.get("m", F.floor(k * n / F.col("k1")).cast("int")))
+    place = lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")
+    long = _let(segments, lambda own: F.transform(F.array_distinct("m"), lambda x: key(F.xxhash64(*[F.get("words", place(x) + k) for k in range(GRAM)]), place(x), F.array_contains(own, x))))
+    # a filter of lines without edits would be pushed below the split and split again
+    none = F.array().cast("array<struct<key:long,pos:int,index:boolean>>")
+    by_chars = F.when(n < 16, none).when(n < 32, by_place(1)).when(n == 32, F.concat(by_place(1), by_place(2))).otherwise(by_place(2))
+    by_words = F.when(n < _LONG, halves).when(n == _LONG, F.concat(halves, long)).otherwise(long)
+    return d.withColumn("keys", F.when(few, by_chars).otherwise(by_words)).drop("words", "m", "k1")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -82,74 +172,85 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return d.where(F.col("line").rlike(_WORD)).withColumn("id", F.xxhash64("line"))
 
 
-def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``lines(line, id)`` -> links ``(a, b)`` between ids of different lines within ``edits``."""
-    long = lines.where(F.char_length("line") >= min_chars).select("line").distinct().withColumn("i", F.xxhash64("line"))
-    index, probe = (_keys(long, places(edits), edits) for places in (_index_places, _probe_places))
-    left = lambda d: d.select(F.col("i").alias("id"), F.col("h").alias("key"))
-    right = lambda d: d.select(F.col("i").alias("other"), F.col("h").alias("key_b")).hint("shuffle_hash")
-    meets = (F.col("key") == F.col("key_b")) & (F.col("id") != F.col("other"))
-    probing = left(probe).join(right(index), meets, "left_semi")
-    probed = left(index).join(probing.toDF("other", "key_b").hint("shuffle_hash"), meets, "left_semi")
-    equal = left(index).join(right(index), meets, "left_semi")
-    some = materialize(probing.select("id").union(probed.select("id")).union(equal.select("id")).distinct(), "candidates")
-    texts = lines.where(F.char_length("line") >= min_chars).join(broadcast_if_small(some), "id", "left_semi")
-    texts = materialize(texts.select(F.col("id").alias("i"), "line").distinct(), "lines")
-    a = _keys(texts, _index_places(edits) + _probe_places(edits), edits).select("i", "line", "h")
-    b = _keys(texts, _index_places(edits), edits).select(F.col("i").alias("j"), F.col("line").alias("line_b"), "h")
-    close = (a.h == b.h) & (F.col("i") != F.col("j")) & (F.levenshtein("line", "line_b", edits) >= 0)
-    return a.join(b, close).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct()
-
-
-def long_links(lines: DataFrame) -> DataFrame:
-    """``lines(line, id)`` -> links ``(a, b)`` between ids of different lines of ``LONG_CHARS``
-    characters or more, within one edit for each ``SHARE`` characters of the shorter one."""
-    long = materialize(lines.where(F.char_length("line") >= LONG_CHARS).select("id", "line").distinct(), "long")
-    grams = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(_ANCHORED), F.lit(1))))
-    # 55 bits of hash, and 9 of the length's logarithm: lengths within a share are a step apart at most
-    step = F.floor(F.log(F.char_length("line")) / F.log(F.lit(1 + 1 / SHARE)))
-    rows = long.select("id", F.least(step, F.lit(511)).alias("step"), grams.alias("gram"))
-    rows = rows.select("id", F.shiftleft(F.xxhash64("gram"), 9).bitwiseOR(F.col("step")).alias("key"))
-    a, b = rows.toDF("a", "key_a"), rows.toDF("b", "key_b").hint("shuffle_hash")
-    meets = (F.shiftright("key_a", 9) == F.shiftright("key_b", 9)) & (F.col("a") > F.col("b"))
-    near = F.abs(F.col("key_a").bitwiseAND(F.lit(511)) - F.col("key_b").bitwiseAND(F.lit(511))) <= 1
-    pairs = a.join(b, meets & near).select("a", "b").distinct()
-    pairs = pairs.join(long.toDF("a", "line_a"), "a").join(long.toDF("b", "line_b"), "b")
-    most = f"cast(least(char_length(line_a), char_length(line_b)) div {SHARE} as int)"
-    return pairs.where(f"levenshtein(line_a, line_b, {most}) >= 0").select("a", "b")
-
-
-def grown_links(lines: DataFrame) -> DataFrame:
-    """``lines(line, id)`` -> links ``(a, b)`` between ids of different lines within a distance
-    that grows with the shorter line: 1 from ``SHORT_CHARS`` characters, ``EDITS`` from
-    ``MIN_CHARS``, and a ``SHARE``-th of its length from ``LONG_CHARS``."""
-    n = F.char_length("line")
-    short = near_links(lines.where(n <= MIN_CHARS), 1, SHORT_CHARS)
-    return short.union(near_links(lines.where(n < LONG_CHARS + EDITS))).union(long_links(lines)).distinct()
-
-
-def shared_lines(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
+def _near(n: str, pos: str, other_n: str, other_pos: str) -> Column:
+    """Length and place of two keyed lines allow a link."""
+    most = allowed(F.col("few"), F.least(n, other_n))
+    return (F.abs(F.col(n) - F.col(other_n)) <= most) & (F.abs(F.col(pos) - F.col(other_pos)) <= most)
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that are within the allowed edits."""
+    a = broadcast_if_small(tokens).toDF("a", "few", "tokens_a")
+    b = broadcast_if_small(tokens).drop("few").toDF("b", "tokens_b")
+    most = allowed(F.col("few"), F.least(F.size("tokens_a"), F.size("tokens_b")))
+    # an edit brings in one token at most that the other line lacks
+    alike = (F.size(F.array_except("tokens_a", "tokens_b")) <= most) & (F.size(F.array_except("tokens_b", "tokens_a")) <= most)
+    a_, b_ = F.col("tokens_a"), F.col("tokens_b")
+    # most copies have few edits: a narrow band first
+    near = F.when(alike, within(a_, b_, F.least(most, F.lit(3))) | ((most > 3) & within(a_, b_, most))).otherwise(False)
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+
+
+def near_links(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``lines(line, id)``, repeats and all -> links ``(a, b)`` between ids of different lines;
+    ``found``: the stored table of ``keyed(lines)``."""
+    found = materialize(keyed(lines).drop("line"), "keyed") if found is None else found
+    keys = found.select("id", "few", "n", F.explode("keys").alias("x")).select("id", "few", "n", "x.*")
+    met = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("index").alias("index")).where("lo < hi and index").select("key")
+    met = materialize(met, "met")
+    keys = keys.join(broadcast_if_small(met), "key", "left_semi")
+    keys = materialize(keys.groupBy("id", "few", "n", "key", "pos", "index").agg(F.count("*").alias("times")), "shared-keys")
+    ids = materialize(keys.select("id").distinct(), "candidates")
+    texts = _measured(lines.join(broadcast_if_small(ids), "id", "left_semi"))
+    tokens = materialize(texts.select("id", "few", _tokens().alias("tokens")).groupBy("id", "few").agg(F.first("tokens").alias("tokens")), "tokens")
+
+    # one line of each key
+    middle = keys.where("index").groupBy("key").agg(F.max(F.struct("times", "id", "n", "pos")).alias("c"))
+    middle = middle.select("key", F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), F.col("c.pos").alias("pos_b"))
+    pairs = keys.withColumnRenamed("id", "a").join(middle, "key").where((F.col("a") != F.col("b")) & _near("n", "pos", "n_b", "pos_b"))
+    first = materialize(_verified(pairs.select("a", "b").distinct(), tokens), "star-links")
+
+    # the others, but for pairs that have one neighbour in common already
+    labels = materialize(first.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")), "star-labels")
+    rest = keys.join(broadcast_if_small(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    size = F.floor(F.log("n") / F.log(F.lit(1 + 1 / (RUN + 1)))).cast("int")
+    wide = lambda c: F.ceil(F.pow(F.lit(1 + 1 / (RUN + 1)), c + 1) / (RUN + 1)).cast("int") + 1  # noqa: E731  # no fewer than the edits at that size
+    cell = lambda c, d: F.struct(c.alias("size"), (F.floor(F.col("pos") / wide(c)) + d).cast("int").alias("cell"))
+    around = F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda c: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(size + c, d))))
+    one = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("cell")))
+    long = F.col("pos") >= 0
+    index = rest.where("index").select("key", F.explode(F.when(long, around).otherwise(one)).alias("at"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("label").alias("label_b"))
+    probe = rest.select("key", F.explode(F.when(long, F.array(cell(size, F.lit(0)))).otherwise(one)).alias("at"), F.col("id").alias("a"), "few", "n", "pos", "label")
+    pairs = probe.join(index, ["key", "at"]).where((F.col("label") != F.col("label_b")) & _near("n", "pos", "n_b", "pos_b"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(_verified(pairs, tokens)).distinct()
+
+
+def shared_lines(docs: DataFrame) -> DataFrame:
     """Lines whose class has another: ``(doc_id, text_id, lines)``, ``lines`` an array of
     ``(line_no, class, kept, near)``; near: the line differs from the one that stays."""
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = occurrences(d)
-    roots = connected_components(links(found.select("line", "id"))).withColumnRenamed("node", "id")
-    rows = found.select("doc_id", "text_id", "line_no", "id")
-    rows = rows.join(broadcast_if_small(materialize(roots, "classes")), "id", "left").withColumn("class", F.coalesce("root", "id"))
-    rows = rows.groupBy("class", "doc_id", "text_id", "line_no", "id").agg(F.lit(1).alias("one"))  # equal rows are one document
+    texts = occurrences(d)
+    found = materialize(keyed(texts).drop("line"), "keyed")
+    roots = materialize(connected_components(near_links(texts.select("line", "id"), found)), "classes").withColumnRenamed("node", "id")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_id", "line_no", "id")
-    classes = rows.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(broadcast_if_small(materialize(classes, "firsts")), "class")
+    # rows that are equal in id and text are one document: a line counts once for each place
+    ids = found.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    ids = ids.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id"))
+    ids = materialize(ids.select("id", "class", "first", (F.col("first") != F.col("last")).alias("again")), "line-ids")
+    classes = ids.groupBy("class").agg(F.min("first").alias("first"), F.max("again").alias("again"), F.count("*").alias("n")).where("n > 1 or again").select("class", "first")
+    shared = materialize(ids.select("id", "class").join(classes, "class"), "shared-lines")
+    rows = found.select("doc_id", "text_id", "line_no", "id").join(broadcast_if_small(shared), "id")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id")) & (F.col("line_no") == F.col("first.line_no"))
     mark = F.struct("line_no", "class", kept.alias("kept"), (F.col("id") != F.col("first.id")).alias("near"))
-    return rows.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(mark)).alias("lines"))
+    return rows.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set(mark)).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs(doc_id, text, ...)``: ``row`` (the input row), ``n_lines``,
     ``n_removed``, ``n_near`` (removed and not equal to the line that stays), ``kept_text``,
     ``lines`` (as in ``shared_lines``) and ``emptied`` (lost lines and has no word left)."""
-    marks = materialize(shared_lines(docs, links).withColumnsRenamed({"doc_id": "of_doc", "text_id": "of_text"}), "marks")
+    marks = materialize(shared_lines(docs).withColumnsRenamed({"doc_id": "of_doc", "text_id": "of_text"}), "marks")
     text = F.col("text").cast("string")
     d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_doc"), text.alias("own"), F.xxhash64(text).alias("own_text"))
     d = d.join(broadcast_if_small(marks), (F.col("own_text") == F.col("of_text")) & F.col("own_doc").eqNullSafe(F.col("of_doc")), "left")
@@ -169,9 +270,9 @@ def dedup_lines(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = near_
     ).withColumn("emptied", (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(_WORD))
 
 
-def strip_lines(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = grown_links) -> DataFrame:
+def strip_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text`` (and ``n_chars``, if there, set
     anew); documents left without a word go."""
     new = {"text": F.col("kept_text")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
-    found = dedup_lines(docs, links).where(~F.coalesce("emptied", F.lit(False)))
+    found = dedup_lines(docs).where(~F.coalesce("emptied", F.lit(False)))
     return found.select(*[new.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
