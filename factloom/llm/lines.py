@@ -21,7 +21,10 @@ that can match:
 
 No table of all pairs under a key is made. First each line is compared with one line of its
 key, the one that occurs most often; of the others only pairs that this has not put together
-are compared, dealt by key, length and place. Verified links are returned, which connect
+are compared, dealt by key, length and place. Where a key has many lines, as a passage that a
+large part of them holds, two of them are compared only if one of the rarest tokens of each is
+the same (of k + 1 rarest words k edits leave one), and lines with one edit allowed are not
+compared at all but met by what they are without each of their tokens. Verified links are returned, which connect
 all lines that any chain of pairs within the allowed edits connects.
 
 Distances are banded and bit-parallel (``within``): a band of 61 rows as one long, a step for
@@ -53,6 +56,8 @@ _ALL = (1 << (_TOP + 1)) - 1
 #: Lines of so many words or more are indexed by least hashes.
 _LONG = 2 * RUN + 1
 _PLACE = (1 << 24) - 1
+#: Pairs of lines in a group beyond which lines must also share a rare token.
+_GROUP = 1 << 10
 _WORD = r"[^\x20\x09-\x0D]"
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -191,6 +196,41 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
+def _tokens_of(lines: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``(id, few, tokens)`` of the lines with these ids, once each."""
+    ids = materialize(ids.distinct(), f"{name}-ids")
+    texts = _measured(lines.join(broadcast_if_small(ids), "id", "left_semi"))
+    return materialize(texts.select("id", "few", _tokens().alias("tokens")).groupBy("id", "few").agg(F.first("tokens").alias("tokens")), f"{name}-tokens")
+
+
+def _rare(tokens: DataFrame) -> DataFrame:
+    """``(id, rare)``: of each line so many of its rarest tokens that two lines within the
+    allowed edits have one in common. An edit takes a word away, or four runs of characters."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 3), lambda i: F.xxhash64(F.slice("tokens", i, F.lit(4))))
+    most = allowed(F.col("few"), F.size("tokens")) * F.when(F.col("few"), 4).otherwise(1) + 1
+    each = tokens.select("id", most.alias("most"), F.explode(F.array_distinct(F.when(F.col("few"), runs).otherwise(F.col("tokens")))).alias("rare"))
+    often = materialize(each.groupBy("rare").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    each = each.join(broadcast_if_small(often), "rare", "left").select("id", "most", F.struct(F.coalesce("times", F.lit(1)).alias("times"), "rare").alias("t"))
+    each = each.groupBy("id", "most").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    return materialize(each.select("id", F.explode(F.slice("ts", F.lit(1), F.col("most"))).alias("t")).select("id", "t.rare"), "rare")
+
+
+def one_edit_links(tokens: DataFrame) -> DataFrame:
+    """``(id, few, tokens)`` -> links that connect the lines whose shorter one is allowed one
+    edit, without comparing pairs: lines that are equal but for the token at the same place, each
+    with the first of them, and lines that equal another one without a token."""
+    last = F.when(F.col("few"), 32).otherwise(3 * (RUN + 1) - 1)
+    short = tokens.where(F.size("tokens") <= last)
+    whole = short.select(F.col("id").alias("b"), F.xxhash64("few", "tokens").alias("h"))
+    cut = lambda i: F.xxhash64("few", F.concat(F.slice("tokens", F.lit(1), i - 1), F.slice("tokens", i + 1, F.size("tokens"))))
+    less = short.select("id", "few", F.size("tokens").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens")), cut)).alias("i", "h"))
+    same = less.where("n < if(few, 32, %d)" % (3 * (RUN + 1) - 1))
+    firsts = materialize(same.groupBy("i", "h").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c"), "one-edit")
+    same = same.join(broadcast_if_small(firsts), ["i", "h"]).where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b")
+    longer = less.join(whole, "h").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b")
+    return same.union(longer).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_links(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """``lines(line, id)``, repeats and all -> links ``(a, b)`` between ids of different lines;
     ``found``: the stored table of ``keyed(lines)``."""
@@ -200,15 +240,14 @@ def near_links(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     met = materialize(met, "met")
     keys = keys.join(broadcast_if_small(met), "key", "left_semi")
     keys = materialize(keys.groupBy("id", "few", "n", "key", "pos", "index").agg(F.count("*").alias("times")), "shared-keys")
-    ids = materialize(keys.select("id").distinct(), "candidates")
-    texts = _measured(lines.join(broadcast_if_small(ids), "id", "left_semi"))
-    tokens = materialize(texts.select("id", "few", _tokens().alias("tokens")).groupBy("id", "few").agg(F.first("tokens").alias("tokens")), "tokens")
 
     # one line of each key
     middle = keys.where("index").groupBy("key").agg(F.max(F.struct("times", "id", "n", "pos")).alias("c"))
-    middle = middle.select("key", F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), F.col("c.pos").alias("pos_b"))
-    pairs = keys.withColumnRenamed("id", "a").join(middle, "key").where((F.col("a") != F.col("b")) & _near("n", "pos", "n_b", "pos_b"))
-    first = materialize(_verified(pairs.select("a", "b").distinct(), tokens), "star-links")
+    middle = materialize(middle.select("key", F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), F.col("c.pos").alias("pos_b")), "middle")
+    pairs = keys.withColumnRenamed("id", "a").join(broadcast_if_small(middle), "key").where((F.col("a") != F.col("b")) & _near("n", "pos", "n_b", "pos_b"))
+    pairs = materialize(pairs.select("a", "b").distinct(), "star-pairs")
+    tokens = _tokens_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("id")), "star")
+    first = materialize(_verified(pairs, tokens), "star-links")
 
     # the others, but for pairs that have one neighbour in common already
     labels = materialize(first.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")), "star-labels")
@@ -218,12 +257,27 @@ def near_links(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     cell = lambda c, d: F.struct(c.alias("size"), (F.floor(F.col("pos") / wide(c)) + d).cast("int").alias("cell"))
     around = F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda c: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(size + c, d))))
     one = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("cell")))
-    long = F.col("pos") >= 0
-    index = rest.where("index").select("key", F.explode(F.when(long, around).otherwise(one)).alias("at"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("label").alias("label_b"))
-    probe = rest.select("key", F.explode(F.when(long, F.array(cell(size, F.lit(0)))).otherwise(one)).alias("at"), F.col("id").alias("a"), "few", "n", "pos", "label")
-    pairs = probe.join(index, ["key", "at"]).where((F.col("label") != F.col("label_b")) & _near("n", "pos", "n_b", "pos_b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(_verified(pairs, tokens)).distinct()
+    long, group = F.col("pos") >= 0, ["key", "size", "cell"]
+    index = rest.where("index").select("key", F.inline(F.when(long, around).otherwise(one)), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("label").alias("label_b"))
+    probe = rest.select("key", F.inline(F.when(long, F.array(cell(size, F.lit(0)))).otherwise(one)), F.col("id").alias("a"), "few", "n", "pos", "label")
+    counts = probe.groupBy(group).agg(F.count("*").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).join(index.groupBy(group).agg(F.count("*").alias("q"), F.min("label_b").alias("lo_b"), F.max("label_b").alias("hi_b")), group)
+    counts = counts.where(F.least("lo", "lo_b") < F.greatest("hi", "hi_b"))
+    counts = materialize(counts.select(*group, (F.col("p") * F.col("q") > _GROUP).alias("large")), "groups")
+    small, large = (broadcast_if_small(materialize(counts.where(w).select(*group), "some")) for w in ("not large", "large"))
+    meets = (F.col("label") != F.col("label_b")) & _near("n", "pos", "n_b", "pos_b")
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    pairs = materialize(probe.join(small, group, "left_semi").join(index, group).where(meets).select(*ordered).distinct(), "pairs")
+    # where many meet, as at a passage that all have, also their rarest tokens must
+    probe = materialize(probe.join(large, group, "left_semi"), "probe")
+    index = materialize(index.join(large, group, "left_semi"), "index")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(probe.select("a")).union(index.select("b"))
+    tokens = _tokens_of(lines, ids, "pair")
+    crowd = materialize(probe.select(F.col("a").alias("id")).union(index.select("b")).distinct(), "crowd")
+    crowd = materialize(tokens.join(broadcast_if_small(crowd), "id", "left_semi"), "crowd-tokens")
+    rare = _rare(crowd.where(allowed(F.col("few"), F.size("tokens")) > 1))
+    more = probe.join(broadcast_if_small(rare).withColumnRenamed("id", "a"), "a").join(index.join(broadcast_if_small(rare).withColumnRenamed("id", "b"), "b"), [*group, "rare"])
+    pairs = pairs.union(more.where(meets).select(*ordered)).distinct()
+    return first.select(*ordered).union(_verified(pairs, tokens)).union(one_edit_links(crowd)).distinct()
 
 
 def shared_lines(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import lines
@@ -109,7 +110,9 @@ def test_edge_rows(spark):
     assert lines.dedup_lines(docs).collect() == []
 
 
-def test_links_match_brute_force(spark):
+@pytest.mark.parametrize("crowd", [lines._GROUP, 0])
+def test_links_match_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "_GROUP", crowd)
     rng = random.Random(5)
     pool = set()
     for n in [11, 12, 13, 37, 38, 39, 40, 41, 58, 59, 60, 78, 79, 80, 120, 160, 161]:
