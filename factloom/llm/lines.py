@@ -20,11 +20,11 @@ that can match:
   compared as part of the join.
 
 No table of all pairs under a key is made. First each line is compared with one line of its
-key, the one that occurs most often; of the others only pairs that this has not put together
-are compared, dealt by key, length and place. Where a key has many lines, as a passage that a
-large part of them holds, two of them are compared only if one of the rarest tokens of each is
-the same (of k + 1 rarest words k edits leave one), and lines with one edit allowed are not
-compared at all but met by what they are without each of their tokens. Verified links are returned, which connect
+key, the one whose keys most others have; of the others only pairs that this has not put
+together are compared, dealt by key, length and place. Where a key has many lines, as a passage
+that a large part of them holds, its lines are met by the rarest tokens of each instead (of
+k + 1 rarest words k edits leave one), and those with one edit allowed are not compared at all
+but met by what they are without each of their tokens. Verified links are returned, which connect
 all lines that any chain of pairs within the allowed edits connects.
 
 Distances are banded and bit-parallel (``within``): a band of 61 rows as one long, a step for
@@ -241,8 +241,11 @@ def near_links(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     keys = keys.join(broadcast_if_small(met), "key", "left_semi")
     keys = materialize(keys.groupBy("id", "few", "n", "key", "pos", "index").agg(F.count("*").alias("times")), "shared-keys")
 
-    # one line of each key
-    middle = keys.where("index").groupBy("key").agg(F.max(F.struct("times", "id", "n", "pos")).alias("c"))
+    # one line of each key: that whose keys most others have, which has the fewest edits of its kind
+    crowds = keys.groupBy("key").agg(F.count("*").alias("crowd"))
+    common = materialize(keys.select("id", "key").join(crowds, "key").groupBy("id").agg(F.sum("crowd").alias("common")), "common")
+    central = keys.where("index").join(broadcast_if_small(common), "id")
+    middle = central.groupBy("key").agg(F.max(F.struct("common", "times", "id", "n", "pos")).alias("c"))
     middle = materialize(middle.select("key", F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), F.col("c.pos").alias("pos_b")), "middle")
     pairs = keys.withColumnRenamed("id", "a").join(broadcast_if_small(middle), "key").where((F.col("a") != F.col("b")) & _near("n", "pos", "n_b", "pos_b"))
     pairs = materialize(pairs.select("a", "b").distinct(), "star-pairs")
@@ -267,17 +270,18 @@ def near_links(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     meets = (F.col("label") != F.col("label_b")) & _near("n", "pos", "n_b", "pos_b")
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     pairs = materialize(probe.join(small, group, "left_semi").join(index, group).where(meets).select(*ordered).distinct(), "pairs")
-    # where many meet, as at a passage that all have, also their rarest tokens must
-    probe = materialize(probe.join(large, group, "left_semi"), "probe")
-    index = materialize(index.join(large, group, "left_semi"), "index")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(probe.select("a")).union(index.select("b"))
-    tokens = _tokens_of(lines, ids, "pair")
-    crowd = materialize(probe.select(F.col("a").alias("id")).union(index.select("b")).distinct(), "crowd")
-    crowd = materialize(tokens.join(broadcast_if_small(crowd), "id", "left_semi"), "crowd-tokens")
-    rare = _rare(crowd.where(allowed(F.col("few"), F.size("tokens")) > 1))
-    more = probe.join(broadcast_if_small(rare).withColumnRenamed("id", "a"), "a").join(index.join(broadcast_if_small(rare).withColumnRenamed("id", "b"), "b"), [*group, "rare"])
-    pairs = pairs.union(more.where(meets).select(*ordered)).distinct()
-    return first.select(*ordered).union(_verified(pairs, tokens)).union(one_edit_links(crowd)).distinct()
+    # where many meet, as at a passage that all have, lines meet by their rarest tokens instead
+    crowd = probe.join(large, group, "left_semi").select(F.col("a").alias("id"), "label").union(index.join(large, group, "left_semi").select("b", "label_b"))
+    crowd = materialize(crowd.distinct(), "crowd")
+    tokens = _tokens_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd.select("id")), "pair")
+    crowd = materialize(tokens.join(broadcast_if_small(crowd), "id"), "crowd-tokens")
+    several = crowd.where(allowed(F.col("few"), F.size("tokens")) > 1)
+    rare = materialize(_rare(several).join(broadcast_if_small(materialize(several.select("id", "few", F.size("tokens").alias("n"), F.lit(0).alias("pos"), "label"), "several")), "id"), "rare-lines")
+    a_ = rare.withColumnRenamed("id", "a")
+    b_ = rare.select("rare", "few", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("label").alias("label_b"))
+    more = a_.join(b_, ["rare", "few"]).where((F.col("a") > F.col("b")) & meets)
+    pairs = pairs.union(more.select("a", "b")).distinct()
+    return first.select(*ordered).union(_verified(pairs, tokens)).union(one_edit_links(crowd.drop("label"))).distinct()
 
 
 def shared_lines(docs: DataFrame) -> DataFrame:
