@@ -35,7 +35,7 @@ UNION ALL SELECT concat('supplier:', s_suppkey), concat('nation:', s_nationkey),
 UNION ALL SELECT concat('nation:', n_nationkey), concat('region:', n_regionkey), 'call', CAST(4 AS BIGINT), 1e0, CAST(7000000000000 + n_nationkey AS BIGINT) FROM nation""",
     "file_edges": """
 SELECT a.path AS source, b.path AS target, a.domain AS source_domain, b.domain AS target_domain, x.kind, x.line, x.seq FROM (
-  SELECT l_partkey AS s, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) + 1 AS t, CASE l_returnflag WHEN 'A' THEN 'import' WHEN 'N' THEN 'call' ELSE 'data' END AS kind, CAST(l_linenumber AS BIGINT) AS line, CAST(l_orderkey * 100 + l_linenumber AS BIGINT) AS seq FROM lineitem WHERE l_orderkey % 4 = 0
+  SELECT l_partkey AS s, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) + 1 AS t, CASE l_returnflag WHEN 'A' THEN 'import' WHEN 'N' THEN 'call' ELSE 'data' END AS kind, CAST(l_linenumber AS BIGINT) AS line, CAST(l_orderkey * 100 + l_linenumber AS BIGINT) AS seq FROM lineitem
 ) x JOIN files a ON a.seq = x.s JOIN files b ON b.seq = x.t""",
     "memberships": """
 SELECT domain AS layer, id AS node_id, seq AS pos FROM files
@@ -43,15 +43,15 @@ UNION ALL SELECT lower(c_mktsegment), concat('customer:', c_custkey), c_custkey
 UNION ALL SELECT 'lost', concat('part:', 100000000 + n_nationkey), CAST(n_nationkey AS BIGINT) FROM nation""",
     "raw_nodes": """
 SELECT CASE seq % 4 WHEN 0 THEN concat('proj:', replace(id, 'part:', 'file:')) WHEN 1 THEN replace(id, 'part:', 'file:file:') ELSE replace(id, 'part:', 'file:') END AS id,
-  CASE seq % 6 WHEN 0 THEN 'FUNC' WHEN 1 THEN 'Method' WHEN 2 THEN 'file' WHEN 3 THEN 'interface' WHEN 4 THEN 'db_table' ELSE 'pkg' END AS type, path AS name,
-  CASE seq % 9 WHEN 0 THEN 'LOW' WHEN 1 THEN 'trivial' WHEN 2 THEN 'hard' WHEN 3 THEN '7' WHEN 4 THEN '2' WHEN 5 THEN NULL WHEN 6 THEN 'medium' WHEN 7 THEN 'odd' ELSE 'complex' END AS complexity, seq
+  CASE seq % 6 WHEN 0 THEN 'FUNC' WHEN 1 THEN 'Method' WHEN 2 THEN 'file' WHEN 3 THEN 'interface' WHEN 4 THEN 'db' ELSE 'pkg' END AS type, path AS name,
+  CASE seq % 9 WHEN 0 THEN 'LOW' WHEN 1 THEN 'easy' WHEN 2 THEN 'hard' WHEN 3 THEN '7' WHEN 4 THEN '2' WHEN 5 THEN NULL WHEN 6 THEN 'medium' WHEN 7 THEN 'odd' ELSE 'complex' END AS complexity, seq
 FROM files
 UNION ALL SELECT replace(id, 'part:', 'file:'), 'file', concat(path, '~'), 'simple', 50000000 + seq FROM files WHERE seq % 10 = 0""",
     "raw_edges": """
 SELECT replace(concat('part:', l_partkey), 'part:', CASE WHEN l_linenumber = 2 THEN 'proj:file:' ELSE 'file:' END) AS source, concat('file:', CASE WHEN l_linenumber = 5 THEN 90000000 + l_suppkey ELSE (l_partkey * 3 + l_suppkey) % (SELECT count(*) FROM part) + 1 END) AS target,
-  CASE l_linenumber % 4 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'extends' WHEN 2 THEN 'import' ELSE 'uses' END AS type,
+  CASE l_linenumber % 4 WHEN 0 THEN 'INVOKES' WHEN 1 THEN 'extends' WHEN 2 THEN 'import' ELSE 'uses' END AS type,
   CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN 'x' WHEN l_linenumber = 6 THEN '1.5' WHEN l_linenumber = 7 THEN '-2' ELSE CAST(l_discount AS VARCHAR(20)) END AS weight, CAST(l_orderkey * 100 + l_linenumber AS BIGINT) AS seq
-FROM lineitem WHERE l_orderkey % 3 = 0""",
+FROM lineitem""",
     "commits": """
 SELECT o_orderkey AS sha, o_orderdate AS ts, concat('dev', o_custkey % 50) AS author, o_orderpriority = '1-URGENT' AS is_merge, f.path, CAST(l_quantity AS BIGINT) AS added, CAST(l_discount * 100 AS BIGINT) AS deleted
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN files f ON f.seq = l_partkey""",

@@ -5,10 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Aliases of types, complexities and directions, as the tool chain knows them.
-NODE_TYPES = {"func": "function", "method": "function", "fn": "function", "interface": "class", "struct": "class", "pkg": "module", "package": "module", "db_table": "table", "container": "service", "doc": "document"}
-EDGE_TYPES = {"extends": "inherits", "call": "calls", "invokes": "calls", "import": "imports", "uses": "depends_on", "requires": "depends_on"}
-COMPLEXITIES = {"low": "simple", "easy": "simple", "trivial": "simple", "medium": "moderate", "intermediate": "moderate", "high": "complex", "hard": "complex", "difficult": "complex"}
+# Aliases of types, complexities and directions, as the tool chain knows them, in its order.
+NODE_TYPES = {
+    "func": "function", "fn": "function", "method": "function", "interface": "class", "struct": "class",
+    "mod": "module", "pkg": "module", "package": "module", "container": "service", "deployment": "service",
+    "pod": "service", "doc": "document", "readme": "document", "docs": "document", "job": "pipeline",
+    "ci": "pipeline", "route": "endpoint", "api": "endpoint", "query": "endpoint", "mutation": "endpoint",
+    "setting": "config", "env": "config", "configuration": "config", "infra": "resource",
+    "infrastructure": "resource", "terraform": "resource", "migration": "table", "database": "table", "db": "table",
+    "view": "table", "proto": "schema", "protobuf": "schema", "definition": "schema", "typedef": "schema",
+    "business_domain": "domain", "business_flow": "flow", "business_process": "flow", "task": "step",
+    "business_step": "step", "note": "article", "page": "article", "wiki_page": "article", "person": "entity",
+    "actor": "entity", "organization": "entity", "tag": "topic", "category": "topic", "theme": "topic",
+    "assertion": "claim", "decision": "claim", "thesis": "claim", "reference": "source", "raw": "source",
+    "paper": "source",
+}
+EDGE_TYPES = {
+    "extends": "inherits", "invokes": "calls", "invoke": "calls", "uses": "depends_on", "requires": "depends_on",
+    "relates_to": "related", "related_to": "related", "similar": "similar_to", "import": "imports",
+    "export": "exports", "contain": "contains", "publish": "publishes", "subscribe": "subscribes",
+    "describes": "documents", "documented_by": "documents", "creates": "provisions", "exposes": "serves",
+    "listens": "serves", "deploys_to": "deploys", "migrates_to": "migrates", "routes_to": "routes",
+    "triggers_on": "triggers", "fires": "triggers", "defines": "defines_schema", "has_flow": "contains_flow",
+    "next_step": "flow_step", "interacts_with": "cross_domain", "references": "cites", "cites_source": "cites",
+    "conflicts_with": "contradicts", "disagrees_with": "contradicts", "refines": "builds_on",
+    "elaborates": "builds_on", "illustrates": "exemplifies", "instance_of": "exemplifies",
+    "example_of": "exemplifies", "belongs_to": "categorized_under", "tagged_with": "categorized_under",
+    "written_by": "authored_by", "created_by": "authored_by",
+}
+COMPLEXITIES = {
+    "low": "simple", "easy": "simple", "medium": "moderate", "intermediate": "moderate", "high": "complex",
+    "hard": "complex", "difficult": "complex",
+}
+DIRECTIONS = {
+    "to": "forward", "outbound": "forward", "from": "backward", "inbound": "backward", "both": "bidirectional",
+    "mutual": "bidirectional",
+}
 PREFIXES = ("file", "function", "class", "module", "service", "table", "document")
 STOP_WORDS = ("the", "and", "for", "with", "this", "that")
 

@@ -178,16 +178,16 @@ def _a20(t: Tables) -> DataFrame:
 
 @query(
     "c4_batch_report",
-    """j AS (SELECT concat('job', seq % 4) AS name, CASE WHEN seq % 3 = 0 THEN concat(path, '?') ELSE path END AS handler, seq FROM files WHERE seq % 23 = 1),
-r AS (SELECT handler AS root, handler AS path, 0 AS depth FROM j UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN file_edges e ON e.source = r.path WHERE depth < 2), s AS (SELECT root, count(DISTINCT path) AS n FROM r GROUP BY root),
+    """j AS (SELECT concat('job', seq % 4) AS name, CASE WHEN seq % 3 = 0 THEN concat(path, '?') ELSE path END AS handler, seq FROM files WHERE domain = 'brand11' AND path LIKE '%/controller/%'),
+r AS (SELECT handler AS root, handler AS path, 0 AS depth FROM j UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN file_edges e ON e.source = r.path WHERE depth < 12), s AS (SELECT root, count(DISTINCT path) AS n FROM r GROUP BY root),
 k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS i FROM j)
 SELECT CASE WHEN i = 1 THEN name ELSE concat(name, '#dup', i) END AS key, seq % 3 > 0 AS resolved, CASE WHEN seq % 3 > 0 THEN n ELSE -1 END AS reached FROM k JOIN s ON root = handler""",
     ("files", "file_edges"),
     recursive=True,
 )
 def _c4(t: Tables) -> DataFrame:
-    jobs = t.files.where("seq % 23 = 1").select(F.concat(F.lit("job"), (F.col("seq") % 4).cast("string")).alias("name"), F.when(F.col("seq") % 3 == 0, F.concat("path", F.lit("?"))).otherwise(F.col("path")).alias("handler"), "seq")
-    return batch_report(jobs, t.file_edges, t.files, 2).withColumn("reached", F.coalesce("reached", F.lit(-1)))
+    jobs = t.files.where("domain = 'brand11' and path like '%/controller/%'").select(F.concat(F.lit("job"), (F.col("seq") % 4).cast("string")).alias("name"), F.when(F.col("seq") % 3 == 0, F.concat("path", F.lit("?"))).otherwise(F.col("path")).alias("handler"), "seq")
+    return batch_report(jobs, t.file_edges, t.files, 12).withColumn("reached", F.coalesce("reached", F.lit(-1)))
 
 
 @query(
@@ -254,13 +254,13 @@ def _c16(t: Tables) -> DataFrame:
 
 @query(
     "c19_hotspots",
-    """roots AS (SELECT path AS root FROM files WHERE seq % 50 = 2), r AS (SELECT root, root AS path, 0 AS depth FROM roots UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN file_edges e ON e.source = r.path WHERE depth < 2), s AS (SELECT root, count(DISTINCT path) - 1 AS n FROM r GROUP BY root)
+    """roots AS (SELECT path AS root FROM files WHERE domain = 'brand11' AND path LIKE '%/controller/%'), r AS (SELECT root, root AS path, 0 AS depth FROM roots UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN file_edges e ON e.source = r.path WHERE depth < 12), s AS (SELECT root, count(DISTINCT path) - 1 AS n FROM r GROUP BY root)
 SELECT root AS id, (SELECT count(DISTINCT source) FROM file_edges WHERE target = root AND source <> root) AS fan_in, (SELECT count(DISTINCT target) FROM file_edges WHERE source = root AND target <> root) AS fan_out, n AS reach FROM s""",
     ("files", "file_edges"),
     recursive=True,
 )
 def _c19(t: Tables) -> DataFrame:
-    return hotspots(t.file_edges, t.files.where("seq % 50 = 2").select(F.col("path").alias("root")), 2)
+    return hotspots(t.file_edges, t.files.where("domain = 'brand11' and path like '%/controller/%'").select(F.col("path").alias("root")), 12)
 
 
 @query("c21_minimal_graph", "SELECT concat('file:', path) AS id, 'file' AS type, '-' AS defined_by FROM files UNION ALL SELECT concat('table:', lower(domain)), 'table', concat('file:', arg_min(path, seq)) FROM files WHERE lang = 'sql' GROUP BY lower(domain)", ("files",))

@@ -173,12 +173,12 @@ def _j22(t: Tables) -> DataFrame:
 
 @query(
     "q5_screen_errors",
-    """s AS (SELECT domain AS key, seq, seq % 4 = 0 AS confirmed, CASE WHEN seq % 8 > 0 THEN lang END AS evidence FROM files WHERE seq % 9 < 2)
+    """s AS (SELECT domain AS key, seq, seq % 4 = 0 AS confirmed, CASE WHEN seq % 8 > 0 THEN lang END AS evidence FROM files)
 SELECT key, 'duplicate' AS error FROM s GROUP BY key HAVING count(*) > 1 UNION SELECT key, 'no-evidence' FROM s WHERE confirmed AND evidence IS NULL UNION SELECT key, 'hash' FROM s WHERE seq % 6 = 0""",
     ("files",),
 )
 def _q5(t: Tables) -> DataFrame:
     n = F.col("seq")
     parts = F.array("lang", "path", "lang")
-    d = t.files.where("seq % 9 < 2").select(F.col("domain").alias("key"), F.col("path").alias("title"), parts.alias("elements"), (n % 4 == 0).alias("confirmed"), F.when(n % 8 > 0, F.col("lang")).alias("evidence"), "seq")
+    d = t.files.select(F.col("domain").alias("key"), F.col("path").alias("title"), parts.alias("elements"), (n % 4 == 0).alias("confirmed"), F.when(n % 8 > 0, F.col("lang")).alias("evidence"), "seq")
     return screen_errors(d.withColumn("hash", F.when(n % 6 == 0, "no").otherwise(fn.signature(F.col("title"), F.col("elements")))))

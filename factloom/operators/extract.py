@@ -92,9 +92,11 @@ def summaries(lines: DataFrame) -> DataFrame:
 def windows(anchors: DataFrame, lines: DataFrame, before: int = 10, size: int = 80) -> DataFrame:
     """The lines from ``before`` ahead of each anchor, ``size`` of them, and if more follow."""
     a = anchors.select("file", F.col("line_no").alias("anchor")).withColumn("start", F.greatest(F.col("anchor") - before, F.lit(1)))
-    d = a.join(lines, "file").where((F.col("line_no") >= F.col("start")) & (F.col("line_no") <= F.col("start") + size))
-    inside = F.col("line_no") < F.col("start") + size
-    return d.groupBy("file", "anchor").agg(F.count_if(inside).alias("lines"), F.bool_or(~inside).alias("truncated"), F.sum(F.when(inside, F.char_length("line"))).alias("chars"))
+    # frames over the file's lines in order, one for every place a window can start at
+    here = Window.partitionBy("file").orderBy("line_no")
+    frame = here.rangeBetween(0, size - 1)
+    frames = lines.select("file", F.col("line_no").alias("start"), F.count("*").over(frame).alias("lines"), F.sum(F.char_length("line")).over(frame).alias("chars"), (F.max("line_no").over(here.rangeBetween(0, size)) >= F.col("line_no") + size).alias("truncated"))
+    return a.join(frames, ["file", "start"]).select("file", "anchor", "lines", "truncated", "chars")
 
 
 def split_statements(files: DataFrame) -> DataFrame:
@@ -123,14 +125,14 @@ def _lines(t: Tables) -> DataFrame:
     return t.lines.withColumnRenamed("doc_id", "file")
 
 
-_SQL_LINES = "q AS (SELECT o_orderkey AS file, l_linenumber AS line_no, concat(CASE l_linenumber % 4 WHEN 0 THEN 'INSERT INTO ' WHEN 1 THEN 'select * from ' WHEN 2 THEN 'update ' ELSE 'DELETE FROM ' END, CASE l_partkey % 3 WHEN 0 THEN 'T_Order' WHEN 1 THEN 'item' ELSE 'nowhere' END, CASE WHEN l_linenumber = 1 THEN ' join ITEM on 1' ELSE '' END) AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 = 0)"
+_SQL_LINES = "q AS (SELECT o_orderkey AS file, l_linenumber AS line_no, concat(CASE l_linenumber % 4 WHEN 0 THEN 'INSERT INTO ' WHEN 1 THEN 'select * from ' WHEN 2 THEN 'update ' ELSE 'DELETE FROM ' END, CASE l_partkey % 3 WHEN 0 THEN 'T_Order' WHEN 1 THEN 'item' ELSE 'nowhere' END, CASE WHEN l_linenumber = 1 THEN ' join ITEM on 1' ELSE '' END) AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
 def _sql_lines(t: Tables) -> DataFrame:
     n = F.col("l_linenumber") % 4
     verb = F.when(n == 0, "INSERT INTO ").when(n == 1, "select * from ").when(n == 2, "update ").otherwise("DELETE FROM ")
     tbl = F.when(F.col("l_partkey") % 3 == 0, "T_Order").when(F.col("l_partkey") % 3 == 1, "item").otherwise("nowhere")
-    return t.lineitem.where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("line_no"), F.concat(verb, tbl, F.when(F.col("l_linenumber") == 1, " join ITEM on 1").otherwise("")).alias("line"))
+    return t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("line_no"), F.concat(verb, tbl, F.when(F.col("l_linenumber") == 1, " join ITEM on 1").otherwise("")).alias("line"))
 
 
 @query(
@@ -155,11 +157,11 @@ def _x5(t: Tables) -> DataFrame:
 
 @query(
     "x9_policy_rows",
-    """b AS (SELECT doc_id AS file, line_no, regexp_extract(line, '^[^ ]+') AS s, line FROM lines WHERE length(line) > 20 AND line_no % 2 = 1 AND regexp_matches(line, '^[A-Za-z]+ ')) SELECT file, s AS subject, arg_min(line, line_no) AS statement FROM b GROUP BY file, s""",
+    """b AS (SELECT doc_id AS file, line_no, regexp_extract(line, '^[^ ]+') AS s, line FROM lines WHERE regexp_matches(line, '^[A-Za-z]+ ')) SELECT file, s AS subject, arg_min(line, line_no) AS statement FROM b GROUP BY file, s""",
     ("lines",),
 )
 def _x9(t: Tables) -> DataFrame:
-    d = _lines(t).where("length(line) > 20 and line_no % 2 = 1").where(F.col("line").rlike("^[A-Za-z]+ "))
+    d = _lines(t).where(F.col("line").rlike("^[A-Za-z]+ "))
     return policy_rows(d.withColumn("line", F.concat(F.lit("- **"), F.substring_index("line", " ", 1), F.lit("**: "), "line")))
 
 
@@ -183,14 +185,14 @@ def _x11(t: Tables) -> DataFrame:
 
 @query(
     "x12_verify_citations",
-    r"""c AS (SELECT doc_id AS claim, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1000000 ELSE doc_id END AS file, line_no + CASE WHEN doc_id % 7 = 0 THEN 100000 ELSE 0 END AS line_no, CASE WHEN doc_id % 3 = 0 THEN 'nowhere at all' ELSE substr(line, 2, 15) END AS snippet FROM lines WHERE line_no <= 2), l AS (SELECT doc_id AS file, max(line_no) AS last FROM lines GROUP BY 1)
+    r"""c AS (SELECT doc_id AS claim, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1000000 ELSE doc_id END AS file, line_no + CASE WHEN doc_id % 7 = 0 THEN 100000 ELSE 0 END AS line_no, CASE WHEN doc_id % 3 = 0 THEN 'nowhere at all' ELSE substr(line, 2, 15) END AS snippet FROM lines), l AS (SELECT doc_id AS file, max(line_no) AS last FROM lines GROUP BY 1)
 SELECT claim, c.file, c.line_no, CASE WHEN last IS NULL THEN 'no-file' WHEN c.line_no > last THEN 'out-of-range' WHEN contains(trim(regexp_replace(line, '\s+', ' ', 'g')), trim(regexp_replace(snippet, '\s+', ' ', 'g'))) THEN 'ok' ELSE 'mismatch' END AS status
 FROM c LEFT JOIN l USING (file) LEFT JOIN lines ON doc_id = c.file AND lines.line_no = c.line_no""",
     ("lines",),
 )
 def _x12(t: Tables) -> DataFrame:
     n = F.col("doc_id")
-    c = t.lines.where("line_no <= 2").select(n.alias("claim"), F.when(n % 5 == 0, n + 1000000).otherwise(n).alias("file"), (F.col("line_no") + F.when(n % 7 == 0, 100000).otherwise(0)).alias("line_no"), F.when(n % 3 == 0, "nowhere at all").otherwise(F.substring("line", 2, 15)).alias("snippet"))
+    c = t.lines.select(n.alias("claim"), F.when(n % 5 == 0, n + 1000000).otherwise(n).alias("file"), (F.col("line_no") + F.when(n % 7 == 0, 100000).otherwise(0)).alias("line_no"), F.when(n % 3 == 0, "nowhere at all").otherwise(F.substring("line", 2, 15)).alias("snippet"))
     return verify_citations(c, _lines(t))
 
 
@@ -201,11 +203,11 @@ def _x14(t: Tables) -> DataFrame:
 
 @query(
     "x15_windows",
-    "a AS (SELECT doc_id AS file, line_no AS anchor, greatest(line_no - 2, 1) AS start FROM lines WHERE line_no % 4 = 3) SELECT file, anchor, count(*) FILTER (WHERE line_no < start + 5) AS lines, bool_or(line_no >= start + 5) AS truncated, CAST(sum(length(line)) FILTER (WHERE line_no < start + 5) AS BIGINT) AS chars FROM a JOIN lines ON doc_id = file AND line_no BETWEEN start AND start + 5 GROUP BY file, anchor",
+    "a AS (SELECT doc_id AS file, line_no AS anchor, greatest(line_no - 10, 1) AS start FROM lines) SELECT file, anchor, count(*) FILTER (WHERE line_no < start + 80) AS lines, bool_or(line_no >= start + 80) AS truncated, CAST(sum(length(line)) FILTER (WHERE line_no < start + 80) AS BIGINT) AS chars FROM a JOIN lines ON doc_id = file AND line_no BETWEEN start AND start + 80 GROUP BY file, anchor",
     ("lines",),
 )
 def _x15(t: Tables) -> DataFrame:
-    return windows(_lines(t).where("line_no % 4 = 3"), _lines(t), 2, 5)
+    return windows(_lines(t), _lines(t))
 
 
 @query("x13_definitions", "SELECT concat('t', p_partkey) AS file, i AS pos, CASE i WHEN 0 THEN concat('id number(', p_size, ', 2)') WHEN 1 THEN concat('name ', p_brand) ELSE 'check (a in (1, 2))' END AS definition FROM part, range(3) r(i)")

@@ -181,30 +181,31 @@ def diff_context(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> Data
 
 
 _REACH = """e AS (SELECT source, target, kind, line FROM edges WHERE kind IN ('call', 'data', 'inherit')),
-r AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT e.source, r.depth + 1 FROM r JOIN e ON e.target = r.id WHERE r.depth < 3),
+r AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT e.source, r.depth + 1 FROM r JOIN e ON e.target = r.id WHERE r.depth < 12),
 d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id),
-c AS (SELECT e.source AS id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, min(struct_pack(line := line, source := e.source)) AS first FROM d JOIN e ON e.target = d.id WHERE d.depth < 3 GROUP BY e.source)
+c AS (SELECT e.source AS id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, min(struct_pack(line := line, source := e.source)) AS first FROM d JOIN e ON e.target = d.id WHERE d.depth < 12 GROUP BY e.source)
 SELECT id, depth, kinds, first.line AS line, first.source AS file FROM d JOIN c USING (id) WHERE depth > 0"""
 
 
 @query("g1_reach", _REACH, ("edges",), recursive=True)
 def _g1(t: Tables) -> DataFrame:
     seeds = t.nodes.where("id = 'nation:3'")
-    return reach_closure(t.edges, seeds, cap=3)
+    return reach_closure(t.edges, seeds)
 
 
-_SLICES = """roots AS (SELECT path AS root FROM files WHERE seq % 50 = 1),
-r AS (SELECT root, root AS path, 0 AS depth FROM roots UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN file_edges e ON e.source = r.path WHERE r.depth < 2),
+_SLICES = """roots AS (SELECT path AS root FROM files WHERE domain = 'brand11' AND path LIKE '%/controller/%'),
+r AS (SELECT root, root AS path, 0 AS depth FROM roots UNION SELECT r.root, e.target, r.depth + 1 FROM r JOIN file_edges e ON e.source = r.path WHERE r.depth < 12),
 s AS (SELECT root, path, min(depth) AS depth FROM r GROUP BY root, path)"""
 
 
 def _roots(t: Tables) -> DataFrame:
-    return t.files.where("seq % 50 = 1").select(F.col("path").alias("root"))
+    """The entry points of one domain: its controllers."""
+    return t.files.where("domain = 'brand11' and path like '%/controller/%'").select(F.col("path").alias("root"))
 
 
 @query("g2_slices", f"{_SLICES} SELECT root, path, depth FROM s", ("files", "file_edges"), recursive=True)
 def _g2(t: Tables) -> DataFrame:
-    return slices(t.file_edges, _roots(t), 2)
+    return slices(t.file_edges, _roots(t))
 
 
 @query(
@@ -215,20 +216,20 @@ SELECT path, CASE WHEN n = 1 THEN 'sole' WHEN n > 1 THEN 'shared' ELSE 'unreache
     recursive=True,
 )
 def _g2b(t: Tables) -> DataFrame:
-    return ownership(t.files, slices(t.file_edges, _roots(t), 2))
+    return ownership(t.files, slices(t.file_edges, _roots(t)))
 
 
-@query("g3_method_reach", """roots AS (SELECT id AS root FROM nodes WHERE id IN ('order:1', 'order:2', 'order:7', 'order:33')),
+@query("g3_method_reach", """roots AS (SELECT id AS root FROM nodes WHERE id LIKE 'order:%'),
 r AS (SELECT root, root AS id FROM roots UNION SELECT r.root, e.target FROM r JOIN edges e ON e.source = r.id WHERE e.kind = 'call') SELECT root, id FROM r WHERE id <> root""", ("nodes", "edges"), recursive=True)
 def _g3(t: Tables) -> DataFrame:
-    start = t.nodes.where("id in ('order:1', 'order:2', 'order:7', 'order:33')").select(F.col("id").alias("root"), "id")
+    start = t.nodes.where("id like 'order:%'").select(F.col("id").alias("root"), "id")
     calls = t.edges.where("kind = 'call'").select(F.col("source").alias("node"), F.col("target").alias("next"))
     return frontier(start, calls, ["root", "id"], None).where("id <> root").select("root", "id")
 
 
 @query("g4_reach_counts", f"{_SLICES} SELECT root, count(*) AS with_root, count(*) FILTER (WHERE depth > 0) AS without_root FROM s GROUP BY root", ("files", "file_edges"), recursive=True)
 def _g4(t: Tables) -> DataFrame:
-    return reach_counts(t.file_edges, _roots(t), 2)
+    return reach_counts(t.file_edges, _roots(t))
 
 
 @query(
@@ -246,8 +247,9 @@ def _g5(t: Tables) -> DataFrame:
 @query(
     "g7_query_context",
     """h AS (SELECT id FROM nodes WHERE id IN ('nation:2', 'supplier:3', 'part:7', 'region:1')),
-s AS (SELECT id FROM h UNION SELECT target FROM edges WHERE source IN (SELECT id FROM h) UNION SELECT source FROM edges WHERE target IN (SELECT id FROM h))
-SELECT source, target, kind, seq FROM edges WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s)""",
+x AS MATERIALIZED (SELECT source, target, kind, seq FROM edges),
+s AS MATERIALIZED (SELECT id FROM h UNION SELECT target FROM x JOIN h ON source = id UNION SELECT source FROM x JOIN h ON target = id)
+SELECT source, target, kind, seq FROM x JOIN s a ON a.id = source JOIN s b ON b.id = target""",
     ("nodes", "edges"),
 )
 def _g7(t: Tables) -> DataFrame:
@@ -257,14 +259,14 @@ def _g7(t: Tables) -> DataFrame:
 
 @query("g9_cyclic_core")
 def _g9(t: Tables) -> DataFrame:
-    return cyclic_core(t.file_edges.where("seq % 5 = 1"))
+    return cyclic_core(t.file_edges)
 
 
 @query("g8_tour")
 def _g8(t: Tables) -> DataFrame:
     nodes = t.files.select(F.col("path").alias("id"), "seq")
     layer = t.files.where("seq % 4 <> 0").select(F.col("path").alias("id"), F.col("domain").alias("layer"))
-    return tour(nodes, t.file_edges.where("seq % 7 = 1"), layer)
+    return tour(nodes, t.file_edges, layer)
 
 
 @query("g10_communities")
@@ -272,9 +274,9 @@ def _g10(t: Tables) -> DataFrame:
     return split_communities(communities(t.file_edges.where("kind = 'import'")))
 
 
-@query("g12_key_component", """e AS (SELECT source, target FROM file_edges WHERE seq % 40 = 1), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+@query("g12_key_component", """e AS (SELECT source, target FROM file_edges), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
 s AS (SELECT min(source) AS id FROM b), r AS (SELECT id FROM s UNION SELECT b.target FROM r JOIN b ON b.source = r.id) SELECT id FROM r""", ("file_edges",), recursive=True)
 def _g12(t: Tables) -> DataFrame:
-    e = materialize(t.file_edges.where("seq % 40 = 1").select("source", "target"), "keys")
+    e = materialize(t.file_edges.select("source", "target"), "keys")
     start = e.agg(F.least(F.min("source"), F.min("target"))).first()[0]
     return key_component(e, start, whole=10**9)

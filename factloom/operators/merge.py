@@ -88,7 +88,7 @@ def requirement_diagnostics(reqs: DataFrame, links: DataFrame) -> DataFrame:
 _ALIASES = {k: " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in t.items()) for k, t in (("n", fn.NODE_TYPES), ("e", fn.EDGE_TYPES))}
 _CLEAN_ID = "regexp_replace(regexp_replace({0}, '^proj:', ''), '^(file:)+', 'file:')"
 _GRAPH = f"""n0 AS (SELECT {_CLEAN_ID.format('id')} AS id, CASE lower(type) {_ALIASES['n']} ELSE lower(type) END AS type, name,
-  CASE complexity WHEN 'LOW' THEN 'simple' WHEN 'trivial' THEN 'simple' WHEN 'hard' THEN 'complex' WHEN '7' THEN 'complex' WHEN '2' THEN 'simple' WHEN 'simple' THEN 'simple' WHEN 'complex' THEN 'complex' ELSE 'moderate' END AS complexity, seq FROM raw_nodes),
+  CASE complexity WHEN 'LOW' THEN 'simple' WHEN 'easy' THEN 'simple' WHEN 'hard' THEN 'complex' WHEN '7' THEN 'complex' WHEN '2' THEN 'simple' WHEN 'simple' THEN 'simple' WHEN 'complex' THEN 'complex' ELSE 'moderate' END AS complexity, seq FROM raw_nodes),
 n AS (SELECT id, arg_max(type, seq) AS type, arg_max(name, seq) AS name, arg_max(complexity, seq) AS complexity, max(seq) AS seq FROM n0 GROUP BY id),
 e0 AS (SELECT {_CLEAN_ID.format('source')} AS source, target, CASE lower(type) {_ALIASES['e']} ELSE lower(type) END AS type, coalesce(least(greatest(TRY_CAST(weight AS DOUBLE), 0e0), 1e0), 0.5e0) AS weight, seq FROM raw_edges),
 e AS (SELECT source, target, type, arg_min(weight, seq) AS weight, min(seq) AS seq FROM e0 WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) GROUP BY source, target, type)"""
@@ -192,8 +192,8 @@ def _n6(t: Tables) -> DataFrame:
 
 @query(
     "n_text_functions",
-    r"""SELECT doc_id, line_no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS squeezed, coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'for', 'with', 'this', 'that')))), ' '), '') AS tokens FROM lines WHERE line_no <= 3""",
+    r"""SELECT doc_id, line_no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS squeezed, coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'for', 'with', 'this', 'that')))), ' '), '') AS tokens FROM lines""",
     ("lines",),
 )
 def _n5(t: Tables) -> DataFrame:
-    return t.lines.where("line_no <= 3").select("doc_id", "line_no", fn.squeeze(F.col("line")).alias("squeezed"), F.array_join(fn.request_tokens(F.col("line")), " ").alias("tokens"))
+    return t.lines.select("doc_id", "line_no", fn.squeeze(F.col("line")).alias("squeezed"), F.array_join(fn.request_tokens(F.col("line")), " ").alias("tokens"))

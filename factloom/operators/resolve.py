@@ -176,14 +176,14 @@ def _j26(t: Tables) -> DataFrame:
 
 @query(
     "j27_flow_impact",
-    """i AS (SELECT path FROM files WHERE seq % 5 < 2), s AS (SELECT source AS path, source_domain AS flow, concat(kind, line) AS step FROM file_edges WHERE seq % 3 = 0 AND source IN (SELECT path FROM files WHERE seq % 2 = 0)), o AS (SELECT path, concat('own-', domain) AS flow FROM files),
+    """i AS (SELECT path FROM files WHERE seq % 5 < 2), s AS (SELECT source AS path, source_domain AS flow, concat(kind, line) AS step FROM file_edges WHERE source IN (SELECT path FROM files WHERE seq % 2 = 0)), o AS (SELECT path, concat('own-', domain) AS flow FROM files),
 h AS (SELECT flow, 0 AS rank, step FROM i JOIN s USING (path) UNION ALL SELECT flow, 1, NULL FROM i JOIN o USING (path) WHERE path NOT IN (SELECT path FROM s)), b AS (SELECT flow, min(rank) AS rank, min(step) FILTER (WHERE rank = 0) AS step FROM h GROUP BY flow)
 SELECT flow, replace(flow, 'own-', '') AS domain, CASE rank WHEN 0 THEN 'step' ELSE 'ownership' END AS way, step FROM b""",
     ("files", "file_edges"),
 )
 def _j27(t: Tables) -> DataFrame:
     even = t.files.where("seq % 2 = 0").select(F.col("path").alias("source"))
-    steps = t.file_edges.where("seq % 3 = 0").join(even, "source", "left_semi").select(F.col("source").alias("path"), F.col("source_domain").alias("flow"), F.concat("kind", F.col("line").cast("string")).alias("step"))
+    steps = t.file_edges.join(even, "source", "left_semi").select(F.col("source").alias("path"), F.col("source_domain").alias("flow"), F.concat("kind", F.col("line").cast("string")).alias("step"))
     owners = t.files.select("path", F.concat(F.lit("own-"), "domain").alias("flow"))
     domains = t.files.select("domain").distinct()
     flows = domains.select(F.col("domain").alias("flow"), "domain").union(domains.select(F.concat(F.lit("own-"), "domain"), "domain"))
@@ -203,12 +203,12 @@ def _j28(t: Tables) -> DataFrame:
 
 @query(
     "j32_verdicts",
-    """c AS (SELECT concat('part:', l_partkey) AS id, l_linenumber % 3 > 0 AS grounded FROM lineitem WHERE l_orderkey % 11 = 0), d AS (SELECT id, count(*) FILTER (WHERE grounded) AS grounded, count(*) FILTER (WHERE NOT grounded) AS review FROM c GROUP BY id)
+    """c AS (SELECT concat('part:', l_partkey) AS id, l_linenumber % 3 > 0 AS grounded FROM lineitem), d AS (SELECT id, count(*) FILTER (WHERE grounded) AS grounded, count(*) FILTER (WHERE NOT grounded) AS review FROM c GROUP BY id)
 SELECT id, CASE WHEN review > 0 THEN concat('[?] ', name) ELSE name END AS name, coalesce(grounded, 0) AS grounded, coalesce(review, 0) AS review FROM nodes LEFT JOIN d USING (id) WHERE type = 'file'""",
     ("nodes",),
 )
 def _j32(t: Tables) -> DataFrame:
-    claims = t.lineitem.where("l_orderkey % 11 = 0").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("id"), (F.col("l_linenumber") % 3 > 0).alias("grounded"))
+    claims = t.lineitem.select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("id"), (F.col("l_linenumber") % 3 > 0).alias("grounded"))
     return verdicts(t.nodes.where("type = 'file'"), claims)
 
 

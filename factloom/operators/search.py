@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
@@ -31,11 +31,16 @@ def fuzzy_search(nodes: DataFrame, text: str, limit: int = 50) -> DataFrame:
     return nodes.select("id", F.round(bound, 6).alias("score")).where("score < 1").orderBy("score", "id").limit(limit)
 
 
-def semantic_search(vectors: DataFrame, query_vector: DataFrame, least: float, limit: int = 10) -> DataFrame:
-    """R2: the nearest vectors by cosine; ``query_vector`` is one row ``(q)``."""
-    d = vectors.where("embedding is not null").join(F.broadcast(query_vector.limit(1)))
-    d = d.withColumn("sim", fn.cosine(F.col("embedding"), F.col("q"))).where(F.col("sim") >= least)
-    return d.select("vec_id", F.round(1 - F.col("sim"), 6).alias("score")).orderBy("score", "vec_id").limit(limit)
+def semantic_search(vectors: DataFrame, queries: DataFrame, least: float, limit: int = 10, blocks: int = 16) -> DataFrame:
+    """R2: for each row of ``queries(query, q)`` its nearest vectors by cosine, and their places.
+    Queries are dealt into blocks and every block meets all vectors; of each part of a block's
+    pairs only the nearest of a query go on."""
+    d = vectors.where("embedding is not null").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    q = queries.where("q is not null").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    d = d.join(q, "block").select("query", "vec_id", fn.cosine(F.col("embedding"), F.col("q")).alias("sim")).where(F.col("sim") >= least)
+    d = d.select("query", "vec_id", F.round(1 - F.col("sim"), 6).alias("score"))
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id")))
+    return d.where(F.col("place") <= limit)
 
 
 def retrieve(items: DataFrame, request: list[str], limit: int) -> DataFrame:
@@ -70,11 +75,12 @@ def _r1(t: Tables) -> DataFrame:
 
 @query(
     "r2_semantic_search",
-    """q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS sim FROM embeddings, q)
-SELECT vec_id, round(1 - sim, 6) AS score FROM d WHERE sim >= 0.1e0 ORDER BY score, vec_id LIMIT 10""",
+    """q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS sim FROM embeddings, q),
+s AS (SELECT query, vec_id, round(1 - sim, 6) AS score FROM d WHERE sim >= 0.1e0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, vec_id) AS place FROM s) WHERE place <= 10""",
 )
 def _r2(t: Tables) -> DataFrame:
-    return semantic_search(t.embeddings, t.embeddings.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q")), 0.1)
+    return semantic_search(t.embeddings, t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), 0.1)
 
 
 @query("r3_retrieve", "SELECT path AS id, CAST(path ILIKE '%order%' AS INT) + CAST(path ILIKE '%service%' AS INT) + CAST(path ILIKE '%.py' AS INT) AS hits FROM files WHERE path ILIKE '%order%' OR path ILIKE '%service%' OR path ILIKE '%.py' ORDER BY hits DESC, id LIMIT 40", ("files",))

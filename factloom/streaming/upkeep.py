@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,30 @@ def upsert(nodes: DataFrame, edges: DataFrame, changed: DataFrame, new_nodes: Da
     return kept_nodes.unionByName(new_nodes), kept_edges.unionByName(new_edges)
 
 
-def stream_upserts(changes: DataFrame, apply) -> None:
-    """Runs ``apply(batch, number)`` on every micro-batch that is there, then ends."""
-    spark = changes.sparkSession
-    import uuid
+def newest(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``(id, version)``: each id once, with its greatest version, so that batches may come
+    in any order and again."""
+    return nodes.select("id", "version").union(fresh.select("id", "version")).groupBy("id").agg(F.max("version").alias("version"))
+
+
+def stream_upserts(changes: DataFrame, nodes: DataFrame, fresh) -> DataFrame:
+    """Upserts every micro-batch that is there into the node table, and returns the table.
 
+    ``fresh(batch)`` gives a batch's ``(id, version)``. Each batch reads the last version of the
+    table and writes the next one to the shared folder under the batch's number, so a batch that
+    is run again after a failure writes the same version again.
+    """
+    spark = changes.sparkSession
     place = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    changes.writeStream.foreachBatch(apply).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    nodes.select("id", "version").write.parquet(f"{place}/table/-1")
+    done = [-1]
+
+    def apply(batch: DataFrame, number: int) -> None:
+        newest(spark.read.parquet(f"{place}/table/{number - 1}"), fresh(batch)).write.mode("overwrite").parquet(f"{place}/table/{number}")
+        done.append(number)
+
+    changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/table/{max(done)}")
 
 
 def reconcile_jobs(jobs: DataFrame, artifacts: DataFrame, as_of: str) -> DataFrame:
@@ -81,13 +100,15 @@ def _t1(t: Tables) -> DataFrame:
 
 @query(
     "t1_stream_upsert",
-    "SELECT event_type AS event, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 2 = 0 GROUP BY event_type",
+    "SELECT path AS id, coalesce(max(event_id), 0) AS version FROM files LEFT JOIN events ON seq = user_id % (SELECT count(*) FROM part) + 1 GROUP BY path",
+    ("files",),
 )
 def _t1b(t: Tables) -> DataFrame:
-    even = materialize(t.events.where("event_id % 2 = 0").select("event_id", "event_type"), "changes")
-    out = f"{scratch_dir(t.spark)}/upserts-{even._shared_path[-32:]}"
-    stream_upserts(t.spark.readStream.schema(even.schema).parquet(even._shared_path), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    return t.spark.read.parquet(out).groupBy(F.col("event_type").alias("event")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    files = t.part.count()
+    changes = materialize(t.events.select("event_id", (F.col("user_id") % files + 1).alias("seq")), "changes")
+    stream = t.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 3).parquet(changes._shared_path)
+    names = t.files.select("seq", F.col("path").alias("id"))
+    return stream_upserts(stream, t.files.select(F.col("path").alias("id"), F.lit(0).cast("long").alias("version")), lambda batch: batch.join(names, "seq").select("id", F.col("event_id").alias("version")))
 
 
 @query(
