@@ -18,7 +18,7 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if verdict[r.doc_id])
     kept = kept_texts(rows, brute(rows), rows)
     rows = [(d, kept[d, t]) for d, t in rows if kept[d, t] == t or kept[d, t].strip()]
-    first = {d for d, _, c in brute_components(rows) if d == c}
+    first = {d for d, _, c in brute_components(rows, 6, 5) if d == c}
     rows = [(d, t) for d, t in rows if d in first]
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     coded = number(items + [t for _, t in rows])

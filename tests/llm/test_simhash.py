@@ -1,13 +1,26 @@
 import itertools
 import random
+import re
 
 import numpy as np
+import xxhash
 
 from factloom.llm import simhash
 
 
-def brute_components(rows, radius=3):
-    fps = [(d, simhash.fingerprint((t or "").encode()) & (2**64 - 1)) for d, t in rows]
+def plain_fingerprint(text, words=3):
+    """Bit by bit, without the library's code."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    parts = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not parts:
+        return 0
+    shingles = [" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(rows, radius=3, words=3):
+    fps = [(d, plain_fingerprint(t, words)) for d, t in rows]
     label = list(range(len(fps)))
 
     def find(x):
