@@ -3,14 +3,17 @@
 Count tables of orders 1 to 3 are partitioned by n-gram hash. Each bucket of documents sends
 its distinct n-grams with their counts to the hash ranges, which add up the tables and
 answer with the corpus counts; each bucket joins them to its n-grams and sums per document.
-Counts cover every document. n-grams of order 2 and 3 that come once in the corpus are left
-out of the tables, so backoff takes over there:
+Counts cover every document. A document is scored by those of all the others: what it counts
+itself is taken off first, since every n-gram of the corpus is in its own tables at least once
+and backoff would never be taken. With c so reduced, and N words in the other documents,
 
-    S(w | u v) = c(u v w) / c(u v)  if c(u v w) >= 2,  else 0.4 S(w | v)
-    S(w | v)   = c(v w) / c(v)      if c(v w) >= 2,    else 0.4 c(w) / N
+    S(w | u v) = c(u v w) / c(u v)  if c(u v w) > 0,  else 0.4 S(w | v)
+    S(w | v)   = c(v w) / c(v)      if c(v w) > 0,    else 0.4 max(c(w), 1) / N
 
-n-grams are identified by ``HASH_BITS``-bit hashes. Defined results: a null or blank text has no words
-and score 0; repeated rows count each time.
+so a word that no other document has counts as one that comes once. n-grams are identified by
+``HASH_BITS``-bit hashes. Defined results: a null or blank text has no words and score 0;
+repeated rows are documents of their own, also with a null doc_id; N is 1 at least; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ BACKOFF = 0.4
 #: Bits of an n-gram's hash that identify it, and text of a bucket of documents.
 HASH_BITS = 56
 BUCKET_BYTES = 8 << 20
-MIN_COUNT = 2
 ORDERS = (1, 2, 3)
 
 _BLOBS = ", ".join(f"h{k} binary, c{k} binary" for k in ORDERS)
@@ -82,12 +84,14 @@ def _score(parts: int):
         n = len(bucket.hashes)
         count = {}
         for k in ORDERS:
-            _, place, _, at = _grams(bucket, k)
+            values, place, _, at = _grams(bucket, k)
             answer = np.concatenate([unpack(b, "<u8") for b in tables.column(f"c{k}").to_pylist()] or [np.empty(0, "<u8")])
+            _, own, often = np.unique(bucket.doc[at] * max(len(values), 1) + place, return_inverse=True, return_counts=True)
             count[k] = np.zeros(n, np.float64)
-            count[k][at] = answer[place]
+            count[k][at] = answer[place].astype(np.int64) - often[own]  # in the other documents
         one, two, three = (count[k] for k in ORDERS)
-        log = np.log(np.maximum(one, 1)) - np.log(max(total, 1))
+        others = np.maximum(total - np.diff(bucket.first)[bucket.doc], 1)
+        log = np.log(np.maximum(one, 1)) - np.log(others)
         order = np.ones(n, np.int64)
         log += 2 * np.log(BACKOFF)
         first = np.zeros(n, bool)
@@ -96,10 +100,10 @@ def _score(parts: int):
         second[1:] = first[:-1] & ~first[1:]
         log[first] -= 2 * np.log(BACKOFF)
         log[second] -= np.log(BACKOFF)
-        seen = np.flatnonzero(two >= MIN_COUNT)  # first words of bigrams; the word scored is the next
+        seen = np.flatnonzero(two > 0)  # first words of bigrams; the word scored is the next
         log[seen + 1] = np.log(two[seen]) - np.log(one[seen]) + np.where(second[seen + 1], 0.0, np.log(BACKOFF))
         order[seen + 1] = 2
-        seen = np.flatnonzero(three >= MIN_COUNT)
+        seen = np.flatnonzero(three > 0)
         log[seen + 2] = np.log(three[seen]) - np.log(two[seen])
         order[seen + 2] = 3
         rows = len(bucket.ids)

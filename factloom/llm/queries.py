@@ -94,18 +94,29 @@ grams AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, C
 one AS (SELECT c AS x, count(*) AS n FROM grams GROUP BY c),
 two AS (SELECT b AS x, c AS y, count(*) AS n FROM grams WHERE i > 1 GROUP BY b, c),
 three AS (SELECT a AS x, b AS y, c AS z, count(*) AS n FROM grams WHERE i > 2 GROUP BY a, b, c),
-scored AS (
-  SELECT doc_id,
-    CASE WHEN three.n >= 2 THEN 3 WHEN bc.n >= 2 THEN 2 ELSE 1 END AS k,
-    CASE WHEN three.n >= 2 THEN ln(three.n / ab.n)
-         WHEN bc.n >= 2 THEN ln(bc.n / ub.n) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
-         ELSE ln(uc.n / (SELECT sum(n) FROM one)) + least(i - 1, 2) * ln(0.4) END AS s
+own1 AS (SELECT doc_id, c AS x, count(*) AS n FROM grams GROUP BY doc_id, c),
+own2 AS (SELECT doc_id, b AS x, c AS y, count(*) AS n FROM grams WHERE i > 1 GROUP BY doc_id, b, c),
+own3 AS (SELECT doc_id, a AS x, b AS y, c AS z, count(*) AS n FROM grams WHERE i > 2 GROUP BY doc_id, a, b, c),
+counted AS (
+  SELECT grams.doc_id, i, three.n - own3.n AS abc, ab.n - oab.n AS ab, bc.n - obc.n AS bc, ub.n - ob.n AS b, uc.n - oc.n AS c,
+    greatest((SELECT sum(n) FROM one) - count(*) OVER (PARTITION BY grams.doc_id), 1) AS others
   FROM grams
-  LEFT JOIN three ON three.x = a AND three.y = b AND three.z = c
-  LEFT JOIN two AS ab ON ab.x = a AND ab.y = b
-  LEFT JOIN two AS bc ON bc.x = b AND bc.y = c
-  LEFT JOIN one AS ub ON ub.x = b
-  LEFT JOIN one AS uc ON uc.x = c),
+  LEFT JOIN three ON three.x = grams.a AND three.y = grams.b AND three.z = grams.c
+  LEFT JOIN own3 ON own3.doc_id = grams.doc_id AND own3.x = grams.a AND own3.y = grams.b AND own3.z = grams.c
+  LEFT JOIN two AS ab ON ab.x = grams.a AND ab.y = grams.b
+  LEFT JOIN own2 AS oab ON oab.doc_id = grams.doc_id AND oab.x = grams.a AND oab.y = grams.b
+  LEFT JOIN two AS bc ON bc.x = grams.b AND bc.y = grams.c
+  LEFT JOIN own2 AS obc ON obc.doc_id = grams.doc_id AND obc.x = grams.b AND obc.y = grams.c
+  LEFT JOIN one AS ub ON ub.x = grams.b
+  LEFT JOIN own1 AS ob ON ob.doc_id = grams.doc_id AND ob.x = grams.b
+  LEFT JOIN one AS uc ON uc.x = grams.c
+  LEFT JOIN own1 AS oc ON oc.doc_id = grams.doc_id AND oc.x = grams.c),
+scored AS (
+  SELECT doc_id, CASE WHEN abc > 0 THEN 3 WHEN bc > 0 THEN 2 ELSE 1 END AS k,
+    CASE WHEN abc > 0 THEN ln(abc / ab)
+         WHEN bc > 0 THEN ln(bc / b) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+         ELSE ln(greatest(c, 1) / others) + least(i - 1, 2) * ln(0.4) END AS s
+  FROM counted),
 summed AS (
   SELECT doc_id, count(*) FILTER (WHERE k = 3) AS n_order3, count(*) FILTER (WHERE k = 2) AS n_order2,
          count(*) FILTER (WHERE k = 1) AS n_order1, sum(s) AS s FROM scored GROUP BY doc_id)

@@ -48,10 +48,12 @@ KINDS = ("assign", "access", "hex", "crf")
 
 SAMPLE_DOCS = 512
 SAMPLE_LINES = 4
-VARIANTS = 8
-#: With few labelled lines each is varied more often, so that there are about so many variants.
+VARIANTS = 2
+#: Variants in all: few labelled lines are varied more often, many less. As many lines without a
+#: label are looked at, and of every line ``SAMPLE_CHARS`` characters, about the secret.
 VARIED = 2048
-EPOCHS = 50
+SAMPLE_CHARS = 160
+EPOCHS = 36
 _TRAINED = 64
 OUT, BEGIN, INSIDE = 0, 1, 2
 TAGS = (OUT, BEGIN, INSIDE)
@@ -317,7 +319,7 @@ def labelled(text: str) -> list[tuple[int, int]]:
 def vary(line: str, span: tuple[int, int], rng: random.Random, words: list[str], times: int = VARIANTS) -> list[tuple[str, list[tuple[int, int]]]]:
     """Other lines like one that holds a secret, with their secrets' places."""
     head = re.sub(r"""(?ai)[A-Za-z_]*["']?\x20*[:=]?\x20*["']?$""", "", line[: span[0]])
-    tail = line[span[1] :].lstrip("\"'=")
+    head, tail = head[-SAMPLE_CHARS // 2 :], line[span[1] :].lstrip("\"'=")[: SAMPLE_CHARS // 2]
     out = []
     for _ in range(times):
         name, joint, value = rng.choice(NAMES), rng.choice(JOINTS), values(rng)
@@ -326,12 +328,20 @@ def vary(line: str, span: tuple[int, int], rng: random.Random, words: list[str],
         close = '"' if joint.endswith('"') else "'" if joint.endswith("'") else ""
         lead = f"{head}{name}{joint}"
         out.append((f"{lead}{value}{close}{tail}", [(len(lead), len(lead) + len(value))]))
-    for _ in range(times // 6):  # the same names before ordinary words, and numbers that are no secrets
+    for _ in range(max(1, times // 6)):  # the same names before ordinary words, and numbers that are no secrets
         word = rng.choice(words) if rng.random() < 0.6 else str(rng.randrange(10 ** rng.randrange(1, 17)))
         out.append((f"{head}{rng.choice(NAMES)}{rng.choice(JOINTS)}{word}{tail}", []))
     return out
 
 
+def _about(line: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The line from a little ahead of its first secret on to a little behind it."""
+    if not spans:
+        return line[: 2 * SAMPLE_CHARS], []
+    lo, hi = max(0, spans[0][0] - SAMPLE_CHARS // 2), spans[0][1] + SAMPLE_CHARS // 2
+    return line[lo:hi], [(max(a, lo) - lo, min(b, hi) - lo) for a, b in spans if a < hi and b > lo]
+
+
 def _arrow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tk.utf8(pa.array([t.encode() for t in texts], pa.large_binary()))
 
@@ -349,9 +359,11 @@ def train(texts: list[str]) -> Field | None:
         plain += rng.sample(without, min(SAMPLE_LINES, len(without)))
     if not rows:
         return None
+    plain = [(line[:SAMPLE_CHARS], []) for line, _ in rng.sample(plain, min(VARIED, len(plain)))]
     words = [w for line, _ in plain for w in re.findall(r"[A-Za-z]{3,}", line)][: 1 << 16] or ["word"]
     times = max(VARIANTS, VARIED // len(rows))
     rows += [v for line, spans in rows for v in vary(line, spans[0], rng, words, times)]
+    rows = [_about(line, spans) for line, spans in rows]
     known = len(rows)
     rows += plain
     data, offsets = _arrow([line for line, _ in rows])

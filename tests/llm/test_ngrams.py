@@ -34,15 +34,17 @@ def brute_scores(rows):
     total = sum(c[1].values())
     out = []
     for d, w in docs:
+        own = {k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for k in (1, 2, 3)}
+        n = lambda *g: c[len(g)][g] - own[len(g)][g]  # noqa: B023, E731  # in the other documents
         s, by = 0.0, Counter()
         for i in range(len(w)):
-            tri, bi = tuple(w[i - 2 : i + 1]), tuple(w[i - 1 : i + 1])
-            if i > 1 and c[3][tri] > 1:
-                x, k = c[3][tri] / c[2][tri[:2]], 3
-            elif i > 0 and c[2][bi] > 1:
-                x, k = c[2][bi] / c[1][bi[:1]] * (0.4 if i > 1 else 1), 2
+            tri, bi = tuple(w[max(i - 2, 0) : i + 1]), tuple(w[max(i - 1, 0) : i + 1])
+            if i > 1 and n(*tri) > 0:
+                x, k = n(*tri) / n(*tri[:2]), 3
+            elif i > 0 and n(*bi) > 0:
+                x, k = n(*bi) / n(bi[0]) * (0.4 if i > 1 else 1), 2
             else:
-                x, k = c[1][(w[i],)] / total * 0.4 ** min(i, 2), 1
+                x, k = max(n(w[i]), 1) / max(total - len(w), 1) * 0.4 ** min(i, 2), 1
             s += math.log(x)
             by[k] += 1
         out.append((d, len(w), by[3], by[2], by[1], s))
