@@ -1,9 +1,9 @@
 """All queries of the library: importing this module loads every operator."""
 
-from factloom.operators import aggregates, composites, documents, extract, filters, graph, joins, merge, reports, resolve, search, windows
+from factloom.operators import aggregates, composites, documents, extract, filters, graph, joins, listings, merge, reports, resolve, search, windows
 from factloom.registry import ORACLES, QUERIES
 from factloom.streaming import upkeep
 
-MODULES = (aggregates, composites, documents, extract, filters, graph, joins, merge, reports, resolve, search, windows, upkeep)
+MODULES = (aggregates, composites, documents, extract, filters, graph, joins, listings, merge, reports, resolve, search, windows, upkeep)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

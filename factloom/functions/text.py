@@ -1,4 +1,4 @@
-"""Normalisers, tokenisers, paths, URLs, ids and similarity as Column expressions (N1-N20 without N14 and N18)."""
+"""Normalisers, tokenisers, paths, URLs, dates, ids and similarity as Column expressions."""
 
 from __future__ import annotations
 
@@ -158,3 +158,29 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
+
+
+def month_bounds(month: Column) -> tuple[Column, Column]:
+    """First day of a ``YYYY-MM`` month and of the next one; null if it is none."""
+    start = F.when(month.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.to_date(F.concat(month, F.lit("-01"))))
+    return start, F.add_months(start, 1)
+
+
+def weeks_back(instant: Column, weeks: int) -> Column:
+    """The day so many weeks before an ISO instant; null if it is none."""
+    return F.date_sub(F.to_date(F.try_to_timestamp(instant)), 7 * weeks)
+
+
+def percent(part: Column, base: Column, empty: float = 0.0) -> Column:
+    """Share in percent with one decimal; ``empty`` where the base is 0."""
+    return F.when(base == 0, F.lit(empty)).otherwise(F.floor(part / base * 1000 + 0.5) / 10)
+
+
+def translate_terms(text: Column, terms: dict[str, str]) -> tuple[Column, Column]:
+    """The text with all terms replaced, longest first and equals in order of the alphabet,
+    and how many were."""
+    hits = F.lit(0)
+    for old in sorted(terms, key=lambda k: (-len(k), k)):
+        hits = hits + F.floor((F.char_length(text) - F.char_length(F.replace(text, F.lit(old), F.lit("")))) / len(old))
+        text = F.replace(text, F.lit(old), F.lit(terms[old]))
+    return text, hits.cast("long")
