@@ -104,7 +104,9 @@ def period_over_period(log: DataFrame, days: int) -> DataFrame:
 
 def natural_key(text: Column) -> Column:
     """K1: a sort key in which runs of digits compare as numbers."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(p, 20, "0"))).otherwise(F.concat(F.lit("1"), p)))
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    number = lambda p: F.concat(F.lit("0"), F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))  # noqa: E731  # more digits, larger
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(F.concat(F.lit("1"), p)))
 
 
 def cap_neighbours(edges: DataFrame, most: int) -> DataFrame:

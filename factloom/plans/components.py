@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.shared import materialize
+from factloom.plans.shared import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds (each halves the distance to the root) until the
     edge set stays the same. Self-loops and null ends are ignored; nodes without an
-    edge do not appear. Each round is a table in the shared folder.
+    edge do not appear. Each round is a table in the shared folder, which takes the place of
+    the one before.
     """
     e = materialize(
         edges.where("a is not null and b is not null and a <> b")
@@ -35,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("x"), "m")
         small = small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
-        e = materialize(small.union(low).distinct(), "star")
+        last, e = e, materialize(small.union(low).distinct(), "star")
+        discard(last)
         after = _mark(e)
         if after == before:
             break

@@ -38,6 +38,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned and nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._shared_path)  # type: ignore[attr-defined]
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files of a table that ``materialize`` returned."""
     jvm = df.sparkSession._jvm
