@@ -131,7 +131,16 @@ def _t4(t: Tables) -> DataFrame:
     return sessions(t.ledger, "2 hours")
 
 
-@query("t5_document_states")
+@query(
+    "t5_document_states",
+    """e AS (SELECT entity, event, row_number() OVER (PARTITION BY entity ORDER BY ts, seq) AS n FROM ledger),
+m AS (SELECT * FROM (VALUES ('view', 'draft', 'review'), ('purchase', 'review', 'approved'), ('error', 'approved', 'draft')) m(event, a, b)),
+r AS (SELECT DISTINCT entity, CAST(0 AS BIGINT) AS n, 'draft' AS state, CAST(0 AS BIGINT) AS rejected FROM e
+  UNION ALL SELECT r.entity, e.n, CASE WHEN m.a = r.state THEN m.b ELSE r.state END, r.rejected + CASE WHEN m.a <> r.state THEN 1 ELSE 0 END FROM r JOIN e ON e.entity = r.entity AND e.n = r.n + 1 LEFT JOIN m ON m.event = e.event)
+SELECT entity, arg_max(state, n) AS state, arg_max(rejected, n) AS rejected FROM r GROUP BY entity""",
+    ("ledger",),
+    recursive=True,
+)
 def _t5(t: Tables) -> DataFrame:
     return document_states(t.ledger)
 
