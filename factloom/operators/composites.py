@@ -11,6 +11,7 @@ from factloom.operators.aggregates import churn, fan, work_totals
 from factloom.operators.filters import is_test, role
 from factloom.operators.graph import reach_counts
 from factloom.operators.windows import chunks, half_up, period_over_period
+from factloom.plans.ranges import number_rows
 from factloom.registry import query
 
 
@@ -103,7 +104,9 @@ def assemble_batches(files: DataFrame, least: int = 3, pool: int = 25, largest:
     size = files.groupBy("dir").agg(F.count("*").alias("n"))
     d = files.join(size, "dir")
     big = chunks(d.where(F.col("n") >= least), "dir", ["path"], largest).select("path", F.concat("dir", F.lit("#"), F.col("chunk").cast("string")).alias("batch"))
-    small = chunks(d.where(F.col("n") < least).withColumn("all", F.substring_index("dir", "/", 1)), "all", ["path"], pool)
+    small = number_rows(d.where(F.col("n") < least).withColumn("all", F.substring_index("dir", "/", 1)), ["all", "path"])
+    starts = small.groupBy("all").agg(F.min("place").alias("start"))
+    small = small.join(starts, "all").withColumn("chunk", F.floor((F.col("place") - F.col("start")) / pool))
     return big.union(small.select("path", F.concat(F.lit("pool#"), F.col("chunk").cast("string"))))
 
 

@@ -86,14 +86,18 @@ def set_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 def route_links(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """``calls(call, method, path)`` to ``routes(route, method, pattern)`` segment by segment:
     ``{x}`` takes one segment, a last ``*`` one or more. Patterns meet only calls with their number
-    of segments (a ``*`` pattern: with its literal head), not all calls."""
+    of segments and their first literal one (a ``*`` pattern: with its literal head)."""
     parts = lambda c: F.filter(F.split(c, "/"), lambda s: s != "")
     c = calls.withColumn("cs", parts(F.col("path"))).withColumn("n", F.size("cs"))
     r = routes.withColumn("rs", parts(F.col("pattern"))).withColumn("star", F.element_at("rs", -1) == "*").withColumn("n", F.size("rs")).drop("path")
     r = r.withColumnRenamed("method", "route_method")
     fits = F.forall(F.arrays_zip("rs", "cs"), lambda z: (z["rs"] == z["cs"]) | z["rs"].rlike(r"^\{.*\}$"))
     same = F.col("method").isNull() | F.col("route_method").isin("ANY") | (F.col("method") == F.col("route_method"))
-    plain = c.join(r.where("not star"), "n").where(fits & same)
+    # by the first literal segment and its place; patterns of placeholders alone by their length
+    spot = F.array_position(F.transform("rs", lambda s: s.rlike(r"^\{.*\}$")), False).cast("int")
+    fixed = r.where("not star").withColumn("spot", spot).withColumn("word", F.when(F.col("spot") > 0, F.element_at("rs", F.when(F.col("spot") > 0, F.col("spot")))).otherwise(""))
+    spots = F.concat(F.array(F.struct(F.lit(0).alias("spot"), F.lit("").alias("word"))), F.transform("cs", lambda s, i: F.struct((i + 1).cast("int").alias("spot"), s.alias("word"))))
+    plain = c.select("*", F.inline(spots)).join(fixed, ["n", "spot", "word"]).where(fits & same)
     head = F.col("n") - 1
     tail = c.withColumn("h", F.explode(F.sequence(F.lit(1), "n"))).withColumn("head", F.concat_ws("/", F.slice("cs", 1, F.col("h") - 1)))
     starred = r.where("star").withColumn("head", F.concat_ws("/", F.slice("rs", F.lit(1), head))).drop("n")

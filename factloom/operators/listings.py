@@ -10,26 +10,13 @@ from pyspark.sql import functions as F
 from factloom.fixtures import Tables
 from factloom.functions import text as fn
 from factloom.operators.extract import _SQL_LINES, _sql_lines
-from factloom.plans.shared import materialize
+from factloom.plans.ranges import number_rows
 from factloom.registry import query
 
 # Layers of a step, in the order in which they are looked for.
 LAYERS = ("db", "dao", "api", "service")
 
 
-def number_rows(rows: DataFrame, order: Sequence[str | Column], name: str = "place") -> DataFrame:
-    """``rows`` numbered from 1 in an order over all of them, without a task that holds them all:
-    dealt into ranges of the order, numbered there, and moved by the ranges before."""
-    keyed = rows.select("*", *[F.expr(c).alias(f"_o{i}") if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(order)])
-    keys = [f"_o{i}" for i in range(len(order))]
-    dealt = materialize(keyed.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))  # a row for each partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_range", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return dealt.withColumn("_place", inside).join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_before", "_place", *keys)
-
-
 def function_numbers(functions: DataFrame) -> DataFrame:
     """``FN-001`` and on over domains in order, functions without a domain last."""
     placed = number_rows(functions, ["domain is null", "domain", "key"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from factloom.fixtures import Tables
+from factloom.plans.ranges import sums_before
 from factloom.registry import query
 
 
@@ -23,17 +24,16 @@ def mid_rank(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """``<metric>_rank`` = (below + (equal - 1) / 2) / (n - 1) for each metric, NULL kept and
     not counted, 0 for one row or fewer; ``<metric>_flat`` where all values are equal.
 
-    Counts per value come from one small aggregation, so no window spans the whole table.
+    Counts per value come from one aggregation; what lies below is summed up over ranges of
+    the values, so no window spans the whole table.
     """
     out = df
     for m in metrics:
         counts = df.where(F.col(m).isNotNull()).groupBy(m).agg(F.count("*").alias("equal"))
-        # distinct values only; a window over them replaces one over the rows
-        below = F.coalesce(F.sum("equal").over(Window.orderBy(m).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("equal").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        n = F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        rank = F.when(total <= 1, 0.0).otherwise(half_up((below + (F.col("equal") - 1) / 2) / (total - 1), 4))
-        table = counts.select(m, rank.alias(f"{m}_rank"), (n == 1).alias(f"{m}_flat"))
+        counts = sums_before(counts, [m], "equal", "below")
+        whole = counts.agg(F.sum("equal").alias("total"), F.count("*").alias("values"))  # one row
+        rank = F.when(F.col("total") <= 1, 0.0).otherwise(half_up((F.col("below") + (F.col("equal") - 1) / 2) / (F.col("total") - 1), 4))
+        table = counts.join(F.broadcast(whole)).select(m, rank.alias(f"{m}_rank"), (F.col("values") == 1).alias(f"{m}_flat"))
         out = out.join(table, m, "left")
     return out
 
@@ -41,10 +41,9 @@ def mid_rank(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def grade_bands(df: DataFrame, score: str, high: float = 0.1, medium: float = 0.3) -> DataFrame:
     """``grade`` by place in descending score; ties share their first member's band, and at
     least one row is high."""
-    counts = df.groupBy(score).agg(F.count("*").alias("equal"))
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.coalesce(F.sum("equal").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("equal").over(whole)
+    counts = sums_before(df.groupBy(score).agg(F.count("*").alias("equal")), [F.negative(F.col(score))], "equal", "above")
+    counts = counts.join(F.broadcast(counts.agg(F.sum("equal").alias("total"))))  # one row
+    place, n = F.col("above"), F.col("total")
     grade = F.when(place < F.greatest(F.ceil(n * high), F.lit(1)), "high").when(place < F.ceil(n * medium), "medium").otherwise("low")
     return df.join(counts.select(score, grade.alias("grade")), score)
 
