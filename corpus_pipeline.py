@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read
 again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+In every stage an empty table gives no rows, further columns are kept, rows that are equal in
+doc_id and text are one document and go or stay together, and of equal candidates the one with
+the smallest doc_id stays, a null doc_id coming last. A null or blank text has no words: the
+first stage's base rule rejects it.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontaminate, lines, quality, sentencepiece_codec, simhash
-from factloom.llm.queries import MODEL
+from factloom.llm.queries import model_path
 from factloom.plans.shared import materialize
 
 
@@ -24,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each SimHash component (five-word shingles) stays."""
     return simhash.keep_one(docs)
 
 
@@ -33,9 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = MODEL) -> DataFrame:
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
-    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.load(model))
+    return sentencepiece_codec.encode_decode(docs, sentencepiece_codec.load(model_path(spark)))
 
 
 STAGES = [

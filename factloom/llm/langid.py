@@ -7,8 +7,9 @@ sample, per symbol, is its cross-parsing entropy. The language that needs the fe
 normalised phrases wins, the alphabetically first of equals.
 
 Symbols are lower-case letters; every run of other characters is one space. Texts are
-parsed whole, in lanes of ``LANE`` symbols, all lanes in step through dense transition
-tables.
+parsed whole, in lanes of ``LANE`` symbols, each of which begins a phrase anew, all lanes in
+step through dense transition tables. Letters beyond the ``LETTERS`` commonest of the sample
+count as one symbol.
 
 Training bound: ``SAMPLE_DOCS`` labelled texts per language (lowest hash of doc_id first),
 ``SAMPLE_CHARS`` characters of each and ``TRAIN_SYMBOLS`` symbols together. doc_id chooses

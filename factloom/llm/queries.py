@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from factloom.llm import decontaminate, langid, lines, lm, quality, secrets, sentencepiece_codec, sharding, simhash, substrings
 
 
-#: A public SentencePiece model; only the driver opens it.
+#: A public SentencePiece model; only the driver opens it. The session's
+#: ``factloom.sentencepiece.model`` names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def model_path(spark: SparkSession) -> str:
+    return spark.conf.get("factloom.sentencepiece.model", MODEL)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    coded = sentencepiece_codec.encode_decode(documents(spark, sf_dir), sentencepiece_codec.load(model))
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.encode_decode(documents(spark, sf_dir), sentencepiece_codec.load(model_path(spark)))
     return coded.select("doc_id", "ids", "n_tokens", "n_bytes", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

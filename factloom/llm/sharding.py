@@ -9,7 +9,7 @@ digits and, until the capacity is certain, splits only the cells in which a cut
 treating such a cell as one block gives an upper bound, treating it as divisible at any
 byte a lower one. So the driver holds a bounded table, and the answer is exact.
 
-Law: ``bytes``. Defined results: a null text counts as the empty text; repeated rows are
+Law: ``bytes``. Defined results: a null text counts as the empty text; a null doc_id stays null; repeated rows are
 rows of one group; an empty table gives no rows; slots of a shard run from 0 without gaps.
 """
 

@@ -19,7 +19,8 @@ only their first ``WINDOW`` words matter, so a tree is cut at that depth.
    are its maximal repeats.
 
 Defined results: a null text has no words; a row with a null doc_id is neither earlier than
-another nor has words removed; rows with equal doc_id are not earlier than each other.
+another nor has words removed; rows with equal doc_id, repeated rows among them, are not
+earlier than each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
