@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, langid, lines, lm, quality, secrets, sentencepiece_codec, sharding, simhash, substrings
+from factloom.llm import decontaminate, langid, lines, lm, quality, runs, secrets, sentencepiece_codec, sharding, simhash, substrings
 
 
 #: A public SentencePiece model; only the driver opens it. The session's
@@ -64,6 +66,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def repeated_tail(doc_id: int, n: int) -> tuple[int, int] | None:
+    """Of every tenth document, by CRC-32 of its id, a tail is repeated."""
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    return (g % n, 1 + (n - g % n) // (3 + g % 8)) if h % 10 == 0 and n else None
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(documents(spark, sf_dir), repeated_tail))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
@@ -75,6 +88,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_runs": op11_runs,
 }
 
 _WORDS = r"""
