@@ -7,12 +7,14 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, langid, lines, lm, quality, runs, secrets, sentencepiece_codec, sharding, simhash, substrings
+from factloom.llm import alignment, decontaminate, langid, lines, lm, quality, runs, secrets, sentencepiece_codec, sharding, simhash, substrings
 
 
 #: A public SentencePiece model; only the driver opens it. The session's
 #: ``factloom.sentencepiece.model`` names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public byte-level tokenizer; the session's ``factloom.byte_bpe.json`` names another.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def model_path(spark: SparkSession) -> str:
@@ -77,6 +79,17 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find_runs(documents(spark, sf_dir), repeated_tail))
 
 
+def tokenizer_paths(spark: SparkSession) -> tuple[str, str]:
+    """Of the byte-level tokenizer and the SentencePiece model; only the driver opens them."""
+    return spark.conf.get("factloom.byte_bpe.json", BYTE_BPE), model_path(spark)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(documents(spark, sf_dir), *map(sentencepiece_codec.load, tokenizer_paths(spark)))
+    spelled = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", spelled.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
@@ -89,6 +102,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
     "op11_runs": op11_runs,
+    "op13_alignment": op13_alignment,
 }
 
 _WORDS = r"""
