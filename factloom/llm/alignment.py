@@ -31,6 +31,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,10 @@ SHARD_PAIRS = 1 << 24
 _GROUP = 4 << 20
 _CACHED = 1 << 19
 _CALL = 1 << 13
+_CHUNKS_A_TEXT = 256
+_MARK = MARK.encode()
+# White space of more than one byte, U+0085, 00A0, 1680, 180E, 2000-200A, 2028, 2029, 202F, 205F and 3000.
+_WIDE = re.compile(rb"(?s)(?:\xC2[\x85\xA0]|\xE1(?:\x9A\x80|\xA0\x8E)|\xE2(?:\x80[\x80-\x8A\xA8\xA9\xAF]|\x81\x9F)|\xE3\x80\x80)\Z").search
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -65,6 +70,12 @@ def _byte_alphabet() -> dict[str, int]:
     return table | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens in a row, and where each starts and how long it is."""
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 class Aligner:
     """Aligns batches of texts; ``a`` is a byte-level tokenizer's JSON, ``b`` a SentencePiece model."""
 
@@ -83,7 +94,9 @@ class Aligner:
         model = SentencePieceModel(b)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in model.pieces]
         self.n_b = len(self.b_bytes)
-        split = (json.loads(a).get("pre_tokenizer") or {})
+        self.a_table = _table([self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)])
+        self.b_table = _table(self.b_bytes)
+        split = json.loads(a).get("pre_tokenizer") or {}
         self.apart = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and json.loads(a).get("normalizer") is None and model.words_apart() and model.dummy_prefix
         # what follows a text's last space is empty: a marker alone
         self.marker = self.b.piece_to_id(MARK)
@@ -124,19 +137,58 @@ class Aligner:
             b = [ids if len(c) > 1 else [self.marker] for c, ids in zip(chunks, b, strict=True)]
         return list(zip(a, b, strict=True))
 
+    def _alone(self, chunks: list[str]) -> tuple:
+        """Columns of chunks that are encoded one by one."""
+        good, n_a, n_b, size, keys, spelled = [], [], [], [], [], []
+        for chunk, (a, b) in zip(chunks, self._encode(chunks, False), strict=True):
+            text, links = self.pair(chunk, a, b) or ("", None)
+            good.append(links is not None)
+            n_a.append(len(a))
+            n_b.append(len(b))
+            size.append(len(links or ()))
+            keys += links or ()
+            spelled.append(text)
+        return (*(np.array(v, np.int64) for v in (good, n_a, n_b, size, keys)), pa.array(spelled, pa.large_string()))
+
+    def _together(self, chunks: list[bytes]) -> tuple | None:
+        """The same for chunks that end in no white space, many to a text, since a call and a
+        result for each costs more than its ids: both tokenizers begin anew at the next one's
+        space. None if the tokens do not spell the texts or cross from chunk to chunk."""
+        joined = [b"".join(chunks[k : k + _CHUNKS_A_TEXT]) for k in range(0, len(chunks), _CHUNKS_A_TEXT)]
+        coded = self._encode([t.decode() for t in joined], True)
+        a, b = (np.array([i for pair in coded for i in pair[side]], np.int64) for side in (0, 1))
+        data = np.frombuffer(b"".join(joined), np.uint8)
+        ends = []
+        for ids, (spelling, starts, sizes) in ((a, self.a_table), (b, self.b_table)):
+            if sizes[ids].sum() != len(data) or not np.array_equal(spelling[spread(starts[ids], starts[ids] + sizes[ids])], data):
+                return None
+            ends.append(np.cumsum(sizes[ids]))
+        common = np.intersect1d(*ends, assume_unique=True)
+        edges = np.cumsum([len(c) for c in chunks])
+        last = np.searchsorted(common, edges)
+        if last[-1] >= len(common) or not np.array_equal(common[last], edges):
+            return None
+        at = [np.searchsorted(e, common) for e in ends]  # of each group's last tokens
+        texts = []
+        for ids, stop in zip((a, b), at, strict=True):
+            numbers = pa.array(ids).cast(pa.large_string())
+            texts.append(pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], stop + 1])), numbers), pa.scalar(",", pa.large_string())))
+        groups = pc.binary_join_element_wise(*texts, pa.scalar("|", pa.large_string()))
+        first = np.concatenate([[0], last + 1])
+        spelled = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(first), groups), pa.scalar(";", pa.large_string()))
+        n_a, n_b = (np.diff(np.concatenate([[0], stop[last] + 1])) for stop in at)
+        return np.ones(len(chunks), np.int64), n_a, n_b, np.diff(first), a[at[0]] * self.n_b + b[at[1]], spelled
+
     def _learn(self, fresh: list[bytes]) -> None:
-        for k in range(0, len(fresh), _CALL):
-            chunks = [c.decode() for c in fresh[k : k + _CALL]]
-            good, n_a, n_b, size, keys, spelled = [], [], [], [], [], []
-            for chunk, (a, b) in zip(chunks, self._encode(chunks, False), strict=True):
-                text, links = self.pair(chunk, a, b) or ("", None)
-                good.append(links is not None)
-                n_a.append(len(a))
-                n_b.append(len(b))
-                size.append(len(links or ()))
-                keys += links or ()
-                spelled.append(text)
-            self.held.append((*(np.array(v, np.int64) for v in (good, n_a, n_b, size, keys)), pa.array(spelled, pa.large_string())))
+        plain, odd = [], []
+        for c in fresh:  # behind white space the next chunk does not surely begin anew
+            (plain if (32 < c[-1] < 127 or c[-1] > 127 and not _WIDE(c[-3:])) and _MARK not in c else odd).append(c)
+        for k in range(0, len(plain), _CALL):
+            some = plain[k : k + _CALL]
+            self.held.append(self._together(some) or self._alone([c.decode() for c in some]))
+        for k in range(0, len(odd), _CALL):
+            self.held.append(self._alone([c.decode() for c in odd[k : k + _CALL]]))
+        fresh = plain + odd
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
         if len(self.held) > 1:
             columns = list(zip(*self.held, strict=True))
@@ -151,11 +203,13 @@ class Aligner:
         at = np.flatnonzero(data == 32)
         padded = np.concatenate([np.zeros(3, np.uint8), data])
         p1, p2, p3 = padded[at + 2], padded[at + 1], padded[at]
-        # white space of more than one byte (fixed values: U+0085, A0, 1680, 180E, 2000-200A, 2028, 2029, 202F, 205F, 3000)
+        # white space of more than one byte, as in _WIDE
         wide = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)) | (p3 == 0xE1) & ((p2 == 0x9A) & (p1 == 0x80) | (p2 == 0xA0) & (p1 == 0x8E)) | (p3 == 0xE2) & ((p2 == 0x80) & ((p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF)) | (p2 == 0x81) & (p1 == 0x9F)) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
         behind = ((p1 > 32) & (p1 < 127)) | (p1 >= 128) & ~wide
-        begins = np.union1d(at[behind], offsets[:-1])
-        ends = np.concatenate([begins, offsets[-1:]])
+        mark = np.zeros(len(data) + 1, bool)
+        mark[at[behind]] = mark[offsets] = True
+        ends = np.flatnonzero(mark)
+        begins = ends[:-1]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > _CACHED:

@@ -69,7 +69,7 @@ def test_alignment_matches_brute_force(spark, models):
     docs = [(i, t) for i, t in enumerate(odd_texts())] + [(None, "null id"), (None, "null id"), (3, "again")]
     frame = spark.createDataFrame([(d, t, 1, "z") for d, t in docs], "doc_id long, text string, key int, bucket string").repartition(3)
     brute = sorted(map(str, Brute(models).rows(docs)))
-    for bucket_bytes, fan, tree_fan in ((8 << 20, 64, 8), (30_000, 2, 2)):
+    for bucket_bytes, fan, tree_fan in ((8 << 20, 64, 8), (250_000, 1, 2)):
         got = sorted(str(tuple(r)) for r in alignment.align(frame, *models, bucket_bytes, fan, tree_fan).collect())
         assert got == brute
     assert alignment.align(frame.limit(0), *models).collect() == []
