@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import alignment, decontaminate, langid, lines, lm, quality, runs, secrets, sentencepiece_codec, sharding, simhash, substrings
+from factloom.llm import alignment, decontaminate, langid, licenses, lines, lm, quality, runs, secrets, sentencepiece_codec, sharding, simhash, substrings
 
 
 #: A public SentencePiece model; only the driver opens it. The session's
@@ -79,6 +79,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find_runs(documents(spark, sf_dir), repeated_tail))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
 def tokenizer_paths(spark: SparkSession) -> tuple[str, str]:
     """Of the byte-level tokenizer and the SentencePiece model; only the driver opens them."""
     return spark.conf.get("factloom.byte_bpe.json", BYTE_BPE), model_path(spark)
@@ -102,6 +106,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
     "op11_runs": op11_runs,
+    "op12_licenses": op12_licenses,
     "op13_alignment": op13_alignment,
 }
 
