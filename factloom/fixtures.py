@@ -19,6 +19,33 @@ SELECT concat('src/', lower(replace(p_brand, '#', '')), CASE p_partkey % 7 WHEN
   concat('part:', p_partkey) AS id, p_partkey AS seq, lower(replace(p_brand, '#', '')) AS domain,
   CASE p_partkey % 5 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 3 THEN 'xml' ELSE 'sql' END AS lang, CAST(p_size AS BIGINT) AS loc
 FROM part""",
+    "legacy_files": """
+SELECT CASE WHEN p_partkey % 35 = 1 THEN concat('app/EventX', p_partkey, 'Main.java')
+  WHEN p_partkey % 7 = 1 AND CAST(substr(p_brand, 7) AS INT) % 5 < 3 THEN concat('app/src/main/java/com/acme/', lower(replace(p_brand, '#', '')), CASE WHEN p_partkey % 5 = 0 THEN '/web/Order' ELSE '/web/Co' END, n.noun, 'X', p_partkey, 'Controller.java')
+  WHEN p_partkey % 7 = 1 AND CAST(substr(p_brand, 7) AS INT) % 5 = 3 THEN concat('app/src/main/java/com/acme/event/', CASE p_partkey % 3 WHEN 0 THEN 'Event' WHEN 1 THEN 'Co' ELSE 'Order' END, 'X', p_partkey, 'Action.java')
+  WHEN p_partkey % 7 = 1 THEN concat('app/src/main/java/com/acme/legacy/actions/', n.noun, 'X', p_partkey, 'ActionBean.java')
+  WHEN p_partkey % 7 = 2 THEN concat('app/src/main/java/com/acme/', lower(replace(p_brand, '#', '')), '/service/Co', n.noun, 'X', p_partkey, 'Service.java')
+  WHEN p_partkey % 7 = 3 THEN concat('app/src/main/java/com/acme/', lower(replace(p_brand, '#', '')), '/mapper/', n.noun, 'X', p_partkey, 'Mapper.xml')
+  WHEN p_partkey % 7 = 4 THEN concat('app/src/main/webapp/WEB-INF/jsp/', lower(replace(p_brand, '#', '')), '/', n.noun, 'X', p_partkey, '.jsp')
+  WHEN p_partkey % 7 = 0 THEN concat('app/src/test/java/com/acme/', lower(replace(p_brand, '#', '')), '/', n.noun, 'X', p_partkey, 'Test.java')
+  WHEN p_partkey % 7 = 5 THEN concat('app/conf/', lower(n.noun), '-x', p_partkey, '.properties') ELSE concat('tools/', lower(n.noun), '_x', p_partkey, '.sh') END AS path,
+  lower(replace(p_brand, '#', '')) AS domain, p_partkey AS seq, CAST(p_size AS BIGINT) AS loc
+FROM (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'Account' WHEN 1 THEN 'Order' WHEN 2 THEN 'Catalog' WHEN 3 THEN 'Cart' WHEN 4 THEN 'Item' ELSE 'Stock' END AS noun FROM part) n""",
+    "includes": """
+SELECT a.path AS source, b.path AS target FROM legacy_files a JOIN legacy_files b ON b.seq = a.seq + 1 WHERE a.seq % 7 IN (1, 2)
+UNION ALL SELECT a.path, b.path FROM legacy_files a JOIN legacy_files b ON b.seq = a.seq + 3 WHERE a.seq % 7 = 1
+UNION ALL SELECT a.path, b.path FROM legacy_files a JOIN legacy_files b ON b.seq = a.seq - 5 WHERE a.seq % 21 = 1
+UNION ALL SELECT a.path, b.path FROM legacy_files a JOIN legacy_files b ON b.seq = a.seq + 7 WHERE a.seq % 42 = 8
+UNION ALL SELECT a.path, b.path FROM legacy_files a JOIN legacy_files b ON b.seq = a.seq - 2 WHERE a.seq % 7 = 0""",
+    "screens": """
+SELECT concat('screen:', CASE p.page_id % 6 WHEN 0 THEN '(root)' WHEN 1 THEN concat('brand', p.page_id % 40, '/list/', p.page_id) WHEN 2 THEN concat(regexp_extract(url, '://[^/]+/([a-z]+)/', 1), '/show/', p.page_id) WHEN 3 THEN concat('shop/brand', p.page_id % 9, '/x', p.page_id) ELSE concat('p', p.page_id) END,
+    CASE WHEN p.page_id % 6 IN (0, 4) THEN concat('__s_', CASE p.page_id % 5 WHEN 0 THEN 'order-register' WHEN 1 THEN 'new_event' WHEN 2 THEN 'brand3.settle' ELSE 'other' END, CASE WHEN p.page_id % 6 = 0 THEN concat('-', p.page_id) ELSE '' END) ELSE '' END) AS screen,
+  CASE p.page_id % 8 WHEN 0 THEN v.path WHEN 1 THEN concat('app/src/main/webapp/WEB-INF/jsp/event/sub/E', p.page_id, '.jsp') WHEN 2 THEN concat('app/src/main/webapp/WEB-INF/jsp/', CASE WHEN p.page_id % 3 = 0 THEN 'help' ELSE 'board' END, '/B', p.page_id, '.jsp') WHEN 3 THEN concat('index', p.page_id, '.html') END AS jsp,
+  CASE WHEN p.page_id % 7 = 3 THEN concat('file:', v.path) WHEN p.page_id % 7 = 4 THEN concat('file:', w.path) END AS node, CASE p.page_id % 11 WHEN 5 THEN 'trust.order.done' WHEN 6 THEN 'brand2' END AS scenario, p.page_id AS seq
+FROM pages p LEFT JOIN legacy_files v ON v.seq = p.page_id * 7 % (SELECT count(*) - 6 FROM part) + 4 - (p.page_id * 7 % (SELECT count(*) - 6 FROM part)) % 7 LEFT JOIN legacy_files w ON w.seq = p.page_id + 2""",
+    "screen_notes": """
+SELECT screen, CASE s.seq % 3 WHEN 0 THEN '/home' WHEN 1 THEN concat('/go', s.seq % 50) END AS link, f.path AS file FROM screens s JOIN legacy_files f ON f.seq = s.seq * 3 % (SELECT count(*) FROM part) + 1 WHERE s.seq % 4 <> 1
+UNION ALL SELECT screen, NULL, f.path FROM screens s JOIN legacy_files f ON f.seq = s.seq + 1 WHERE s.seq % 5 = 2""",
     "nodes": """
 SELECT concat('region:', r_regionkey) AS id, 'module' AS type, r_name AS name, CAST(NULL AS VARCHAR(99)) AS file_path, 'simple' AS complexity, CAST(r_regionkey AS BIGINT) AS seq FROM region
 UNION ALL SELECT concat('nation:', n_nationkey), 'service', n_name, NULL, CASE n_nationkey % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'moderate' ELSE 'complex' END, 1000 + n_nationkey FROM nation
@@ -64,7 +91,7 @@ SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(1, len(string_spl
 #: Views whose text differs between the two.
 SPARK_ONLY = {"lines": "SELECT doc_id, CAST(pos + 1 AS BIGINT) AS line_no, line FROM (SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (pos, line) FROM documents)"}
 
-_NEEDS = {"nodes": ("files",), "file_edges": ("files",), "memberships": ("files",), "raw_nodes": ("files",), "commits": ("files",)}
+_NEEDS = {"includes": ("legacy_files",), "screens": ("legacy_files",), "screen_notes": ("legacy_files", "screens"), "nodes": ("files",), "file_edges": ("files",), "memberships": ("files",), "raw_nodes": ("files",), "commits": ("files",)}
 
 
 class Tables:
