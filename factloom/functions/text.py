@@ -69,7 +69,8 @@ def node_id(column: Column) -> Column:
 
 def weight(column: Column) -> Column:
     """A number held within 0 and 1, 0.5 if it is none."""
-    return F.coalesce(F.least(F.greatest(column.try_cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    number = column.try_cast("double")  # least and greatest skip nulls
+    return F.when(number.isNull() | F.isnan(number), 0.5).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
 
 
 def identifier_tokens(column: Column, shortest: int = 3) -> Column:

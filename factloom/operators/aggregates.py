@@ -338,12 +338,13 @@ def _a22(t: Tables) -> DataFrame:
 
 @query(
     "a23_majority",
-    """v AS (SELECT entity AS screen, event AS key, count(*) AS n FROM ledger GROUP BY entity, event), m AS (SELECT *, sum(n) OVER (PARTITION BY screen) AS total, row_number() OVER (PARTITION BY screen ORDER BY n DESC, key) AS place FROM v)
+    """v AS (SELECT concat(entity, '@', strftime(ts, '%Y-%m-%d')) AS screen, event AS key, count(*) AS n FROM ledger GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY screen) AS total, row_number() OVER (PARTITION BY screen ORDER BY n DESC, key) AS place FROM v)
 SELECT screen, key, n AS votes FROM m WHERE place = 1 AND n * 2 >= total""",
     ("ledger",),
 )
 def _a23(t: Tables) -> DataFrame:
-    return majority(t.ledger.select(F.col("entity").alias("screen"), F.col("event").alias("key")))
+    screen = F.concat("entity", F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
+    return majority(t.ledger.select(screen.alias("screen"), F.col("event").alias("key")))
 
 
 @query(

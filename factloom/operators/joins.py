@@ -365,15 +365,18 @@ def _j17(t: Tables) -> DataFrame:
 
 @query(
     "j21_infer_keys",
-    """c AS (SELECT domain AS tbl, concat('k', loc) AS col, CASE WHEN seq % 2 = 0 THEN 'int' ELSE 'text' END AS type FROM files), k AS (SELECT path AS tbl, upper(concat('k', loc)) AS col, 'int' AS type FROM files WHERE seq % 5 = 0),
-d AS (SELECT c.tbl, c.col, k.tbl AS parent FROM c JOIN k ON lower(c.col) = lower(k.col) AND c.type = k.type AND c.tbl <> k.tbl)
-SELECT tbl, col, min(parent) AS parent FROM d GROUP BY tbl, col HAVING count(*) = 1""",
+    """c AS (SELECT path AS tbl, concat('k', seq % 50, '_', loc) AS col, CASE WHEN seq % 2 = 0 THEN 'int' ELSE 'text' END AS type FROM files UNION ALL SELECT path, concat('K', seq % 50 - 1, '_', loc), 'int' FROM files),
+k AS (SELECT path AS tbl, upper(concat('k', seq % 50, '_', loc)) AS col, 'int' AS type FROM files),
+d AS (SELECT c.tbl, c.col, min(k.tbl) AS parent FROM c JOIN k ON lower(c.col) = lower(k.col) AND c.type = k.type AND c.tbl <> k.tbl GROUP BY c.tbl, c.col HAVING count(*) = 1)
+SELECT tbl, col, parent FROM d WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.tbl = d.parent AND x.parent = d.tbl) OR tbl < parent""",
     ("files",),
 )
 def _j21(t: Tables) -> DataFrame:
-    name = F.concat(F.lit("k"), F.col("loc").cast("string"))
-    columns = t.files.select(F.col("domain").alias("tbl"), name.alias("col"), F.when(F.col("seq") % 2 == 0, "int").otherwise("text").alias("type"))
-    return infer_keys(columns, t.files.where("seq % 5 = 0").select(F.col("path").alias("tbl"), F.upper(name).alias("col"), F.lit("int").alias("type")))
+    f = t.files.withColumn("name", F.concat(F.lit("k"), (F.col("seq") % 50).cast("string"), F.lit("_"), F.col("loc").cast("string")))
+    other = F.concat(F.lit("K"), (F.col("seq") % 50 - 1).cast("string"), F.lit("_"), F.col("loc").cast("string"))
+    columns = f.select(F.col("path").alias("tbl"), F.col("name").alias("col"), F.when(F.col("seq") % 2 == 0, "int").otherwise("text").alias("type"))
+    columns = columns.union(f.select("path", other, F.lit("int")))
+    return infer_keys(columns, f.select(F.col("path").alias("tbl"), F.upper("name").alias("col"), F.lit("int").alias("type")))
 
 
 @query(

@@ -75,27 +75,63 @@ def unmatched(files: DataFrame, mapped: DataFrame, fragments: DataFrame) -> Data
 
 
 def apply_plan(plan: DataFrame, operations: Sequence[tuple]) -> DataFrame:
-    """``plan(domain, root, grp)`` after the operations, in their order. The list is a
-    person's, so it is short; each operation is one projection or filter of all rows. Domains
-    and groups without a root are gone with their last row."""
+    """``plan(domain, root, grp)`` after the operations, in their order, with ``alias_keys``, the
+    keys that were merged into the row's domain or renamed to it, joined by commas. The list is a person's, so it is short; each
+    operation is one projection or filter of all rows. Domains and groups without a root are gone
+    with their last row. A domain, root or group that is not there is an error, as is a merge of a
+    domain into itself; whether they are is looked up once, at the start, and kept up by the
+    operations. A row with a null domain belongs to none and stays.
+
+    Operations: ``merge(froms, into)``, ``rename(old, new)``, ``move(root prefix, to)``, ``split(domain,
+    infix, new)``, ``exclude(domain)``, ``group(name, domains)``, ``ungroup(name)``."""
     domain, root, grp = F.col("domain"), F.col("root"), F.col("grp")
-    for name, *args in operations:
+    aliases: dict[str, set[str]] = {}
+    named = [a for name, *args in operations for a in _domains_of(name, args)]
+    known = {r[0] for r in plan.where(domain.isin(*named)).select("domain").distinct().collect()} if named else set()
+    groups = {r[0] for r in plan.where(grp.isNotNull()).select("grp").distinct().where(grp.isin(*[a[1] for a in operations if a[0] == "ungroup"])).collect()} if any(a[0] == "ungroup" for a in operations) else set()
+    for i, (name, *args) in enumerate(operations):
+        missing = [d for d in _domains_of(name, args) if d not in known]
+        if missing:
+            raise ValueError(f"operation {i} {name}: unknown domain {missing[0]}")
         if name in ("rename", "merge"):
             olds, new = ([args[0]], args[1]) if name == "rename" else (list(args[0]), args[1])
+            if name == "merge" and new in olds:
+                raise ValueError(f"operation {i} merge: {new} into itself")
+            if name == "rename" and new in known:
+                raise ValueError(f"operation {i} rename: {new} is there already")
+            aliases[new] = aliases.get(new, set()).union(olds, *[aliases.pop(old, set()) for old in olds])
             plan = plan.withColumn("domain", F.when(domain.isin(*olds), new).otherwise(domain))
+            known = (known - set(olds)) | {new}
         elif name == "move":
+            if plan.where(root.startswith(args[0])).isEmpty():
+                raise ValueError(f"operation {i} move: no root {args[0]}")
             plan = plan.withColumn("domain", F.when(root.startswith(args[0]), args[1]).otherwise(domain))
         elif name == "split":
+            if args[2] in known:
+                raise ValueError(f"operation {i} split: {args[2]} is there already")
             plan = plan.withColumn("domain", F.when((domain == args[0]) & root.contains(args[1]), args[2]).otherwise(domain))
+            known |= {args[2]}
         elif name == "exclude":
-            plan = plan.where(domain != args[0])
+            plan = plan.where(~domain.eqNullSafe(args[0]))
+            known -= {args[0]}
         elif name == "group":
             plan = plan.withColumn("grp", F.when(domain.isin(*args[1]), args[0]).otherwise(grp))
+            groups |= {args[0]}
         elif name == "ungroup":
+            if args[0] not in groups:
+                raise ValueError(f"operation {i} ungroup: unknown group {args[0]}")
             plan = plan.withColumn("grp", F.when(grp == args[0], F.lit(None)).otherwise(grp))
         else:
             raise ValueError(f"no plan operation {name}")
-    return plan
+    old_keys = F.lit("")
+    for key, olds in aliases.items():
+        old_keys = F.when(domain == key, ",".join(sorted(olds))).otherwise(old_keys)
+    return plan.withColumn("alias_keys", old_keys)
+
+
+def _domains_of(name: str, args: list) -> list[str]:
+    """Domains that an operation needs to be there."""
+    return {"rename": lambda: [args[0]], "merge": lambda: [*args[0], args[1]], "move": lambda: [args[1]], "split": lambda: [args[0]], "exclude": lambda: [args[0]], "group": lambda: list(args[1])}.get(name, list)()
 
 
 def definition_differences(columns: DataFrame) -> DataFrame:
@@ -234,13 +270,13 @@ def _u8(t: Tables) -> DataFrame:
     return unmatched(t.files, t.file_edges.where("kind = 'import' and line > 5").select(F.col("source").alias("path")), t.files.where("path like '%/test/%'"))
 
 
-_PLAN = (("rename", "brand11", "core"), ("merge", ("brand12", "brand13"), "brand12"), ("split", "brand21", "/test/", "checks"), ("move", "src/brand22/controller/", "core"), ("exclude", "brand23"), ("group", "first", ("core", "brand12")), ("group", "second", ("checks", "brand31")), ("ungroup", "second"))
+_PLAN = (("rename", "brand11", "core"), ("merge", ("brand13",), "brand12"), ("split", "brand21", "/test/", "checks"), ("move", "src/brand22/controller/", "core"), ("exclude", "brand23"), ("group", "first", ("core", "brand12")), ("group", "second", ("checks", "brand20")), ("ungroup", "second"))
 
 
 @query(
     "u10_plan_operations",
     """d AS (SELECT path AS root, CASE WHEN path LIKE 'src/brand22/controller/%' OR domain = 'brand11' THEN 'core' WHEN domain = 'brand13' THEN 'brand12' WHEN domain = 'brand21' AND path LIKE '%/test/%' THEN 'checks' ELSE domain END AS domain FROM files)
-SELECT domain, root, CASE WHEN domain IN ('core', 'brand12') THEN 'first' END AS grp FROM d WHERE domain <> 'brand23'""",
+SELECT domain, root, CASE WHEN domain IN ('core', 'brand12') THEN 'first' END AS grp, CASE domain WHEN 'core' THEN 'brand11' WHEN 'brand12' THEN 'brand13' ELSE '' END AS alias_keys FROM d WHERE domain <> 'brand23'""",
     ("files",),
 )
 def _u10(t: Tables) -> DataFrame:

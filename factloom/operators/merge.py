@@ -90,7 +90,7 @@ _CLEAN_ID = "regexp_replace(regexp_replace({0}, '^proj:', ''), '^(file:)+', 'fil
 _GRAPH = f"""n0 AS (SELECT {_CLEAN_ID.format('id')} AS id, CASE lower(type) {_ALIASES['n']} ELSE lower(type) END AS type, name,
   CASE complexity WHEN 'LOW' THEN 'simple' WHEN 'easy' THEN 'simple' WHEN 'hard' THEN 'complex' WHEN '7' THEN 'complex' WHEN '2' THEN 'simple' WHEN 'simple' THEN 'simple' WHEN 'complex' THEN 'complex' ELSE 'moderate' END AS complexity, seq FROM raw_nodes),
 n AS (SELECT id, arg_max(type, seq) AS type, arg_max(name, seq) AS name, arg_max(complexity, seq) AS complexity, max(seq) AS seq FROM n0 GROUP BY id),
-e0 AS (SELECT {_CLEAN_ID.format('source')} AS source, target, CASE lower(type) {_ALIASES['e']} ELSE lower(type) END AS type, coalesce(least(greatest(TRY_CAST(weight AS DOUBLE), 0e0), 1e0), 0.5e0) AS weight, seq FROM raw_edges),
+e0 AS (SELECT {_CLEAN_ID.format('source')} AS source, target, CASE lower(type) {_ALIASES['e']} ELSE lower(type) END AS type, CASE WHEN TRY_CAST(weight AS DOUBLE) IS NULL OR isnan(TRY_CAST(weight AS DOUBLE)) THEN 0.5e0 ELSE least(greatest(TRY_CAST(weight AS DOUBLE), 0e0), 1e0) END AS weight, seq FROM raw_edges),
 e AS (SELECT source, target, type, arg_min(weight, seq) AS weight, min(seq) AS seq FROM e0 WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) GROUP BY source, target, type)"""
 
 

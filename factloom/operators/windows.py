@@ -40,12 +40,12 @@ def mid_rank(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def grade_bands(df: DataFrame, score: str, high: float = 0.1, medium: float = 0.3) -> DataFrame:
     """``grade`` by place in descending score; ties share their first member's band, and at
-    least one row is high."""
-    counts = sums_before(df.groupBy(score).agg(F.count("*").alias("equal")), [F.negative(F.col(score))], "equal", "above")
+    least one row is high. A row without a score has no grade and takes no place."""
+    counts = sums_before(df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("equal")), [F.negative(F.col(score))], "equal", "above")
     counts = counts.join(F.broadcast(counts.agg(F.sum("equal").alias("total"))))  # one row
     place, n = F.col("above"), F.col("total")
     grade = F.when(place < F.greatest(F.ceil(n * high), F.lit(1)), "high").when(place < F.ceil(n * medium), "medium").otherwise("low")
-    return df.join(counts.select(score, grade.alias("grade")), score)
+    return df.join(counts.select(score, grade.alias("grade")), score, "left")
 
 
 def active_time(events: DataFrame, key: str, at: str, idle: float = 60.0) -> DataFrame:
