@@ -19,6 +19,10 @@ SELECT concat('src/', lower(replace(p_brand, '#', '')), CASE p_partkey % 7 WHEN
   concat('part:', p_partkey) AS id, p_partkey AS seq, lower(replace(p_brand, '#', '')) AS domain,
   CASE p_partkey % 5 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 3 THEN 'xml' ELSE 'sql' END AS lang, CAST(p_size AS BIGINT) AS loc
 FROM part""",
+    "method_calls": """
+SELECT a.path AS caller_file, concat('m', i) AS caller_method, CASE WHEN (a.seq + i) % 5 > 0 THEN b.path END AS callee_file, concat('m', (a.seq + i + j) % 3) AS callee_method, a.seq * 10 + i * 2 + j AS seq
+FROM files a CROSS JOIN (SELECT 0 AS i, 0 AS j UNION ALL SELECT 1, 0 UNION ALL SELECT 2, 0 UNION ALL SELECT 0, 1) m JOIN files b ON b.seq = (a.seq * 3 + i * 7 + j * 11) % (SELECT count(*) FROM part) + 1 WHERE j = 0 OR a.seq % 7 = 1
+UNION ALL SELECT b.path, concat('m', a.seq % 3), a.path, 'm0', a.seq * 10 + 9 FROM files a JOIN files b ON b.seq = a.seq * 3 % (SELECT count(*) FROM part) + 1 WHERE a.seq % 14 = 1""",
     "legacy_files": """
 SELECT CASE WHEN p_partkey % 35 = 1 THEN concat('app/EventX', p_partkey, 'Main.java')
   WHEN p_partkey % 7 = 1 AND CAST(substr(p_brand, 7) AS INT) % 5 < 3 THEN concat('app/src/main/java/com/acme/', lower(replace(p_brand, '#', '')), CASE WHEN p_partkey % 5 = 0 THEN '/web/Order' ELSE '/web/Co' END, n.noun, 'X', p_partkey, 'Controller.java')
@@ -91,7 +95,7 @@ SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(1, len(string_spl
 #: Views whose text differs between the two.
 SPARK_ONLY = {"lines": "SELECT doc_id, CAST(pos + 1 AS BIGINT) AS line_no, line FROM (SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (pos, line) FROM documents)"}
 
-_NEEDS = {"includes": ("legacy_files",), "screens": ("legacy_files",), "screen_notes": ("legacy_files", "screens"), "nodes": ("files",), "file_edges": ("files",), "memberships": ("files",), "raw_nodes": ("files",), "commits": ("files",)}
+_NEEDS = {"method_calls": ("files",), "includes": ("legacy_files",), "screens": ("legacy_files",), "screen_notes": ("legacy_files", "screens"), "nodes": ("files",), "file_edges": ("files",), "memberships": ("files",), "raw_nodes": ("files",), "commits": ("files",)}
 
 
 class Tables:
