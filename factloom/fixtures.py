@@ -23,6 +23,18 @@ FROM part""",
 SELECT a.path AS caller_file, concat('m', i) AS caller_method, CASE WHEN (a.seq + i) % 5 > 0 THEN b.path END AS callee_file, concat('m', (a.seq + i + j) % 3) AS callee_method, a.seq * 10 + i * 2 + j AS seq
 FROM files a CROSS JOIN (SELECT 0 AS i, 0 AS j UNION ALL SELECT 1, 0 UNION ALL SELECT 2, 0 UNION ALL SELECT 0, 1) m JOIN files b ON b.seq = (a.seq * 3 + i * 7 + j * 11) % (SELECT count(*) FROM part) + 1 WHERE j = 0 OR a.seq % 7 = 1
 UNION ALL SELECT b.path, concat('m', a.seq % 3), a.path, 'm0', a.seq * 10 + 9 FROM files a JOIN files b ON b.seq = a.seq * 3 % (SELECT count(*) FROM part) + 1 WHERE a.seq % 14 = 1""",
+    "wiki_nodes": """
+SELECT CAST(substr(p_brand, 7) AS BIGINT) AS seq, concat('topic:brand-', substr(p_brand, 7)) AS id, 'topic' AS type, p_brand AS name, CAST(NULL AS VARCHAR(99)) AS content FROM part WHERE CAST(substr(p_brand, 7) AS INT) % 6 > 0 GROUP BY p_brand
+UNION ALL SELECT 1000 + p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('article:', CASE WHEN p_partkey % 8 = 0 THEN 'concepts/' ELSE '' END, 'n', p_partkey)
+  WHEN 1 THEN CASE p_partkey % 3 WHEN 0 THEN concat('entity:n', p_partkey - 1) WHEN 1 THEN concat('entity:n', p_partkey - 1, ':part', p_partkey) ELSE concat('entity:q', p_partkey) END
+  WHEN 2 THEN CASE p_partkey % 3 WHEN 0 THEN concat('claim:n', p_partkey - 2, '-x:why') WHEN 1 THEN concat('claim:', p_partkey - 2, ':is') ELSE concat('claim:zz', p_partkey) END ELSE concat('entity:yy', p_partkey) END,
+  CASE p_partkey % 4 WHEN 0 THEN 'article' WHEN 2 THEN 'claim' ELSE 'entity' END,
+  CASE p_partkey % 4 WHEN 0 THEN concat('Concept ', p_partkey) WHEN 1 THEN concat('item', p_partkey) WHEN 2 THEN concat('concept ', p_partkey - 2) ELSE CASE p_partkey % 3 WHEN 0 THEN concat('Customer', p_partkey) WHEN 1 THEN 'nothing here' ELSE concat('PART', p_partkey + 2) END END,
+  CASE WHEN p_partkey % 4 = 0 THEN concat('Of customer', p_partkey + 3, ' and part', p_partkey + 5, ', a ', p_name) END FROM part""",
+    "wiki_edges": """
+SELECT 1000 + p_partkey AS seq, n.id AS source, concat('topic:brand-', substr(p_brand, 7)) AS target, 'categorized_under' AS type FROM part JOIN wiki_nodes n ON n.seq = 1000 + p_partkey WHERE p_partkey % 4 = 0 AND p_partkey % 5 > 0
+UNION ALL SELECT 90000000 + a.seq, a.id, b.id, 'related' FROM wiki_nodes a JOIN wiki_nodes b ON b.seq = a.seq + 1 WHERE a.seq > 1000 AND a.seq % 24 = 16
+UNION ALL SELECT 70000000 + a.seq, a.id, b.id, 'related' FROM wiki_nodes a JOIN wiki_nodes b ON b.seq = a.seq + 2 WHERE a.seq > 1000 AND a.seq % 28 = 10""",
     "legacy_files": """
 SELECT CASE WHEN p_partkey % 35 = 1 THEN concat('app/EventX', p_partkey, 'Main.java')
   WHEN p_partkey % 7 = 1 AND CAST(substr(p_brand, 7) AS INT) % 5 < 3 THEN concat('app/src/main/java/com/acme/', lower(replace(p_brand, '#', '')), CASE WHEN p_partkey % 5 = 0 THEN '/web/Order' ELSE '/web/Co' END, n.noun, 'X', p_partkey, 'Controller.java')
@@ -95,7 +107,7 @@ SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(1, len(string_spl
 #: Views whose text differs between the two.
 SPARK_ONLY = {"lines": "SELECT doc_id, CAST(pos + 1 AS BIGINT) AS line_no, line FROM (SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (pos, line) FROM documents)"}
 
-_NEEDS = {"method_calls": ("files",), "includes": ("legacy_files",), "screens": ("legacy_files",), "screen_notes": ("legacy_files", "screens"), "nodes": ("files",), "file_edges": ("files",), "memberships": ("files",), "raw_nodes": ("files",), "commits": ("files",)}
+_NEEDS = {"wiki_edges": ("wiki_nodes",), "method_calls": ("files",), "includes": ("legacy_files",), "screens": ("legacy_files",), "screen_notes": ("legacy_files", "screens"), "nodes": ("files",), "file_edges": ("files",), "memberships": ("files",), "raw_nodes": ("files",), "commits": ("files",)}
 
 
 class Tables:
