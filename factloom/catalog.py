@@ -1,9 +1,9 @@
 """All queries of the library: importing this module loads every operator."""
 
-from factloom.operators import aggregates, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, merge, reports, resolve, search, traces, validation, windows
+from factloom.operators import aggregates, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, markup, merge, reports, resolve, search, traces, validation, windows
 from factloom.registry import ORACLES, QUERIES
 from factloom.streaming import upkeep
 
-MODULES = (aggregates, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, merge, reports, resolve, search, traces, validation, windows, upkeep)
+MODULES = (aggregates, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, markup, merge, reports, resolve, search, traces, validation, windows, upkeep)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
 from factloom.functions import text as fn
+from factloom.plans.shared import materialize
 from factloom.registry import query
 
 # Weights of the searched fields and the bound of a hit.
@@ -67,6 +68,51 @@ def allocate(axes: DataFrame, budget: int) -> DataFrame:
     return d.select("request", "axis", (F.col("units") + F.when(more, 1).otherwise(0)).cast("long").alias("units"))
 
 
+def fill_budget(demands: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``demands(request, axis, demand, floor, weight)`` and ``budgets(request, available)`` ->
+    ``(request, axis, units)``. Each axis gets its floor, or its demand if that is less; floors over the
+    budget shrink in proportion. Then rounds: what is left is shared among the axes that want more,
+    by weight in whole units, until nobody wants more or no share comes to a unit; what then is
+    left is given to none.
+
+    A request's few axes are a window; all requests take a round together, and there are at most
+    some more rounds than axes, since a round without a satisfied axis leaves less than a unit for
+    each."""
+    w = Window.partitionBy("request")
+    need = F.least("demand", "floor")
+    d = demands.join(budgets, "request").withColumn("need", need).withColumn("floors", F.sum("need").over(w))
+    over = (F.col("floors") > F.col("available")) & (F.col("floors") > 0)
+    shrunk = F.expr("need * available div floors")
+    d = d.select("request", "axis", "demand", "weight", F.when(over, shrunk).otherwise(F.col("need")).alias("units"), F.when(over, 0).otherwise(F.col("available") - F.col("floors")).cast("long").alias("rest"))
+    d = materialize(d, "budget")
+    while True:
+        d = d.withColumn("hungry", (F.col("demand") > F.col("units")) & (F.col("rest") > 0))
+        d = d.withColumn("weights", F.sum(F.when(F.col("hungry"), F.col("weight"))).over(w))
+        take = F.when(F.col("hungry"), F.least(F.expr("rest * weight div weights"), F.col("demand") - F.col("units"))).otherwise(0)
+        d = d.withColumn("take", take.cast("long")).withColumn("given", F.sum("take").over(w))
+        d = materialize(d.select("request", "axis", "demand", "weight", (F.col("units") + F.col("take")).alias("units"), F.when(F.col("given") > 0, F.col("rest") - F.col("given")).otherwise(0).alias("rest")), "budget")
+        if d.where("rest > 0 and demand > units").isEmpty():
+            return d.select("request", "axis", "units")
+
+
+@query(
+    "r4_fill_budget",
+    """x AS (SELECT domain AS request, lang AS axis, sum(loc)::BIGINT AS demand, max(loc) % 37 + 1 AS floor, count(*) % 4 + 1 AS weight FROM files GROUP BY 1, 2), b AS (SELECT domain AS request, (sum(loc) * (CASE WHEN domain LIKE '%3' THEN 1 ELSE 61 END) // 100)::BIGINT AS available FROM files GROUP BY 1),
+y AS (SELECT *, least(demand, floor) AS need, sum(least(demand, floor)) OVER (PARTITION BY request) AS floors FROM x JOIN b USING (request)),
+r AS (SELECT request, axis, demand, weight, (CASE WHEN floors > available AND floors > 0 THEN need * available // floors ELSE need END)::BIGINT AS units, (CASE WHEN floors > available AND floors > 0 THEN 0 ELSE available - floors END)::BIGINT AS rest, 0 AS k FROM y
+  UNION ALL SELECT request, axis, demand, weight, (units + take)::BIGINT, (rest - given)::BIGINT, k + 1 FROM (SELECT *, sum(take) OVER (PARTITION BY request) AS given FROM (
+    SELECT *, CASE WHEN demand > units THEN least(rest * weight // sum(CASE WHEN demand > units THEN weight ELSE 0 END) OVER (PARTITION BY request), demand - units) ELSE 0 END AS take FROM r WHERE rest > 0)) WHERE given > 0)
+SELECT request, axis, arg_max(units, k) AS units FROM r GROUP BY request, axis""",
+    ("files",),
+    recursive=True,
+)
+def _r4b(t: Tables) -> DataFrame:
+    demands = t.files.groupBy(F.col("domain").alias("request"), F.col("lang").alias("axis")).agg(F.sum("loc").alias("demand"), (F.max("loc") % 37 + 1).alias("floor"), (F.count("*") % 4 + 1).alias("weight"))
+    share = F.when(F.col("request").endswith("3"), 1).otherwise(61)
+    budgets = t.files.groupBy(F.col("domain").alias("request")).agg(F.sum("loc").alias("all")).select("request", F.floor(F.col("all") * share / 100).cast("long").alias("available"))
+    return fill_budget(demands, budgets)
+
+
 @query("r1_fuzzy_search")
 def _r1(t: Tables) -> DataFrame:
     nodes = t.nodes.select("id", "name", F.col("type").alias("tags"), F.col("file_path").alias("summary"))
