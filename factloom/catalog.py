@@ -2,8 +2,8 @@
 
 from factloom.operators import aggregates, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, markup, merge, reports, resolve, search, traces, validation, windows
 from factloom.registry import ORACLES, QUERIES
-from factloom.streaming import upkeep
+from factloom.streaming import approvals, graphs, upkeep
 
-MODULES = (aggregates, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, markup, merge, reports, resolve, search, traces, validation, windows, upkeep)
+MODULES = (aggregates, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, markup, merge, reports, resolve, search, traces, validation, windows, approvals, graphs, upkeep)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -38,11 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` returned and nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._shared_path)  # type: ignore[attr-defined]
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(df.sparkSession, df._shared_path)  # type: ignore[attr-defined]
 
 
 def stored_bytes(df: DataFrame) -> int:
