@@ -122,7 +122,7 @@ def coverage(files: DataFrame, reached: DataFrame) -> DataFrame:
 def language_support(files: DataFrame, matrix: DataFrame) -> DataFrame:
     """Files per language with its best capability tier; NULL where none is known."""
     best = matrix.groupBy("lang").agg(F.max("tier").alias("best"))
-    return files.groupBy("lang").agg(F.count("*").alias("files")).join(F.broadcast(best), "lang", "left").withColumn("support", F.when(F.col("best") >= 2, "full").when(F.col("best") == 1, "partial").otherwise("none"))
+    return files.groupBy("lang").agg(F.count("*").alias("files")).join(best, "lang", "left").withColumn("support", F.when(F.col("best") >= 2, "full").when(F.col("best") == 1, "partial").otherwise("none"))
 
 
 def function_points(routes: DataFrame) -> DataFrame:

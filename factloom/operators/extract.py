@@ -26,7 +26,7 @@ def sql_accesses(lines: DataFrame, known: DataFrame) -> DataFrame:
 
     found = F.concat(*[access(*a) for a in ACCESSES.items()])
     d = lines.select("file", "line_no", F.explode(found).alias("x")).select("file", "line_no", "x.letter", "x.tbl")
-    return d.join(F.broadcast(known.select(F.lower("tbl").alias("tbl"))), "tbl", "left_semi").groupBy("file", "tbl", "letter").agg(F.min("line_no").alias("line_no"))
+    return d.join(known.select(F.lower("tbl").alias("tbl")), "tbl", "left_semi").groupBy("file", "tbl", "letter").agg(F.min("line_no").alias("line_no"))
 
 
 def references(lines: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def apply_plan(plan: DataFrame, operations: Sequence[tuple]) -> DataFrame:
     infix, new)``, ``exclude(domain)``, ``group(name, domains)``, ``ungroup(name)``."""
     domain, root, grp = F.col("domain"), F.col("root"), F.col("grp")
     aliases: dict[str, set[str]] = {}
-    named = [a for name, *args in operations for a in _domains_of(name, args)]
+    named = [a for name, *args in operations for a in [*_domains_of(name, args), *({"rename": args[1:2], "split": args[2:3]}.get(name, []))]]
     known = {r[0] for r in plan.where(domain.isin(*named)).select("domain").distinct().collect()} if named else set()
     groups = {r[0] for r in plan.where(grp.isNotNull()).select("grp").distinct().where(grp.isin(*[a[1] for a in operations if a[0] == "ungroup"])).collect()} if any(a[0] == "ungroup" for a in operations) else set()
     for i, (name, *args) in enumerate(operations):

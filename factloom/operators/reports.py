@@ -35,10 +35,10 @@ def precedents(flows: DataFrame, hints: DataFrame, entities: DataFrame, operatio
     and matched by word, so flows meet only hints that share one."""
     words = flows.select("flow", F.explode("tokens").alias("word"))
     h = hints.select("hint", F.explode("tokens").alias("word"), F.size("tokens").alias("n"))
-    hit = words.join(F.broadcast(h), "word").groupBy("flow", "hint", "n").agg(F.count_distinct("word").alias("k"))
+    hit = words.join(h, "word").groupBy("flow", "hint", "n").agg(F.count_distinct("word").alias("k"))
     hit = hit.groupBy("flow").agg(F.max(F.when(F.col("k") == F.col("n"), 100).otherwise(40)).alias("domain"))
-    ent = words.join(F.broadcast(entities), "word", "left_semi").select("flow").distinct().withColumn("entity", F.lit(20))
-    ops = words.join(F.broadcast(operations), "word", "left_semi").select("flow").distinct().withColumn("operation", F.lit(8))
+    ent = words.join(entities, "word", "left_semi").select("flow").distinct().withColumn("entity", F.lit(20))
+    ops = words.join(operations, "word", "left_semi").select("flow").distinct().withColumn("operation", F.lit(8))
     d = flows.join(hit, "flow", "left").join(ent, "flow", "left").join(ops, "flow", "left")
     score = F.coalesce("domain", F.lit(0)) + F.coalesce("entity", F.lit(0)) + F.coalesce("operation", F.lit(0)) + F.when(F.col("complete"), 5).otherwise(0)
     return d.select("flow", score.alias("score"), F.when(F.col("domain") == 100, "strong").otherwise("partial").alias("strength")).where("domain > 0 or entity > 0 or operation > 0")

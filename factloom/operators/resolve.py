@@ -89,14 +89,14 @@ def apply_layer_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """the first rule (by order) that equals a segment of the path, singular or plural;
     ``Other`` if none. Rules meet segments by equality."""
     r = rules.select("place", "layer", F.explode(F.array("pattern", F.concat("pattern", F.lit("s")))).alias("segment"))
-    d = paths.select("path", F.explode(F.array_distinct(F.split(F.lower("path"), "/"))).alias("segment")).join(F.broadcast(r), "segment")
+    d = paths.select("path", F.explode(F.array_distinct(F.split(F.lower("path"), "/"))).alias("segment")).join(r, "segment")
     return paths.join(d.groupBy("path").agg(F.min_by("layer", "place").alias("layer")), "path", "left").withColumn("layer", F.coalesce("layer", F.lit("Other")))
 
 
 def frameworks(manifests: DataFrame, keywords: DataFrame) -> DataFrame:
     """frameworks whose keyword is a word of a manifest."""
     d = manifests.select("file", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9@_/-]+"))).alias("keyword"))
-    return d.join(F.broadcast(keywords), "keyword").groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("framework")), ",").alias("frameworks"))
+    return d.join(keywords, "keyword").groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("framework")), ",").alias("frameworks"))
 
 
 def build_graph(facts: DataFrame) -> DataFrame:

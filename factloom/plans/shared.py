@@ -44,6 +44,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` returned and nothing reads any more."""
     delete_path(df.sparkSession, df._shared_path)  # type: ignore[attr-defined]
