@@ -1,9 +1,9 @@
 """All queries of the library: importing this module loads every operator."""
 
-from factloom.operators import aggregates, analyzers, classes, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, lookups, markup, measures, merge, reports, resolve, scans, search, traces, validation, windows
+from factloom.operators import aggregates, analyzers, classes, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, lookups, markup, matrices, measures, merge, reports, resolve, scans, search, traces, validation, windows
 from factloom.registry import ORACLES, QUERIES
 from factloom.streaming import approvals, graphs, upkeep
 
-MODULES = (aggregates, analyzers, classes, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, lookups, markup, measures, merge, reports, resolve, scans, search, traces, validation, windows, approvals, graphs, upkeep)
+MODULES = (aggregates, analyzers, classes, composites, documents, domains, extract, filters, graph, joins, knowledge, listings, lookups, markup, matrices, measures, merge, reports, resolve, scans, search, traces, validation, windows, approvals, graphs, upkeep)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -219,3 +219,20 @@ def test_annotations(spark):
     data = [row(1, "field", "b", 5, 3), row(2, "region", "a", 1, 4), row(3, "action", "c", 0, 90), row(4, "field", "tiny", 0, 0, 3), row(5, "field", "hid", 0, 0, v=False), row(6, "field", "b", 0, 0), row(7, None, "n", 0, 0), row(8, "field", "z", 0, 3)]
     d = spark.createDataFrame(data, "screen string, seq int, kind string, selector string, x int, y int, width int, height int, visible boolean, disabled boolean")
     assert {r.selector: r.no for r in lookups.number_annotations(d).collect()} == {"z": 1, "b": 2, "a": 3, "c": 1}
+
+
+def test_levels_beat_single_moves(spark):
+    """Rings of small cliques: levels find the cliques or unions of them, and no worse a division."""
+    from factloom.operators import graph, matrices
+
+    ring = [(f"{g:02}-{i}", f"{g:02}-{j}") for g in range(12) for i in range(4) for j in range(i)] + [(f"{g:02}-0", f"{(g + 1) % 12:02}-1") for g in range(12)]
+    e = spark.createDataFrame(ring, "source string, target string")
+    label = matrices.community_levels(e)
+    parts = {}
+    for r in label.collect():
+        parts.setdefault(r.community, set()).add(r.id)
+    assert sum(map(len, parts.values())) == 48 and all(min(p) == c for c, p in parts.items())
+    # no clique is cut
+    assert all(len({r for r in p if r.startswith(x)}) == 4 for p in parts.values() for x in {r[:2] for r in p})
+    assert graph.modularity(e, label).first().modularity > 0.7
+    assert matrices.community_levels(e.limit(0)).collect() == []
