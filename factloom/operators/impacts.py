@@ -108,7 +108,7 @@ def file_facts(files: DataFrame) -> DataFrame:
     found = files.where(sql).select("path", F.explode(F.regexp_extract_all(t, F.lit(table), 1)).alias("t")).select("path", F.upper("t").alias("t")).where(~F.lower("t").isin(*NO_TABLES))
     often = found.groupBy("path", "t").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "t"))).where("k <= 3")
     often = often.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), ",").alias("tables"))
-    header = F.slice(F.filter(F.transform(F.split(rows[0], F.when(low.endswith(".tsv"), "\t").otherwise(",")), F.trim), lambda s: s != ""), F.lit(1), F.lit(5))
+    header = F.slice(F.filter(F.transform(F.split(rows[0], F.when(low.endswith(".tsv"), "\t").otherwise(",")), lambda s: F.trim(s)), lambda s: s != ""), F.lit(1), F.lit(5))
     data = (F.col("category") == "data") & ~sql
     what = F.when(sql, statements).when((F.col("category") == "config") & low.rlike(r"\.(properties|ini|env)$"), keys).when(data, F.greatest(lines - 1, F.lit(0)))
     title = F.trim(F.regexp_extract(t, r"(?i)<title[^>]*>([^<]*)</title>", 1))
