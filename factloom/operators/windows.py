@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from factloom.fixtures import Tables
 from factloom.plans.ranges import sums_before
+from factloom.plans.shared import materialize
 from factloom.registry import query
 
 
@@ -24,17 +25,21 @@ def mid_rank(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """``<metric>_rank`` = (below + (equal - 1) / 2) / (n - 1) for each metric, NULL kept and
     not counted, 0 for one row or fewer; ``<metric>_flat`` where all values are equal.
 
-    Counts per value come from one aggregation; what lies below is summed up over ranges of
-    the values, so no window spans the whole table.
+    Counts per metric and value come from one aggregation; what lies below is summed up in one
+    pass over ranges of all metrics' values, so no window spans the whole table. Values are
+    compared as doubles.
     """
+    stacked = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    counts = df.select(F.explode(stacked).alias("x")).where("x.value is not null").groupBy("x.metric", "x.value").agg(F.count("*").alias("equal"))
+    counts = sums_before(counts, ["metric", "value"], "equal", "before")
+    whole = counts.groupBy("metric").agg(F.min("before").alias("start"), F.sum("equal").alias("total"), F.count("*").alias("values"))  # a row a metric
+    below = F.col("before") - F.col("start")
+    rank = F.when(F.col("total") <= 1, 0.0).otherwise(half_up((below + (F.col("equal") - 1) / 2) / (F.col("total") - 1), 4))
+    ranks = materialize(counts.join(F.broadcast(whole), "metric").select("metric", "value", rank.alias("rank"), (F.col("values") == 1).alias("flat")), "ranks")
     out = df
     for m in metrics:
-        counts = df.where(F.col(m).isNotNull()).groupBy(m).agg(F.count("*").alias("equal"))
-        counts = sums_before(counts, [m], "equal", "below")
-        whole = counts.agg(F.sum("equal").alias("total"), F.count("*").alias("values"))  # one row
-        rank = F.when(F.col("total") <= 1, 0.0).otherwise(half_up((F.col("below") + (F.col("equal") - 1) / 2) / (F.col("total") - 1), 4))
-        table = counts.join(F.broadcast(whole)).select(m, rank.alias(f"{m}_rank"), (F.col("values") == 1).alias(f"{m}_flat"))
-        out = out.join(table, m, "left")
+        table = ranks.where(F.col("metric") == m).select(F.col("value").alias("_value"), F.col("rank").alias(f"{m}_rank"), F.col("flat").alias(f"{m}_flat"))
+        out = out.join(table, F.col(m).cast("double") == F.col("_value"), "left").drop("_value")
     return out
 
 
