@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
-from factloom.functions import text as fn
 from factloom.plans.shared import materialize
 from factloom.registry import query
 
@@ -32,14 +33,54 @@ def fuzzy_search(nodes: DataFrame, text: str, limit: int = 50) -> DataFrame:
     return nodes.select("id", F.round(bound, 6).alias("score")).where("score < 1").orderBy("score", "id").limit(limit)
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, least: float, limit: int = 10, blocks: int = 16) -> DataFrame:
-    """R2: for each row of ``queries(query, q)`` its nearest vectors by cosine, and their places.
-    Queries are dealt into blocks and every block meets all vectors; of each part of a block's
-    pairs only the nearest of a query go on."""
-    d = vectors.where("embedding is not null").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = queries.where("q is not null").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    d = d.join(q, "block").select("query", "vec_id", fn.cosine(F.col("embedding"), F.col("q")).alias("sim")).where(F.col("sim") >= least)
-    d = d.select("query", "vec_id", F.round(1 - F.col("sim"), 6).alias("score"))
+#: Vectors and queries that meet in one task.
+VECTOR_ROWS, QUERY_ROWS = 1 << 13, 1 << 10
+
+
+def semantic_search(vectors: DataFrame, queries: DataFrame, least: float, limit: int = 10, vector_rows: int = VECTOR_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """R2: for each row of ``queries(query, q)`` its nearest vectors by cosine, ``score`` being one less it,
+    and their places. A vector without length has a cosine of 0; vectors of another dimension than
+    the query's do not meet it.
+
+    Both sides are dealt into blocks of bounded size and every block of vectors meets every block of
+    queries in a task of its own, as a matrix product; of these only the nearest of a query go on."""
+    v, q = vectors.where("embedding is not null"), queries.where("q is not null")
+    v_blocks, q_blocks = max(1, -(-v.count() // vector_rows)), max(1, -(-q.count() // query_rows))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), deal("vec_id", v_blocks).alias("v_block"), each(q_blocks).alias("q_block"))
+    right = q.select(F.col("query").cast("long").alias("query"), F.col("q").cast("array<double>").alias("x"), deal("query", q_blocks).alias("q_block"), each(v_blocks).alias("v_block"))
+
+    def by_size(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Ids and unit vectors of each dimension."""
+        rows, ids = table.column("x").combine_chunks(), table.column(name).to_numpy()
+        rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) else rows
+        sizes, flat = np.diff(rows.offsets.to_numpy()), rows.flatten().to_numpy(zero_copy_only=False)
+        out = {}
+        for n in np.unique(sizes).tolist():
+            mine = sizes == n
+            x = np.nan_to_num(flat[np.repeat(mine, sizes)].reshape(-1, n))
+            length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            out[n] = ids[mine], np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        return out
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        ours = by_size(a, "vec_id") if a.num_rows else {}
+        for n, (asked, y) in (by_size(b, "query") if b.num_rows else {}).items():
+            if n not in ours:
+                continue
+            ids, x = ours[n]
+            near = x @ y.T
+            score = np.round(1 - near, 6)
+            for k in range(len(asked)):
+                some = np.flatnonzero(near[:, k] >= least)
+                some = some[np.lexsort((ids[some], score[some, k]))[:limit]]
+                found.append((np.full(len(some), asked[k]), ids[some], score[some, k]))
+        query_, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query": pa.array(query_, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    d = left.groupBy("v_block", "q_block").cogroup(right.groupBy("v_block", "q_block")).applyInArrow(meet, "query long, vec_id long, score double")
     d = d.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id")))
     return d.where(F.col("place") <= limit)
 

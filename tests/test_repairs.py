@@ -236,3 +236,26 @@ def test_levels_beat_single_moves(spark):
     assert all(len({r for r in p if r.startswith(x)}) == 4 for p in parts.values() for x in {r[:2] for r in p})
     assert graph.modularity(e, label).first().modularity > 0.7
     assert matrices.community_levels(e.limit(0)).collect() == []
+
+
+def test_vector_search_matches_brute_force(spark):
+    import math
+
+    rng = random.Random(3)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4 if i % 9 else 3)]) for i in range(60)] + [(60, [0.0] * 4), (61, None), (62, [1.0, 0.0, 0.0, 0.0]), (63, [2.0, 0.0, 0.0, 0.0])]
+    queries = [(i, x) for i, x in vectors if i % 7 == 0 or i > 59]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame(queries, "query long, q array<double>")
+
+    def cosine(a, b):
+        size = math.hypot(*a) * math.hypot(*b)
+        return sum(x * y for x, y in zip(a, b)) / size if size else 0.0
+
+    want = set()
+    for k, x in queries:
+        near = sorted((round(1 - cosine(x, y), 6), i) for i, y in vectors if x and y and len(x) == len(y) and cosine(x, y) >= 0.1) if x else []
+        want |= {(k, i, s, p) for p, (s, i) in enumerate(near[:3], 1)}
+    for rows in ((1 << 13, 1 << 10), (7, 3)):
+        got = search.semantic_search(v, q, 0.1, 3, *rows)
+        assert {(r.query, r.vec_id, round(r.score, 6), r.place) for r in got.collect()} == want
+    assert search.semantic_search(v.limit(0), q, 0.1).collect() == []
