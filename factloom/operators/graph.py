@@ -246,11 +246,10 @@ def _g5(t: Tables) -> DataFrame:
 
 @query(
     "g7_query_context",
-    """h AS (SELECT id FROM nodes WHERE id IN ('nation:2', 'supplier:3', 'part:7', 'region:1')),
-x AS MATERIALIZED (SELECT source, target, kind, seq FROM edges),
-s AS MATERIALIZED (SELECT id FROM h UNION SELECT target FROM x JOIN h ON source = id UNION SELECT source FROM x JOIN h ON target = id)
-SELECT source, target, kind, seq FROM x JOIN s a ON a.id = source JOIN s b ON b.id = target""",
-    ("nodes", "edges"),
+    """h AS (SELECT unnest(['nation:2', 'supplier:3', 'part:7', 'region:1']) AS id), x AS (SELECT source, target, kind, seq FROM edges),
+s AS (SELECT id FROM h UNION SELECT target FROM x WHERE source IN (SELECT id FROM h) UNION SELECT source FROM x WHERE target IN (SELECT id FROM h))
+SELECT source, target, kind, seq FROM x WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s)""",
+    ("edges",),
 )
 def _g7(t: Tables) -> DataFrame:
     hits = t.nodes.where("id in ('nation:2', 'supplier:3', 'part:7', 'region:1')")
