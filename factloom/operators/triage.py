@@ -103,7 +103,7 @@ def batch_suspects(files: DataFrame, entries: DataFrame, ignored: DataFrame, mos
     return d.orderBy("kind", "path").limit(most).join(F.broadcast(total))
 
 
-_MISSING = """r AS (SELECT seq, concat('/', domain, '/', ['select', 'view', ''][seq % 3 + 1], CASE WHEN seq % 3 = 2 THEN 'order' ELSE 'Order' END, ['List', 'Info', 'Item'][loc % 3 + 1], loc % 4, '.do') AS path, CASE WHEN seq % 4 > 0 THEN concat('H', seq) END AS handler FROM files),
+_MISSING = """r AS (SELECT seq, concat('/', domain, '/', ['select', 'view', ''][seq % 3 + 1], CASE WHEN seq % 3 = 2 THEN 'order' ELSE 'Order' END, ['List', 'Info', 'Item'][loc % 3 + 1], loc % 4, '.do') AS path, CASE WHEN seq % 4 > 0 THEN concat('H', seq) END AS handler FROM files WHERE path LIKE '%/controller/%'),
 m AS (SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN concat('/brand', page_id % 26, '/selectOrderList', page_id % 5, '.do?x=1') WHEN 1 THEN concat('brand', page_id % 26, '/viewOrderItem', page_id % 4, '.do') WHEN 2 THEN concat('/brand', page_id % 26, '/selectList.do') WHEN 3 THEN 'scenario:a' ELSE concat('/no/where', page_id) END AS url, CASE page_id % 8 WHEN 0 THEN 'http-404' WHEN 1 THEN 'http-400' WHEN 2 THEN 'http-404' WHEN 3 THEN 'http-503' WHEN 4 THEN 'redirected-to:/login?b' WHEN 5 THEN 'redirected-to:/x' WHEN 6 THEN 'http-403' ELSE 'timeout' END AS reason FROM pages)"""
 
 
@@ -111,7 +111,7 @@ def _missing(t: Tables) -> tuple[DataFrame, DataFrame]:
     s, n, text = F.col("seq"), F.col("page_id"), lambda c: c.cast("string")
     pick = lambda c, *v: F.element_at(F.array(*map(F.lit, v)), (c + 1).cast("int"))
     route = F.concat(F.lit("/"), "domain", F.lit("/"), pick(s % 3, "select", "view", ""), F.when(s % 3 == 2, "order").otherwise("Order"), pick(F.col("loc") % 3, "List", "Info", "Item"), text(F.col("loc") % 4), F.lit(".do"))
-    routes = t.files.select("seq", route.alias("path"), F.when(s % 4 > 0, F.concat(F.lit("H"), text(s))).alias("handler"))
+    routes = t.files.where("path like '%/controller/%'").select("seq", route.alias("path"), F.when(s % 4 > 0, F.concat(F.lit("H"), text(s))).alias("handler"))
     brand = F.concat(F.lit("brand"), text(n % 26))
     url = F.when(n % 6 == 0, F.concat(F.lit("/"), brand, F.lit("/selectOrderList"), text(n % 5), F.lit(".do?x=1"))).when(n % 6 == 1, F.concat(brand, F.lit("/viewOrderItem"), text(n % 4), F.lit(".do"))).when(n % 6 == 2, F.concat(F.lit("/"), brand, F.lit("/selectList.do"))).when(n % 6 == 3, "scenario:a").otherwise(F.concat(F.lit("/no/where"), text(n)))
     reason = pick(n % 8, "http-404", "http-400", "http-404", "http-503", "redirected-to:/login?b", "redirected-to:/x", "http-403", "timeout")
