@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from factloom.fixtures import Tables
 from factloom.operators.windows import chunks
 from factloom.plans.components import connected_components
-from factloom.plans.shared import materialize
+from factloom.plans.ranges import number_rows
+from factloom.plans.shared import discard, materialize
 from factloom.registry import query
 
 STRONG_KINDS = ("call", "data", "inherit")
@@ -51,9 +53,33 @@ def reach_closure(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str] = STR
 
 
 def slices(edges: DataFrame, roots: DataFrame, cap: int = DEPTH_CAP) -> DataFrame:
-    """``roots(root)`` -> ``(root, path, depth)``, over edges of every kind."""
-    start = roots.select("root", F.col("root").alias("path"))
-    return frontier(start, edges.select(F.col("source").alias("node"), F.col("target").alias("next")), ["root", "path"], cap)
+    """``roots(root)`` -> ``(root, path, depth)``, over edges of every kind.
+
+    Roots are numbered and a file holds 64 of them in the bits of one row, so that a round joins and
+    groups a row for a file and 64 roots rather than one for each pair; pairs are only made of the
+    result. A null root reaches nothing."""
+    named = number_rows(roots.select("root").where("root is not null").distinct(), ["root"], "number")
+    named = materialize(named.withColumn("number", F.col("number") - 1), "roots")
+    bit = F.expr("shiftleft(1L, cast(number % 64 as int))")
+    start = named.select(F.col("root").alias("path"), F.floor(F.col("number") / 64).cast("int").alias("word"), bit.alias("bits"))
+    new = materialize(start.groupBy("path", "word").agg(F.bit_or("bits").alias("bits")).withColumn("depth", F.lit(0)), "bits")
+    seen, rounds = new.drop("depth"), [new]
+    steps = materialize(edges.select(F.col("source").alias("path"), F.col("target").alias("next")).distinct(), "steps")
+    for depth in range(1, cap + 1):
+        found = new.join(steps, "path").groupBy(F.col("next").alias("path"), "word").agg(F.bit_or("bits").alias("bits"))
+        known = found.join(seen.withColumnRenamed("bits", "old"), ["path", "word"], "left")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        new = materialize(known.select("path", "word", fresh.alias("bits"), F.lit(depth).alias("depth")).where("bits <> 0"), "bits")
+        if new.isEmpty():
+            break
+        rounds.append(new)
+        if depth < cap:
+            last, seen = seen, materialize(seen.union(new.drop("depth")).groupBy("path", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+            if hasattr(last, "_shared_path"):
+                discard(last)
+    held = reduce(DataFrame.union, rounds)
+    each = held.select("path", "word", "depth", F.explode(F.expr("filter(sequence(0, 63), i -> shiftrightunsigned(bits, i) & 1L = 1L)")).alias("i"))
+    return each.select((F.col("word") * 64 + F.col("i")).cast("long").alias("number"), "path", "depth").join(named, "number").select("root", "path", "depth")
 
 
 def ownership(files: DataFrame, reached: DataFrame) -> DataFrame:

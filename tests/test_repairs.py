@@ -259,3 +259,25 @@ def test_vector_search_matches_brute_force(spark):
         got = search.semantic_search(v, q, 0.1, 3, *rows)
         assert {(r.query, r.vec_id, round(r.score, 6), r.place) for r in got.collect()} == want
     assert search.semantic_search(v.limit(0), q, 0.1).collect() == []
+
+
+def test_slices_of_many_roots(spark):
+    """More roots than bits of one word, against breadth-first search."""
+    from factloom.operators import graph
+
+    rng = random.Random(12)
+    edges = [(f"f{rng.randrange(200)}", f"f{rng.randrange(200)}") for _ in range(260)]
+    roots = [f"f{i}" for i in range(150)] + ["alone", None]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for root in roots[:-1]:
+        depth, level = {root: 0}, [root]
+        for k in range(1, 5):
+            level = [b for b in {b for a in level for b in after.get(a, ())} if b not in depth]
+            depth |= dict.fromkeys(level, k)
+        want |= {(root, p, d) for p, d in depth.items()}
+    got = graph.slices(spark.createDataFrame(edges, "source string, target string"), spark.createDataFrame([(r,) for r in roots] + [("f1",)], "root string"), 4)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert graph.slices(spark.createDataFrame(edges, "source string, target string"), spark.createDataFrame([], "root string")).collect() == []
