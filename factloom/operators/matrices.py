@@ -130,8 +130,8 @@ dt AS (SELECT flow, string_agg(concat(tbl, '(', CASE WHEN list_contains(l, 'C')
 tf AS (SELECT flow, test_file, bool_or(convention) AS convention, arg_min(test, (NOT convention, line)) AS test FROM fi JOIN te ON prod = name GROUP BY flow, test_file), tn AS (SELECT flow, bool_or(convention) AS named FROM tf GROUP BY flow),
 tt AS (SELECT flow, any_value(named) AS named, string_agg(DISTINCT test, ', ' ORDER BY test) AS test FROM tf JOIN tn USING (flow) WHERE convention OR NOT named GROUP BY flow)
 SELECT fl.flow, domain, CASE WHEN fl.entry IS NULL THEN '' ELSE coalesce(route, fl.entry) END AS entry, CASE WHEN fl.entry IS NOT NULL AND (route IS NOT NULL OR path IS NOT NULL) THEN 'CONFIRMED' ELSE 'INFERRED' END AS entry_is, coalesce(implementation, '') AS implementation, CASE WHEN implementation IS NULL THEN 'PLANNED' ELSE 'IMPLEMENTED' END AS state,
-  coalesce(data, '') AS data, CASE WHEN data IS NULL THEN 'INFERRED' ELSE 'CONFIRMED' END AS data_is, coalesce(test, '') AS test, CASE WHEN test IS NULL THEN 'UNVERIFIED' WHEN named THEN 'CONFIRMED' ELSE 'INFERRED' END AS test_is, concat('FN-', lpad(CAST(row_number() OVER (ORDER BY domain IS NULL, domain, fl.flow) AS VARCHAR), 3, '0')) AS feature
-FROM fl LEFT JOIN fr USING (entry) LEFT JOIN im ON im.flow = fl.flow LEFT JOIN dt ON dt.flow = fl.flow LEFT JOIN tt ON tt.flow = fl.flow""",
+  coalesce(data, '') AS data, CASE WHEN data IS NULL THEN 'INFERRED' ELSE 'CONFIRMED' END AS data_is, coalesce(test, '') AS test, CASE WHEN test IS NULL THEN 'UNVERIFIED' WHEN named THEN 'CONFIRMED' ELSE 'INFERRED' END AS test_is, concat('FN-', CASE WHEN place < 1000 THEN lpad(CAST(place AS VARCHAR), 3, '0') ELSE CAST(place AS VARCHAR) END) AS feature
+FROM (SELECT *, row_number() OVER (ORDER BY domain IS NULL, domain, flow) AS place FROM fl) fl LEFT JOIN fr USING (entry) LEFT JOIN im ON im.flow = fl.flow LEFT JOIN dt ON dt.flow = fl.flow LEFT JOIN tt ON tt.flow = fl.flow""",
     ("files",),
 )
 def _c6(t: Tables) -> DataFrame:
