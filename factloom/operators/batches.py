@@ -89,11 +89,11 @@ def merge_batches(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 
 
 _BATCH = """n AS (SELECT seq, CASE seq % 7 WHEN 0 THEN concat('proj:file:', path) WHEN 1 THEN concat('file:file:', path) WHEN 2 THEN concat('func:', path) WHEN 3 THEN path WHEN 4 THEN '' ELSE concat('file:', path) END AS id, ['function', 'file', 'widget', 'class', 'config'][loc % 5 + 1] AS type, concat('N', seq % 50) AS name, CASE WHEN seq % 2 = 0 THEN path END AS path,
-    CASE seq % 6 WHEN 0 THEN 'LOW' WHEN 1 THEN ' hard ' WHEN 2 THEN 'odd' WHEN 3 THEN NULL ELSE 'Simple' END AS complexity FROM files UNION ALL SELECT 1000000 + seq, concat('file:', path), 'file', 'again', path, 'complex' FROM files WHERE seq % 7 = 5 AND seq % 2 = 0),
+    CASE seq % 6 WHEN 0 THEN 'LOW' WHEN 1 THEN ' hard ' WHEN 2 THEN 'odd' WHEN 3 THEN NULL ELSE 'Simple' END AS complexity, FALSE AS again FROM files UNION ALL SELECT 1000000 + seq, concat('file:', path), 'file', 'again', path, 'complex', TRUE FROM files WHERE seq % 7 = 5 AND seq % 2 = 0),
 g AS (SELECT seq, source AS s0, target AS t0, kind AS type, CASE seq % 5 WHEN 0 THEN 'Both' WHEN 1 THEN 'backward' WHEN 2 THEN 'odd' END AS way, CASE WHEN seq % 4 = 0 THEN 'x' ELSE CAST(line AS VARCHAR) END AS weight FROM file_edges),
 x AS (SELECT *, CASE seq % 7 WHEN 0 THEN replace(id, 'proj:', '') WHEN 1 THEN replace(id, 'file:file:', 'file:') WHEN 2 THEN concat('function:', substr(id, 6)) WHEN 3 THEN CASE WHEN type IN ('function', 'class') THEN concat(type, ':', coalesce(path, '__nofilepath__'), ':', name) ELSE concat(CASE WHEN type = 'widget' THEN 'file' ELSE type END, ':', id) END ELSE id END AS new0 FROM n WHERE id <> ''),
-y AS (SELECT *, CASE WHEN seq > 1000000 THEN id ELSE new0 END AS new, CASE lower(trim(complexity)) WHEN 'low' THEN 'simple' WHEN 'hard' THEN 'complex' WHEN 'simple' THEN 'simple' WHEN 'complex' THEN 'complex' ELSE 'moderate' END AS level, CASE WHEN lower(trim(complexity)) IN ('simple', 'moderate', 'complex') THEN 'valid' WHEN lower(trim(complexity)) IN ('low', 'hard') THEN 'mapped' ELSE 'unknown' END AS state FROM x),
-raw AS (SELECT g.seq, a.id AS source, b.id AS target, g.type, way, weight FROM g JOIN files fa ON fa.path = s0 JOIN files fb ON fb.path = t0 JOIN n a ON a.seq = fa.seq JOIN n b ON b.seq = fb.seq),
+y AS (SELECT *, CASE WHEN again THEN id ELSE new0 END AS new, CASE lower(trim(complexity)) WHEN 'low' THEN 'simple' WHEN 'hard' THEN 'complex' WHEN 'simple' THEN 'simple' WHEN 'complex' THEN 'complex' ELSE 'moderate' END AS level, CASE WHEN lower(trim(complexity)) IN ('simple', 'moderate', 'complex') THEN 'valid' WHEN lower(trim(complexity)) IN ('low', 'hard') THEN 'mapped' ELSE 'unknown' END AS state FROM x),
+raw AS (SELECT g.seq, a.id AS source, b.id AS target, g.type, way, weight FROM g JOIN files fa ON fa.path = s0 JOIN files fb ON fb.path = t0 JOIN n a ON a.seq = fa.seq AND NOT a.again JOIN n b ON b.seq = fb.seq AND NOT b.again),
 mv AS (SELECT id, arg_max(new, seq) AS new FROM y WHERE new <> id GROUP BY id),
 e AS (SELECT r.seq, coalesce(ms.new, source) AS source, coalesce(mt.new, target) AS target, type, CASE lower(way) WHEN 'both' THEN 'bidirectional' WHEN 'backward' THEN 'backward' ELSE 'forward' END AS direction, TRY_CAST(weight AS DOUBLE) AS weight, ms.new IS NOT NULL OR mt.new IS NOT NULL AS moved FROM raw r LEFT JOIN mv ms ON ms.id = source LEFT JOIN mv mt ON mt.id = target),
 la AS (SELECT new AS id, arg_max({'type': type, 'name': name, 'path': path, 'complexity': level}, seq) AS x FROM y GROUP BY new), ou AS (SELECT source, target, type, direction, arg_max({'w': weight}, (coalesce(weight, 0), -seq)).w AS weight FROM e WHERE source IN (SELECT id FROM la) AND target IN (SELECT id FROM la) GROUP BY source, target, type, direction)"""

@@ -37,3 +37,8 @@ def same(spark, made, name):
 def test_flows_beyond_a_thousand_keep_their_numbers(spark, copies):
     got = same(spark, copies(*range(0, 5000, 200)), "c6_requirement_matrix")
     assert "FN-001" in set(got.feature) and f"FN-{len(got)}" in set(got.feature) and len(got) > 1000
+
+
+@pytest.mark.parametrize("name", ["u2_batch_nodes", "u2_batch_edges", "u2_batch_report"])
+def test_batches_of_files_numbered_beyond_a_million(spark, copies, name):
+    assert len(same(spark, copies(0, 1000000), name))
