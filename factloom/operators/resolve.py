@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
 from factloom.operators.filters import is_test
+from factloom.plans.shared import broadcast_if_small, materialize
 from factloom.registry import query
 
 # Weights of built edges.
@@ -19,19 +20,33 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) ->
     common part wins if it is alone; without one, a unique name, else a unique one in an imported
     file. ``outcome`` says which."""
     f = functions.select("fn", F.col("file").alias("f_file"), F.lower("cls").alias("cls"), "name")
-    d = calls.join(f, "name").join(imports.select("file", F.col("target").alias("f_file"), F.lit(1).alias("imported")).distinct(), ["file", "f_file"], "left")
-    r = F.lower("receiver")
-    strong = F.col("receiver").isNotNull() & (F.startswith("cls", r) | F.startswith(r, "cls"))
-    common = F.when(strong, F.least(F.length("cls"), F.length(r)))
-    d = d.withColumn("common", common)
-    g = d.groupBy("call").agg(
-        F.max("common").alias("best"), F.count_distinct("fn").alias("n"), F.count_distinct(F.when(F.col("imported") == 1, F.col("fn"))).alias("n_imported"), F.min("fn").alias("one"), F.min(F.when(F.col("imported") == 1, F.col("fn"))).alias("imported_one"), F.bool_or(F.col("receiver").isNotNull()).alias("has")
-    )
-    top = d.join(g.select("call", "best"), "call").where("common = best").groupBy("call").agg(F.count_distinct("fn").alias("k"), F.min("fn").alias("top"))
-    g = g.join(top, "call", "left")
-    to = F.when(F.col("has"), F.when(F.col("k") == 1, F.col("top"))).when(F.col("n") == 1, F.col("one")).when(F.col("n_imported") == 1, F.col("imported_one"))
-    outcome = F.when(F.col("has"), F.when(F.col("k") == 1, "strong").when(F.col("k") > 1, "ambiguous").otherwise("weak")).when(F.col("n") == 1, "unique").when(F.col("n_imported") == 1, "imported").otherwise("ambiguous")
-    return calls.select("call").join(g.select("call", to.alias("fn"), outcome.alias("outcome")), "call", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unknown")))
+    # rows of one call differ in their file alone
+    one_call = calls.groupBy("call").agg(F.min(F.struct("name", F.lower("receiver").alias("receiver"))).alias("x")).select("call", "x.*")
+    one_call = materialize(one_call, "calls")
+    named = f.groupBy("name").agg(F.count_distinct("fn").alias("n"), F.min("fn").alias("one"))
+
+    # classes that begin with the receiver share all of it; only if there are none does the longest that it begins with count
+    starts = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
+    asked = materialize(one_call.where("receiver is not null").select("name", "receiver").distinct(), "receivers")
+    longer = f.where("cls is not null").select("name", "fn", F.explode(starts(F.col("cls"))).alias("receiver"))
+    longer = longer.join(asked, ["name", "receiver"]).groupBy("name", "receiver").agg(F.count_distinct("fn").alias("k"), F.min("fn").alias("top"))
+    classes = f.where("cls is not null").groupBy("name", "cls").agg(F.count_distinct("fn").alias("k"), F.min("fn").alias("top"))
+    shorter = asked.select("name", "receiver", F.explode(starts(F.col("receiver"))).alias("cls")).join(classes, ["name", "cls"])
+    shorter = shorter.groupBy("name", "receiver").agg(F.max_by(F.struct("k", "top"), F.length("cls")).alias("short"))
+    strong = asked.join(longer, ["name", "receiver"], "left").join(shorter, ["name", "receiver"], "left")
+    strong = strong.select("name", "receiver", F.coalesce("k", "short.k").alias("k"), F.when(F.col("k").isNotNull(), F.col("top")).otherwise(F.col("short.top")).alias("top"))
+    strong = broadcast_if_small(materialize(strong, "strong"))
+
+    bare = calls.where("receiver is null").select("call", "file", "name")
+    near = imports.select("file", F.col("target").alias("f_file")).distinct().join(f.select("f_file", "name", "fn").hint("merge"), "f_file").select("file", "name", "fn")
+    near = bare.join(near.hint("merge"), ["file", "name"]).groupBy("call").agg(F.count_distinct("fn").alias("n_imported"), F.min("fn").alias("imported_one"))
+
+    g = one_call.join(broadcast_if_small(materialize(named, "names")), "name").join(strong, ["name", "receiver"], "left").join(near.hint("merge"), "call", "left")
+    has = F.col("receiver").isNotNull()
+    to = F.when(has, F.when(F.col("k") == 1, F.col("top"))).when(F.col("n") == 1, F.col("one")).when(F.col("n_imported") == 1, F.col("imported_one"))
+    outcome = F.when(has, F.when(F.col("k") == 1, "strong").when(F.col("k") > 1, "ambiguous").otherwise("weak")).when(F.col("n") == 1, "unique").when(F.col("n_imported") == 1, "imported").otherwise("ambiguous")
+    g = g.select("call", to.alias("fn"), outcome.alias("outcome"))
+    return calls.select("call").join(g.hint("merge"), "call", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unknown")))
 
 
 def link_tests(edges: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Queries and their SQL on copies of the smallest tables that are repeated with shifted keys."""
 
 import os
+import random
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from factloom import catalog
+from factloom.operators import documents, resolve
 from tests.test_oracles import rows
 
 KEYS = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -42,3 +46,62 @@ def test_flows_beyond_a_thousand_keep_their_numbers(spark, copies):
 @pytest.mark.parametrize("name", ["u2_batch_nodes", "u2_batch_edges", "u2_batch_report"])
 def test_batches_of_files_numbered_beyond_a_million(spark, copies, name):
     assert len(same(spark, copies(0, 1000000), name))
+
+
+def test_indexes_of_documents_match_pairs(spark):
+    rng = random.Random(7)
+    docs = [(f"d{i}", rng.choice(["k1", "k2", "k3", None]), rng.choice(["a", "b", None])) for i in range(60)] + [("d99", "k9", "a")]
+    got = {tuple(r) for r in documents.document_index(spark.createDataFrame(docs, "doc string, key string, methodology string")).collect()}
+    met = {d: [e for e, l, n in docs if k and l == k and m and n and m != n] for d, k, m in docs}
+    assert got == {(d, len(v), min(v)) for d, v in met.items() if v}
+
+
+def test_candidate_routes_match_pairs(spark):
+    rng = random.Random(8)
+    words = lambda: [rng.choice("abc") for _ in range(rng.randrange(4))]
+    pages, routes = [(f"p{i}", rng.choice("xy"), words()) for i in range(40)], [(f"r{i}", rng.choice("xy"), words()) for i in range(8)]
+    got = {tuple(r) for r in documents.candidate_routes(spark.createDataFrame(pages, "page string, dir string, tokens array<string>"), spark.createDataFrame(routes, "route string, dir string, tokens array<string>")).collect()}
+    want = set()
+    for page, folder, mine in pages:
+        common = {r: len(set(mine) & set(w)) for r, f, w in routes if f == folder}
+        most = [r for r, n in common.items() if n and n == max(common.values())]
+        if len(most) == 1:
+            want.add((page, most[0], common[most[0]]))
+    assert got == want and want
+
+
+def test_calls_match_pairs(spark):
+    rng = random.Random(9)
+    functions = [(f"f{i:02}", f"file{rng.randrange(12)}", rng.choice(["Or", "Order", "OrderLine", "Item", "", None]), rng.choice("mnop")) for i in range(24)] + [("f99", "file0", "Item", "only")]
+    calls = [(i, f"file{rng.randrange(12)}", rng.choice([None, "order", "OrderLineX", "o", "item", "zz", ""]), rng.choice(["m", "n", "o", "p", "only", "none"])) for i in range(150)]
+    imports = [(f"file{rng.randrange(12)}", f"file{rng.randrange(12)}") for _ in range(30)]
+    make = spark.createDataFrame
+    got = resolve.resolve_calls(make(calls, "call long, file string, receiver string, name string"), make(functions, "fn string, file string, cls string, name string"), make(imports, "file string, target string")).collect()
+    want = {}
+    for call, file, receiver, name in calls:
+        met = [(fn, f, c) for fn, f, c, n in functions if n == name]
+        if not met:
+            want[call] = (None, "unknown")
+        elif receiver is not None:
+            low = receiver.lower()
+            size = {fn: min(len(c), len(low)) for fn, _, c in met if c is not None and (c.lower().startswith(low) or low.startswith(c.lower()))}
+            top = [fn for fn, n in size.items() if n == max(size.values())]
+            want[call] = (top[0], "strong") if len(top) == 1 else (None, "ambiguous" if top else "weak")
+        else:
+            near = [fn for fn, f, _ in met if (file, f) in imports]
+            want[call] = (met[0][0], "unique") if len(met) == 1 else (near[0], "imported") if len(near) == 1 else (None, "ambiguous")
+    assert {r.call: (r.fn, r.outcome) for r in got} == want
+
+
+def test_no_join_of_whole_groups(spark):
+    """Groups of equal keys grow with the table, so that a join of them would make pairs of their rows."""
+    n = 20000
+    files = spark.range(n).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("doc"), F.lit("k").alias("key"), (F.col("id") % 2).cast("string").alias("methodology"))
+    start = time.time()
+    assert documents.document_index(files).agg(F.sum("links")).first()[0] == n * n // 2
+    routes = files.select(F.col("doc").alias("route"), F.lit("d").alias("dir"), F.array("methodology").alias("tokens"))
+    assert documents.candidate_routes(routes.withColumnRenamed("route", "page"), routes).count() == 0
+    functions = files.select(F.col("doc").alias("fn"), F.col("doc").alias("file"), F.lit("Order").alias("cls"), F.lit("m").alias("name"))
+    calls = files.select(F.col("doc").alias("call"), F.col("doc").alias("file"), F.lit("ord").alias("receiver"), F.lit("m").alias("name"))
+    assert resolve.resolve_calls(calls, functions, functions.select("file", F.col("file").alias("target"))).where("outcome = 'ambiguous'").count() == n
+    assert time.time() - start < 60  # 400 million pairs, three times over, take minutes
