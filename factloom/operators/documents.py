@@ -9,6 +9,7 @@ from factloom.fixtures import Tables
 from factloom.functions import text as fn
 from factloom.operators.resolve import key_cardinality
 from factloom.operators.windows import half_up
+from factloom.plans.shared import broadcast_if_small, materialize
 from factloom.registry import query
 
 
@@ -42,17 +43,32 @@ def mentioned_terms(texts: DataFrame, terms: DataFrame, shortest: int = 4) -> Da
 def candidate_routes(missing: DataFrame, routes: DataFrame) -> DataFrame:
     """C20: for a missing page the route of its directory with the most common words; none if two
     are level. ``missing(page, dir, tokens)``, ``routes(route, dir, tokens)``."""
-    d = missing.join(routes.select("route", "dir", F.col("tokens").alias("other")), "dir")
-    d = d.withColumn("common", F.size(F.array_intersect("tokens", "other"))).where("common > 0")
-    best = d.groupBy("page").agg(F.max("common").alias("common"))
-    top = d.join(best, ["page", "common"]).groupBy("page", "common").agg(F.count("*").alias("n"), F.min("route").alias("route"))
-    return top.where("n = 1").select("page", "route", "common")
+    # pages and routes with equal words are level, so that only the sets of words of a directory meet, by a common word
+    words = F.array_sort(F.array_distinct("tokens")).alias("words")
+    pages = missing.select("page", "dir", words)
+    sets = routes.select("route", "dir", words).groupBy("dir", "words").agg(F.count("*").alias("n"), F.min("route").alias("route"))
+    asked = pages.select("dir", "words").distinct().select("dir", "words", F.explode("words").alias("word"))
+    given = sets.select("dir", F.col("words").alias("other"), "n", "route", F.explode("words").alias("same"))
+    met = asked.join(given, (asked.dir == given.dir) & asked.word.eqNullSafe(given.same)).drop(given.dir)
+    met = met.groupBy("dir", "words", "other").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("route").alias("route"))
+    level = met.groupBy("dir", "words", "common").agg(F.sum("n").alias("n"), F.min("route").alias("route"))
+    best = level.groupBy("dir", "words").agg(F.max(F.struct("common", "n", "route")).alias("best"))
+    tops = pages.join(best, ["dir", "words"]).groupBy("page", "best.common").agg(F.sum("best.n").alias("n"), F.min("best.route").alias("route"))
+    top = tops.groupBy("page").agg(F.max(F.struct("common", "n", "route")).alias("top"))
+    return top.where("top.n = 1").select("page", "top.route", F.col("top.common").cast("int").alias("common"))
 
 
 def document_index(docs: DataFrame) -> DataFrame:
-    """Documents of a semantic key in other methodologies."""
-    a, b = docs.select("doc", "key", "methodology"), docs.select(F.col("doc").alias("related"), "key", F.col("methodology").alias("other"))
-    return a.join(b, "key").where("methodology <> other").groupBy("doc").agg(F.count("*").alias("links"), F.min("related").alias("first"))
+    """Documents of a semantic key in other methodologies: how many, and the first."""
+    d = docs.select("doc", "key", "methodology").where("key is not null and methodology is not null")
+    groups = materialize(d.groupBy("key", "methodology").agg(F.count("*").alias("n"), F.min("doc").alias("first")), "groups")
+    # a key's first document is the first of all but its own methodology, which takes the first of the others
+    keys = groups.groupBy("key").agg(F.sum("n").alias("all"), F.min(F.struct("first", "methodology")).alias("least"))
+    others = groups.join(keys, "key").where("methodology <> least.methodology").groupBy("key").agg(F.min("first").alias("next"))
+    first = F.when(F.col("methodology") == F.col("least.methodology"), F.col("next")).otherwise(F.col("least.first"))
+    table = groups.join(keys, "key").join(others, "key").select("key", "methodology", (F.col("all") - F.col("n")).alias("links"), first.alias("first"))
+    table = broadcast_if_small(materialize(table, "links"))
+    return d.join(table, ["key", "methodology"]).groupBy("doc").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
 
 
 def onboarding(memberships: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
