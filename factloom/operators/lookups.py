@@ -9,7 +9,7 @@ from factloom.fixtures import Tables
 from factloom.functions import text as fn
 from factloom.operators.graph import key_component
 from factloom.operators.joins import suffix_index
-from factloom.plans.shared import materialize
+from factloom.plans.shared import left_join, materialize, shuffled
 from factloom.registry import query
 
 # What is too small to annotate, the height of a row, the rows of a table that are kept.
@@ -41,12 +41,17 @@ def resolve_handlers(entries: DataFrame, beans: DataFrame, files: DataFrame) ->
     detail for its job's; the class is the one file with its whole name as path suffix, else the one
     with its simple name, else null."""
     wanted = entries.select("entry", F.split("handler", "#")[0].alias("bean"))
-    d = wanted.join(beans.select("bean", "class", "target", "job"), "bean", "left").join(beans.select(F.col("bean").alias("target"), F.col("class").alias("target_class")), "target", "left")
+    d = left_join(wanted, "bean", beans.select(F.col("bean").alias("its"), "class", "target", "job"), "its")
+    d = left_join(d, "target", beans.select(F.col("bean").alias("its"), F.col("class").alias("target_class")), "its")
     kind = F.when(F.col("class").rlike("MethodInvokingJobDetailFactoryBean$"), F.col("target_class")).when(F.col("class").rlike("JobDetail(FactoryBean|Bean)$"), F.col("job")).otherwise(F.col("class"))
     d = materialize(d.select("entry", kind.alias("class")), "handlers")
-    one = suffix_index(files).groupBy("suffix").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
-    d = d.join(one.toDF("whole", "p1"), F.replace("class", F.lit("."), F.lit("/")) == F.col("whole"), "left")
-    d = d.join(one.toDF("simple", "p2"), F.substring_index("class", ".", -1) == F.col("simple"), "left")
+    d = d.select("entry", "class", F.replace("class", F.lit("."), F.lit("/")).alias("whole"), F.substring_index("class", ".", -1).alias("simple"))
+    # only suffixes that a class asks for are counted
+    asked = d.select(F.explode(F.array("whole", "simple")).alias("suffix")).distinct()
+    one = suffix_index(files).join(shuffled(asked), "suffix", "left_semi").groupBy("suffix").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
+    one = materialize(one, "suffixes")
+    d = left_join(d, "whole", one.toDF("suffix", "p1"), "suffix")
+    d = left_join(d, "simple", one.toDF("suffix", "p2"), "suffix")
     return d.select("entry", "class", F.coalesce("p1", "p2").alias("path"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import catalog
-from factloom.operators import documents, resolve
+from factloom.operators import documents, knowledge, lookups, resolve
 from tests.test_oracles import rows
 
 KEYS = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -105,3 +105,27 @@ def test_no_join_of_whole_groups(spark):
     calls = files.select(F.col("doc").alias("call"), F.col("doc").alias("file"), F.lit("ord").alias("receiver"), F.lit("m").alias("name"))
     assert resolve.resolve_calls(calls, functions, functions.select("file", F.col("file").alias("target"))).where("outcome = 'ambiguous'").count() == n
     assert time.time() - start < 60  # 400 million pairs, three times over, take minutes
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_grow_are_not_built_in_the_driver(spark):
+    make = spark.createDataFrame
+    files = make([("src/a/One.java",), ("src/b/Two.java",)], "path string")
+    entries = make([("e1", "b1#run"), ("e2", "b2"), ("e3", "gone"), ("e4", None)], "entry string, handler string")
+    beans = make([("b1", "a.One", None, None), ("b2", "x.MethodInvokingJobDetailFactoryBean", "b1", None)], "bean string, class string, target string, job string")
+    found = lookups.resolve_handlers(entries, beans, files)
+    assert "BroadcastExchange" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {("e1", "a.One", "src/a/One.java"), ("e2", "a.One", "src/a/One.java"), ("e3", None, None), ("e4", None, None)}
+    needles, hays = make([("n", "bc")], "needle_id string, needle string"), make([("h", "abcd")], "hay_id string, hay string")
+    met = knowledge.containment(needles, hays)
+    assert "BroadcastExchange" not in plan(met) and [tuple(r) for r in met.collect()] == [("n", "h")]
+
+
+def test_runs_of_long_needles_tell_alike_texts_apart(spark):
+    n = 30000
+    hays = spark.range(n).select(F.col("id").alias("hay_id"), F.format_string("n%08d", F.col("id") * 3001).alias("hay"))
+    got = knowledge.containment(hays.toDF("needle_id", "needle"), hays)
+    assert got.count() == n and got.where("needle_id <> hay_id").isEmpty()
