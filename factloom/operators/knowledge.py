@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
-from factloom.plans.shared import materialize
+from factloom.plans.shared import materialize, shuffled
 from factloom.registry import query
 
-GRAM = 3
+#: Lengths of the runs that are looked up: a needle takes the greatest that it is as long as.
+GRAMS = (1, 2, 3, 6, 12)
 
 
 def _grams(text: Column, size: Column | int) -> Column:
@@ -24,19 +25,20 @@ def containment(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """``needles(needle_id, needle)`` and ``hays(hay_id, hay)`` -> ``(needle_id, hay_id)`` where the needle is
     part of the hay; empty needles are in none.
 
-    An inverted index of runs of three characters (of the needle's own length if it is shorter):
-    each needle looks up the run that the fewest hays have, and what it meets there is compared.
+    An inverted index of runs of characters, longer ones for longer needles, so that hays that are alike
+    do not all meet: each needle looks up the run that the fewest hays have, and what it meets there
+    is compared.
     """
-    n = needles.where(F.char_length("needle") > 0).withColumn("size", F.least(F.char_length("needle"), F.lit(GRAM)))
+    n = needles.where(F.char_length("needle") > 0).withColumn("size", F.greatest(*[F.when(F.char_length("needle") >= g, g) for g in GRAMS], F.lit(GRAMS[0])))
     asked = materialize(n.select("needle_id", "needle", F.explode(_grams(F.col("needle"), F.col("size"))).alias("gram")), "asked")
     wanted = asked.select("gram").distinct()
-    index = hays.select("hay_id", "hay", F.explode(F.sequence(F.lit(1), F.lit(GRAM))).alias("size")).select("hay_id", F.explode(_grams(F.col("hay"), F.col("size"))).alias("gram"))
-    index = materialize(index.join(wanted, "gram", "left_semi"), "grams")
+    index = hays.select("hay_id", "hay", F.explode(F.array(*map(F.lit, GRAMS))).alias("size")).select("hay_id", F.explode(_grams(F.col("hay"), F.col("size"))).alias("gram"))
+    index = materialize(index.join(shuffled(wanted), "gram", "left_semi"), "grams")
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
     # a run that no hay has settles a needle: it is in none
-    rare = asked.join(often, "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rare = asked.join(shuffled(often), "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
     rare = rare.where("least.n > 0").select("needle_id", "needle", F.col("least.gram").alias("gram"))
-    met = rare.join(index, "gram").join(hays, "hay_id")
+    met = rare.join(shuffled(index), "gram").join(shuffled(hays), "hay_id")
     return met.where(F.contains("hay", F.col("needle"))).select("needle_id", "hay_id").distinct()
 
 
@@ -50,31 +52,31 @@ def parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "wiki")
     articles = nodes.where("type = 'article'").select(F.col("id").alias("article"), "seq", F.lower(F.coalesce("name", F.lit(""))).alias("title"), F.lower(F.coalesce("content", F.lit(""))).alias("content"))
     kids = nodes.where("type in ('entity', 'claim')").select(F.col("id").alias("child"), "seq", F.lower("name").alias("name"), F.split(F.when(F.contains("id", F.lit(":")), F.expr("substring(id, instr(id, ':') + 1)")).otherwise(F.col("id")), ":")[0].alias("stem"))
-    to_article = edges.join(articles.select(F.col("article").alias("target")), "target", "left_semi").join(kids.select(F.col("child").alias("source")), "source", "left_semi").select("seq", F.col("source").alias("child"), F.col("target").alias("article"))
-    from_article = edges.join(articles.select(F.col("article").alias("source")), "source", "left_semi").join(kids.select(F.col("child").alias("target")), "target", "left_semi").select("seq", F.col("target").alias("child"), F.col("source").alias("article"))
+    to_article = edges.join(shuffled(articles.select(F.col("article").alias("target"))), "target", "left_semi").join(shuffled(kids.select(F.col("child").alias("source"))), "source", "left_semi").select("seq", F.col("source").alias("child"), F.col("target").alias("article"))
+    from_article = edges.join(shuffled(articles.select(F.col("article").alias("source"))), "source", "left_semi").join(shuffled(kids.select(F.col("child").alias("target"))), "target", "left_semi").select("seq", F.col("target").alias("child"), F.col("source").alias("article"))
     linked = to_article.union(from_article).groupBy("child").agg(F.min_by("article", "seq").alias("article"), F.min("seq").alias("seq")).withColumn("tier", F.lit(0))
-    open_ = materialize(kids.join(linked, "child", "left_anti"), "open")
+    open_ = materialize(kids.join(shuffled(linked), "child", "left_anti"), "open")
 
     # only ids spelled as articles have a bare name; of equal ones the last article has it, in the place of the first
     bare = nodes.where(F.col("id").startswith("article:")).select(F.when(F.contains("id", F.lit("/")), F.substring_index("id", "/", -1)).otherwise(F.replace("id", F.lit("article:"), F.lit(""))).alias("bare"), "id", "seq")
     bare = materialize(bare.groupBy("bare").agg(F.max_by("id", "seq").alias("article"), F.min("seq").alias("place")), "bare")
-    exact = open_.join(bare, open_.stem == bare.bare).select("child", "article", "seq", F.lit(1).alias("tier"))
-    open_ = materialize(open_.join(exact, "child", "left_anti"), "open")
+    exact = open_.join(shuffled(bare), open_.stem == bare.bare).select("child", "article", "seq", F.lit(1).alias("tier"))
+    open_ = materialize(open_.join(shuffled(exact), "child", "left_anti"), "open")
 
     inside = containment(open_.select(F.col("child").alias("needle_id"), F.col("stem").alias("needle")), bare.select(F.col("bare").alias("hay_id"), F.col("bare").alias("hay"))).select(F.col("needle_id").alias("child"), F.col("hay_id").alias("bare"))
     around = containment(bare.select(F.col("bare").alias("needle_id"), F.col("bare").alias("needle")), open_.select(F.col("child").alias("hay_id"), F.col("stem").alias("hay"))).select(F.col("hay_id").alias("child"), F.col("needle_id").alias("bare"))
     # an empty stem is in every name, and an empty name in every stem
     first = bare.agg(F.min_by("bare", "place").alias("bare")).where("bare is not null")
     hollow = open_.where("stem = ''").select("child").join(F.broadcast(first))
-    near = inside.union(around).union(hollow).join(bare, "bare").groupBy("child").agg(F.min_by("article", "place").alias("article"))
-    near = open_.select("child", "seq").join(near, "child").select("child", "article", "seq", F.lit(2).alias("tier"))
-    open_ = materialize(open_.join(near, "child", "left_anti").where("name is not null and name <> ''"), "open")
+    near = inside.union(around).union(hollow).join(shuffled(bare), "bare").groupBy("child").agg(F.min_by("article", "place").alias("article"))
+    near = open_.select("child", "seq").join(shuffled(near), "child").select("child", "article", "seq", F.lit(2).alias("tier"))
+    open_ = materialize(open_.join(shuffled(near), "child", "left_anti").where("name is not null and name <> ''"), "open")
 
     needles = open_.select(F.col("child").alias("needle_id"), F.col("name").alias("needle"))
     told = containment(needles, articles.select(F.col("article").alias("hay_id"), F.col("title").alias("hay")))
     told = told.union(containment(needles.where(F.char_length("needle") >= 3), articles.select(F.col("article").alias("hay_id"), F.col("content").alias("hay"))))
-    told = told.join(articles.select(F.col("article").alias("hay_id"), F.col("seq").alias("place")), "hay_id").groupBy(F.col("needle_id").alias("child")).agg(F.min_by("hay_id", "place").alias("article"))
-    told = open_.select("child", "seq").join(told, "child").select("child", "article", "seq", F.lit(3).alias("tier"))
+    told = told.join(shuffled(articles.select(F.col("article").alias("hay_id"), F.col("seq").alias("place"))), "hay_id").groupBy(F.col("needle_id").alias("child")).agg(F.min_by("hay_id", "place").alias("article"))
+    told = open_.select("child", "seq").join(shuffled(told), "child").select("child", "article", "seq", F.lit(3).alias("tier"))
     columns = ("child", "article", "tier", "seq")
     return reduce(DataFrame.union, [d.select(*columns) for d in (linked, exact, near, told)])
 
@@ -97,13 +99,13 @@ def knowledge_layers(nodes: DataFrame, edges: DataFrame, categories: DataFrame)
     children to the last one's layer."""
     under = materialize(_sorted_under(edges, categories), "under")
     topics = categories.select("place", _slug(F.col("name")).alias("slug")).withColumn("id", F.concat(F.lit("topic:"), "slug"))
-    topics = topics.join(nodes.select("id").distinct(), "id", "left_semi").select("place", "slug", "id", F.lit(0).cast("long").alias("seq"))
+    topics = topics.join(shuffled(nodes.select("id").distinct()), "id", "left_semi").select("place", "slug", "id", F.lit(0).cast("long").alias("seq"))
     home = under.select("id", "place", "slug").union(topics.select("id", "place", "slug")).groupBy(F.col("id").alias("article")).agg(F.max_by("slug", "place").alias("slug"))
-    kids = materialize(parents(nodes, edges), "kids").join(home, "article").select("slug", F.col("child").alias("id"), F.when(F.col("tier") == 0, 2).otherwise(3).alias("tier"), "seq")
+    kids = materialize(parents(nodes, edges), "kids").join(shuffled(home), "article").select("slug", F.col("child").alias("id"), F.when(F.col("tier") == 0, 2).otherwise(3).alias("tier"), "seq")
     members = under.select("slug", "id", F.lit(0).alias("tier"), "seq").union(topics.select("slug", "id", F.lit(1), "seq")).union(kids)
     members = members.groupBy("slug", "id").agg(F.min(F.struct("tier", "seq")).alias("first")).select(F.concat(F.lit("layer:"), "slug").alias("layer"), F.col("id").alias("node_id"), "first.tier", "first.seq")
     members = materialize(members, "members")
-    rest = nodes.join(members.select(F.col("node_id").alias("id")), "id", "left_anti").select(F.lit("layer:other").alias("layer"), F.col("id").alias("node_id"), F.lit(4).alias("tier"), "seq")
+    rest = nodes.join(shuffled(members.select(F.col("node_id").alias("id"))), "id", "left_anti").select(F.lit("layer:other").alias("layer"), F.col("id").alias("node_id"), F.lit(4).alias("tier"), "seq")
     return members.union(rest)
 
 
@@ -111,7 +113,7 @@ def knowledge_tour(nodes: DataFrame, edges: DataFrame, categories: DataFrame, mo
     """``(place, node_id, k)``: the first ``most`` of what is put under each category's topic, else the topic."""
     ranked = _sorted_under(edges, categories).withColumn("k", F.row_number().over(Window.partitionBy("place").orderBy("seq", "id"))).where(F.col("k") <= most).select("place", F.col("id").alias("node_id"), "k")
     bare = categories.join(ranked.select("place"), "place", "left_anti").select("place", F.concat(F.lit("topic:"), _slug(F.col("name"))).alias("id"))
-    return ranked.union(bare.join(nodes.select("id").distinct(), "id", "left_semi").select("place", F.col("id").alias("node_id"), F.lit(1)))
+    return ranked.union(bare.join(shuffled(nodes.select("id").distinct()), "id", "left_semi").select("place", F.col("id").alias("node_id"), F.lit(1)))
 
 
 _WIKI = """cat AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INT) AS place, concat('Brand ', substr(p_brand, 7)) AS name FROM part),
