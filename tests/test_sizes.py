@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import catalog
-from factloom.operators import documents, knowledge, lookups, resolve
+from factloom.operators import documents, graph, knowledge, lookups, resolve
 from tests.test_oracles import rows
 
 KEYS = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -129,3 +129,17 @@ def test_runs_of_long_needles_tell_alike_texts_apart(spark):
     hays = spark.range(n).select(F.col("id").alias("hay_id"), F.format_string("n%08d", F.col("id") * 3001).alias("hay"))
     got = knowledge.containment(hays.toDF("needle_id", "needle"), hays)
     assert got.count() == n and got.where("needle_id <> hay_id").isEmpty()
+
+
+def test_a_row_holds_the_bits_of_many_roots(spark, monkeypatch):
+    rng = random.Random(13)
+    pairs = [(f"f{rng.randrange(200)}", f"f{rng.randrange(200)}") for _ in range(600)]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    names = [f"f{i}" for i in range(150)] + ["alone"]
+    roots = spark.createDataFrame([(r,) for r in names], "root string")
+    two = {r: {r} | {t for s, t in pairs if s in {r} | {t for s, t in pairs if s == r}} for r in names}
+    held, _, _, words = graph._reached_bits(edges, roots, 2)
+    assert len(words) == 3 and held.count() == held.select("id", "depth").distinct().count()
+    monkeypatch.setattr(graph, "BLOCK_WORDS", 1)  # three blocks of 64 roots
+    want = {(r, len(two[r] | {t for s, t in pairs if s == r}), len(two[r] | {t for s, t in pairs if s == r}) - 1) for r in names}
+    assert {tuple(r) for r in graph.reach_counts(edges, roots, 2).collect()} == want
