@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
-from factloom.operators.graph import frontier
+from factloom.operators.graph import frontier, strides
 from factloom.operators.windows import half_up
+from factloom.plans.ranges import number_rows
 from factloom.plans.shared import discard, materialize
 from factloom.registry import query
 
@@ -91,16 +92,36 @@ def method_reach(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """``calls(caller_file, caller_method, callee_file, callee_method)`` and ``roots(root, file,
     method)`` -> ``(root, file, method)`` of all that is called from a root, directly or not. A call
     without a callee's file ends there; the root itself is among them just if it is called back."""
-    pair = lambda side: F.struct(F.col(f"{side}_file").alias("file"), F.col(f"{side}_method").alias("method"))
-    steps = _resolved(calls).select(pair("caller").alias("node"), pair("callee").alias("next"))
-    starts = roots.select("root", F.struct("file", "method").alias("node")).join(steps, "node").select("root", F.col("next").alias("node"))
-    return frontier(starts, steps, ["root", "node"], None).select("root", "node.file", "node.method")
+    starts, steps, places = _numbered(calls, roots)
+    first = starts.join(steps.hint("merge"), "node").select("root", F.col("next").alias("node"))
+    return strides(first, steps).join(places.hint("merge"), "node").select("root", "file", "method")
 
 
-def traced_files(calls: DataFrame, roots: DataFrame) -> DataFrame:
+def _numbered(calls: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``starts(root, node)``, ``steps(node, next)`` and ``places(node, file, method)``, nodes as numbers."""
+    pair = lambda side: F.struct(F.col(f"{side}_file").alias("file"), F.col(f"{side}_method").alias("method")).alias("place")
+    pairs = _resolved(calls).select(pair("caller").alias("caller"), pair("callee").alias("callee")).distinct()
+    known = pairs.select(F.col("caller").alias("place")).union(pairs.select("callee")).union(roots.select(F.struct("file", "method"))).distinct()
+    named = materialize(number_rows(known, ["place"], "node"), "places")
+    ends = lambda place, node: named.select(F.col("place").alias(place), F.col("node").alias(node)).hint("merge")
+    steps = materialize(pairs.join(ends("caller", "node"), "caller").join(ends("callee", "next"), "callee").select("node", "next"), "steps")
+    starts = materialize(roots.select("root", F.struct("file", "method").alias("place")).join(ends("place", "node"), "place").select("root", "node").distinct(), "starts")
+    return starts, steps, named.select("node", "place.file", "place.method")
+
+
+def reached_files(calls: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(root, n)``: how many files calls from a root come to, its own included."""
+    starts, steps, places = _numbered(calls, roots)
+    files = places.groupBy("file").agg(F.min("node").alias("in_file")).hint("merge")
+    places = materialize(places.join(files, "file").select("node", "in_file"), "files")
+    return strides(starts, steps).join(places.hint("merge"), "node").select("root", "in_file").distinct().groupBy("root").agg(F.count("*").alias("n"))
+
+
+def traced_files(calls: DataFrame, roots: DataFrame, cap: int | None = None) -> DataFrame:
     """``roots(flow, file, method)`` -> ``(flow, file, place)``: the files that calls from the
     handler come to, in the order of discovery: nearer calls first, then by the place of the caller
-    among those found before, then by ``seq`` of the call. The root's file is in place 1."""
+    among those found before, then by ``seq`` of the call. The root's file is in place 1. A flow that
+    has ``cap`` files is traced no further: later ones come behind them."""
     steps = materialize(_resolved(calls).select(F.col("caller_file").alias("file"), F.col("caller_method").alias("method"), "callee_file", "callee_method", "seq"), "calls")
     front = materialize(roots.select("flow", "file", "method").distinct().select("*", F.lit(0).alias("rank"), F.lit(0).alias("depth")), "front")
     seen = front
@@ -115,6 +136,9 @@ def traced_files(calls: DataFrame, roots: DataFrame) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.union(front)
+        if cap is not None:
+            full = seen.groupBy("flow").agg(F.countDistinct("file").alias("n")).where(F.col("n") >= cap).select("flow")
+            front = front.join(full, "flow", "left_anti")
     first = seen.groupBy("flow", "file").agg(F.min(F.struct("depth", "rank")).alias("order"))
     return first.select("flow", "file", F.row_number().over(Window.partitionBy("flow").orderBy("order")).alias("place"))
 
@@ -124,15 +148,20 @@ def traced_steps(flows: DataFrame, calls: DataFrame, reached: DataFrame, cap: in
     first ``cap`` steps, weights rising to 1 in equal steps, and how many more there are. The steps
     are the traced files; where the trace ends at the root and the handler is not declared there,
     they are the root and what ``reached(root, path)`` has, by path."""
-    traced = materialize(traced_files(calls, flows.where("method is not null").select("flow", F.col("root").alias("file"), "method")), "traced")
-    sizes = traced.groupBy("flow").agg(F.count("*").alias("n"))
+    handlers = flows.where("method is not null").select("flow", F.col("root").alias("file"), "method")
+    traced = materialize(traced_files(calls, handlers, max(cap, 2)), "traced")
+    sizes = materialize(traced.groupBy("flow").agg(F.count("*").alias("n")), "sizes")
+    full = handlers.join(sizes.where(F.col("n") >= max(cap, 2)).select("flow"), "flow", "left_semi")
+    counted = materialize(reached_files(calls, full.withColumnRenamed("flow", "root")).withColumnRenamed("root", "flow"), "counted")
+    sizes = sizes.join(counted.withColumnRenamed("n", "whole"), "flow", "left").select("flow", F.coalesce("whole", "n").alias("n"))
     known = flows.join(sizes, "flow", "left").withColumn("traces", (F.coalesce("n", F.lit(0)) > 1) | (F.col("n").isNotNull() & F.coalesce("declared", F.lit(False))))
     exact = known.where("traces").select("flow").join(traced, "flow").select("flow", F.col("file").alias("path"), "place")
     loose = known.where("not traces").select("flow", "root")
     files = loose.select("flow", "root", F.col("root").alias("path")).union(loose.join(reached.select("root", "path").where("root <> path").distinct(), "root").select("flow", "root", "path"))
     w = Window.partitionBy("flow").orderBy(F.col("path") != F.col("root"), "path")
     steps = exact.union(files.select("flow", "path", F.row_number().over(w).alias("place")))
-    steps = steps.join(steps.groupBy("flow").agg(F.count("*").alias("n")), "flow").where(F.col("place") <= cap)
+    listed = steps.groupBy("flow").agg(F.count("*").alias("found"))
+    steps = steps.join(listed, "flow").join(counted, "flow", "left").withColumn("n", F.greatest("found", "n")).where(F.col("place") <= cap)
     kept = F.least("n", F.lit(cap))
     return steps.select("flow", "place", "path", half_up(F.col("place") / kept, 4).alias("weight"), (F.col("n") - kept).alias("dropped"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import catalog
-from factloom.operators import documents, graph, knowledge, lookups, resolve
+from factloom.operators import documents, graph, knowledge, lookups, resolve, traces
 from tests.test_oracles import rows
 
 KEYS = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -143,3 +143,24 @@ def test_a_row_holds_the_bits_of_many_roots(spark, monkeypatch):
     monkeypatch.setattr(graph, "BLOCK_WORDS", 1)  # three blocks of 64 roots
     want = {(r, len(two[r] | {t for s, t in pairs if s == r}), len(two[r] | {t for s, t in pairs if s == r}) - 1) for r in names}
     assert {tuple(r) for r in graph.reach_counts(edges, roots, 2).collect()} == want
+
+
+def test_long_ways_take_few_rounds(spark, monkeypatch):
+    """Two rings, one of them with a tail and a way back: as many rounds as their length would be hundreds."""
+    rounds = []
+    kept = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: rounds.append(name) or kept(df, name))
+    ways = [(i, (i + 1) % 300) for i in range(300)] + [(i, 1000 + (i + 1) % 45) for i in (7, 200)] + [(1000 + i, 1000 + (i + 1) % 45) for i in range(45)]
+    starts = spark.createDataFrame([("a", 3), ("b", 1011), ("c", 5000)], "root string, node long")
+    steps = spark.createDataFrame(ways, "node long, next long")
+    got = [tuple(r) for r in graph.strides(starts, steps).collect()]
+    small = {("b", 1000 + i) for i in range(45)} | {("a", 1000 + i) for i in range(45)} | {("c", 5000)}
+    assert set(got) == small | {("a", i) for i in range(300)} and len(got) == len(set(got)) and len(rounds) < 40
+
+
+def test_counts_of_long_traces(spark):
+    rows_ = [(f"F{i:03}", "m", f"F{i + 1:03}", "m", i) for i in range(120)] + [("F120", "m", "F000", "n", 120)]
+    calls = spark.createDataFrame(rows_, "caller_file string, caller_method string, callee_file string, callee_method string, seq long")
+    flows = spark.createDataFrame([("f", "F000", "m", True), ("g", "F117", "m", True)], "flow string, root string, method string, declared boolean")
+    got = sorted(tuple(r) for r in traces.traced_steps(flows, calls, spark.createDataFrame([], "root string, path string"), cap=3).select("flow", "place", "path", "dropped").collect())
+    assert got == [("f", 1, "F000", 118), ("f", 2, "F001", 118), ("f", 3, "F002", 118), ("g", 1, "F117", 2), ("g", 2, "F118", 2), ("g", 3, "F119", 2)]
