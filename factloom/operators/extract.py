@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
+from factloom.plans.shared import broadcast_if_small, materialize
 from factloom.registry import query
 
 # What marks each kind of table access.
@@ -16,7 +17,9 @@ ACCESSES = {"C": r"(?i)\binsert\s+into\s+(\w+)", "R": r"(?i)\b(?:from|join)\s+(\
 
 
 def sql_accesses(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """Earliest line of each (file, table, letter) for known tables; a delete is no read."""
+    """Earliest line of each (file, table, letter) for known tables; a delete is no read.
+
+    Accesses of one table are not brought together: they would be a task of their own."""
     text = F.col("line")
     reads = F.regexp_replace(text, r"(?i)\bdelete\s+from\b", "delete")
 
@@ -26,7 +29,8 @@ def sql_accesses(lines: DataFrame, known: DataFrame) -> DataFrame:
 
     found = F.concat(*[access(*a) for a in ACCESSES.items()])
     d = lines.select("file", "line_no", F.explode(found).alias("x")).select("file", "line_no", "x.letter", "x.tbl")
-    return d.join(known.select(F.lower("tbl").alias("tbl")), "tbl", "left_semi").groupBy("file", "tbl", "letter").agg(F.min("line_no").alias("line_no"))
+    known = materialize(known.select(F.lower("tbl").alias("tbl")).distinct(), "known")
+    return d.join(broadcast_if_small(known), "tbl", "left_semi").groupBy("file", "tbl", "letter").agg(F.min("line_no").alias("line_no"))
 
 
 def references(lines: DataFrame) -> DataFrame:
