@@ -39,7 +39,8 @@ def triage_missing(missing: DataFrame, routes: DataFrame, login_paths: tuple[str
     then the greatest share of own words, then an own list entry; if two are level there is none and it
     is a ``dead-menu``.
 
-    Routes meet addresses by folder and a word that is not generic, not by folder alone."""
+    Routes meet addresses by folder and a word that is not generic, not by folder alone; addresses
+    and routes that are alike in what is compared meet once."""
     c = F.col
     m = missing.select("id", "url", "reason", bare_path(c("url")).alias("path"))
     known = routes.select(bare_path(c("path")).alias("path")).distinct().withColumn("known", F.lit(True))
@@ -58,16 +59,19 @@ def triage_missing(missing: DataFrame, routes: DataFrame, login_paths: tuple[str
         .otherwise("unknown")
     )
     m = materialize(m.select("id", "path", kind.alias("class"), (c("exists") & ~c("url").startswith("scenario:")).alias("exists")), "missing")
-    asked = m.where("class = 'gone'").select("id", _dir(c("path")).alias("dir"), leaf_tokens(c("path")).alias("words"))
+    asked = materialize(m.where("class = 'gone'").select("id", _dir(c("path")).alias("dir"), leaf_tokens(c("path")).alias("words")), "asked")
     r = routes.select("seq", c("path").alias("route"), "handler", bare_path(c("path")).alias("p"))
-    r = r.select("seq", "route", "handler", _dir(c("p")).alias("dir"), F.array_distinct(leaf_tokens(c("p"))).alias("own"), F.regexp_replace(F.substring_index("p", "/", -1), r"\.[A-Za-z0-9]+$", "").rlike("(?i)list(view)?$").alias("listing"))
+    r = r.select("seq", "route", "handler", _dir(c("p")).alias("dir"), F.array_sort(F.array_distinct(leaf_tokens(c("p")))).alias("own"), F.regexp_replace(F.substring_index("p", "/", -1), r"\.[A-Za-z0-9]+$", "").rlike("(?i)list(view)?$").alias("listing"))
+    r = r.distinct().groupBy("dir", "own", "listing").agg(F.count("*").alias("level"), F.min(F.struct("seq", "route", "handler")).alias("x"))
     telling = lambda w: F.array_except(w, F.array(*map(F.lit, GENERIC_TOKENS)))
-    met = asked.select("id", "dir", "words", F.explode(telling(c("words"))).alias("word")).join(r.select("*", F.explode(telling(c("own"))).alias("word")), ["dir", "word"]).drop("word").distinct()
+    pairs = asked.select("dir", "words").distinct().select("dir", "words", F.explode(telling(c("words"))).alias("word")).join(r.select("*", F.explode(telling(c("own"))).alias("word")), ["dir", "word"]).drop("word").distinct()
     common = F.size(F.filter("words", lambda w: F.array_contains("own", w)))
-    met = met.select("id", "seq", "route", "handler", "listing", common.alias("common"), F.size("words").alias("n"), F.size("own").alias("k")).where(c("common") * 2 >= c("n"))
+    met = pairs.select("dir", "words", "level", "x", "listing", common.alias("common"), F.size("words").alias("n"), F.size("own").alias("k")).where(c("common") * 2 >= c("n"))
     rank = F.struct((c("common") / c("n")).alias("recall"), (c("common") / c("k")).alias("precision"), "listing")
-    best = met.withColumn("rank", rank).groupBy("id").agg(F.max("rank").alias("rank"))
-    top = met.withColumn("rank", rank).join(best, ["id", "rank"]).groupBy("id").agg(F.count("*").alias("level"), F.min(F.struct("seq", "route", "handler")).alias("x")).where("level = 1").select("id", "x.route", "x.handler")
+    ranks = met.groupBy("dir", "words", rank.alias("rank")).agg(F.sum("level").alias("level"), F.min("x").alias("x"))
+    best = ranks.groupBy("dir", "words").agg(F.max(F.struct("rank", "level", "x")).alias("best")).select("dir", "words", "best.*")
+    top = asked.distinct().join(best, ["dir", "words"]).groupBy("id", "rank").agg(F.sum("level").alias("level"), F.min("x").alias("x"))
+    top = top.groupBy("id").agg(F.max(F.struct("rank", "level", "x")).alias("best")).where("best.level = 1").select("id", "best.x.route", "best.x.handler")
     d = m.join(top, "id", "left")
     return d.select("id", F.when(c("class") == "gone", F.when(c("route").isNotNull(), "stale-url").otherwise("dead-menu")).otherwise(c("class")).alias("class"), "exists", "route", "handler")
 
