@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
 from factloom.operators.filters import basename
+from factloom.plans.shared import shuffled
 from factloom.registry import query
 
 
@@ -144,9 +145,14 @@ def incident_seeds(refs: DataFrame, files: DataFrame) -> DataFrame:
 def infer_keys(columns: DataFrame, keys: DataFrame) -> DataFrame:
     """A column with the name and type of just one other table's single key column; of two
     tables that point at each other the smaller name's direction stays."""
-    k = keys.select(F.lower("col").alias("name"), F.col("tbl").alias("parent"), F.col("type").alias("ptype"))
-    d = columns.withColumn("name", F.lower("col")).join(k, "name").where("tbl <> parent and type = ptype")
-    one = d.groupBy("tbl", "col").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).where("n = 1")
+    k = keys.select(F.lower("col").alias("name"), "type", F.col("tbl").alias("parent")).where("parent is not null")
+    # key columns of a name and type are counted, not met one by one; of two tables one is not the column's own
+    groups = k.groupBy("name", "type").agg(F.count("*").alias("all"), F.min("parent").alias("first"), F.max("parent").alias("last"))
+    own = k.groupBy("name", "type", F.col("parent").alias("tbl")).agg(F.count("*").alias("own"))
+    d = columns.where("tbl is not null").select("tbl", "col", F.lower("col").alias("name"), "type")
+    d = d.join(groups, ["name", "type"]).join(shuffled(own), ["name", "type", "tbl"], "left")
+    d = d.select("tbl", "col", (F.col("all") - F.coalesce("own", F.lit(0))).alias("n"), F.when(F.col("first") == F.col("tbl"), F.col("last")).otherwise(F.col("first")).alias("parent")).where("n > 0")
+    one = d.groupBy("tbl", "col").agg(F.sum("n").alias("n"), F.min("parent").alias("parent")).where("n = 1").drop("n")
     back = one.select(F.col("tbl").alias("parent"), F.col("parent").alias("tbl")).distinct().withColumn("mutual", F.lit(True))
     return one.join(back, ["tbl", "parent"], "left").where("mutual is null or tbl < parent").select("tbl", "col", "parent")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import catalog
-from factloom.operators import documents, graph, knowledge, lookups, resolve, traces
+from factloom.operators import documents, extract, graph, joins, knowledge, lookups, resolve, traces, triage
 from tests.test_oracles import rows
 
 KEYS = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -164,3 +164,41 @@ def test_counts_of_long_traces(spark):
     flows = spark.createDataFrame([("f", "F000", "m", True), ("g", "F117", "m", True)], "flow string, root string, method string, declared boolean")
     got = sorted(tuple(r) for r in traces.traced_steps(flows, calls, spark.createDataFrame([], "root string, path string"), cap=3).select("flow", "place", "path", "dropped").collect())
     assert got == [("f", 1, "F000", 118), ("f", 2, "F001", 118), ("f", 3, "F002", 118), ("g", 1, "F117", 2), ("g", 2, "F118", 2), ("g", 3, "F119", 2)]
+
+
+def test_keys_match_pairs(spark):
+    rng = random.Random(19)
+    some = lambda n: [(rng.choice(["a", "b", "c", "d", None]), rng.choice(["x", "X", "y", "z", "w", None]), rng.choice(["int", "text", None])) for _ in range(n)]
+    for n in (6, 12):
+        columns, keys = some(14), some(n)
+        make = lambda rows_: spark.createDataFrame(rows_, "tbl string, col string, type string")
+        met = {}
+        for tbl, col, kind in columns:
+            for parent, key, other in keys:
+                if None not in (tbl, col, kind, parent, key) and kind == other and col.lower() == key.lower() and tbl != parent:
+                    met.setdefault((tbl, col), []).append(parent)
+        one = {k: v[0] for k, v in met.items() if len(v) == 1}
+        pairs = {(tbl, parent) for (tbl, _), parent in one.items()}
+        want = {(tbl, col, parent) for (tbl, col), parent in one.items() if (parent, tbl) not in pairs or tbl < parent}
+        assert {tuple(r) for r in joins.infer_keys(make(columns), make(keys)).collect()} == want
+
+
+def test_rows_alike_do_not_meet_one_by_one(spark):
+    n = 20000
+    t = spark.range(n).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("tbl"), F.lit("k").alias("col"), F.lit("int").alias("type"))
+    start = time.time()
+    assert joins.infer_keys(t, t).count() == 0
+    missing = spark.range(n).select("id", F.concat(F.lit("/shop/orderList"), F.lit(".do?x="), F.col("id").cast("string")).alias("url"), F.lit("http-404").alias("reason"))
+    routes = spark.range(n).select(F.col("id").alias("seq"), F.lit("/shop/orderListView.do").alias("path"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("handler"))
+    found = triage.triage_missing(missing, routes)
+    assert found.where("class = 'dead-menu' and route is null").count() == n
+    found = triage.triage_missing(missing, routes.where("seq = 7"))
+    assert found.where("class = 'stale-url' and handler = 'h7'").count() == n
+    assert time.time() - start < 60
+
+
+def test_accesses_of_a_table_are_not_brought_together(spark):
+    lines = spark.createDataFrame([(1, 1, "select * from A join b"), (1, 2, "delete from a"), (2, 1, "insert into c"), (1, 3, "SELECT 1 FROM a")], "file long, line_no long, line string")
+    found = extract.sql_accesses(lines, spark.createDataFrame([("A",), ("a",), ("B",)], "tbl string"))
+    assert "hashpartitioning(tbl" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(1, "a", "R", 1), (1, "b", "R", 1), (1, "a", "D", 2)}
