@@ -1,4 +1,4 @@
-"""A graph kept up by change batches, in hash buckets."""
+"""A graph kept up by change batches."""
 
 from __future__ import annotations
 
@@ -7,112 +7,101 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from factloom.fixtures import Tables
-from factloom.plans.shared import delete_path, materialize, path_exists, scratch_dir
+from factloom.plans.shared import delete_path, folder_bytes, materialize, scratch_dir, shuffled
 from factloom.registry import query
 
-BUCKETS = 32
-#: Kinds of bucket and the column that deals rows to them; edges are kept by both ends, so that a
-#: batch finds those that touch a node without reading the others.
-DEALT = {"nodes": "file_path", "out": "source", "in": "target"}
+#: Fewest hash buckets in which rows meet the changes, and bytes of the base for each: a bucket is a task.
+BUCKETS, BUCKET_BYTES = 32, 16 << 20
+#: Files that the changes of a stream are dealt to; a file is a micro-batch.
+BATCHES = 8
 
 
 class GraphStore:
-    """Nodes and edges in ``BUCKETS`` buckets by hash, each bucket with a version of its own.
-
-    ``apply`` takes one batch: it reads the buckets that the changed files and the edges of their
-    nodes are in, and writes the next version of those alone. The versions in force are a small
-    table under the batch's number, written last; a batch that is run again after a failure starts
-    from the table before and overwrites what it wrote. Files that neither of the last two tables
-    names are deleted.
+    """Nodes and edges in a base, and beside it what the batches brought.
+
+    ``apply`` takes one batch: it writes the batch's changed files, new nodes and new edges under
+    its number and reads nothing of the graph, so that a batch costs what it holds. ``nodes`` and
+    ``edges`` merge: a node goes with the next change of its file, an edge with the next time that
+    a node at one of its ends goes. Once the batches hold more bytes than the base, the base is
+    written anew before the next batch, so that all writing grows with the input and the batches.
+    A batch that is run again after a failure overwrites what it wrote; the base before the last
+    and what went into it are deleted.
     """
 
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, buckets: int = BUCKETS, place: str | None = None):
         self.spark, self.buckets = spark, buckets
         self.place = place or f"{scratch_dir(spark)}/graph-{uuid.uuid4().hex}"
-        self.schemas = {"nodes": nodes.schema, "out": edges.schema, "in": edges.schema}
-        self.latest = -1
-        held = {kind: self._write(kind, nodes if kind == "nodes" else edges, -1, None) for kind in DEALT}
-        self._commit(-1, held)
-
-    def _bucket(self, column: str):
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
-
-    def _write(self, kind: str, rows: DataFrame, version: int, touched: set[int] | None) -> dict[int, int]:
-        """Writes a version of buckets; which of them have rows."""
-        path = f"{self.place}/{kind}/{version}"
-        rows = rows.select(*self.schemas[kind].names).withColumn("bucket", self._bucket(DEALT[kind]))
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        if rows.isEmpty():
-            return {}
-        full = self.spark.read.parquet(path).select(F.col("bucket").cast("int")).distinct().collect()
-        return {r[0]: version for r in full}
-
-    def _commit(self, number: int, held: dict[str, dict[int, int]]) -> None:
-        rows = [(kind, b, v) for kind, versions in held.items() for b, v in versions.items()]
-        self.spark.createDataFrame(rows, "kind string, bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.place}/table/{number}")
-        self.latest = number
-
-    def _table(self, number: int) -> dict[str, dict[int, int]]:
-        held: dict[str, dict[int, int]] = {kind: {} for kind in DEALT}
-        for r in self.spark.read.parquet(f"{self.place}/table/{number}").collect():
-            held[r["kind"]][r["bucket"]] = r["version"]
-        return held
-
-    def _read(self, kind: str, held: dict[int, int], wanted: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.place}/{kind}/{v}/bucket={b}" for b, v in sorted(held.items()) if wanted is None or b in wanted]
-        if not paths:
-            return self.spark.createDataFrame([], self.schemas[kind])
-        return self.spark.read.schema(self.schemas[kind]).parquet(*paths)
-
-    def _buckets_of(self, rows: DataFrame, column: str) -> set[int]:
-        return {r[0] for r in rows.select(self._bucket(column)).distinct().collect()}
+        self.schemas = {"nodes": nodes.schema, "edges": edges.schema, "changed": nodes.select("file_path").schema}
+        self.bases, self.latest, self.held = [], -1, {}
+        self._write_base(nodes, edges, -1)
+
+    def _write_base(self, nodes: DataFrame, edges: DataFrame, number: int) -> None:
+        for kind, rows in (("nodes", nodes), ("edges", edges)):
+            rows.select(*self.schemas[kind].names).write.mode("overwrite").parquet(f"{self.place}/base/{number}/{kind}")
+        self.bases.append(number)
+
+    def _path(self, kind: str, number: int) -> str:
+        return f"{self.place}/batches/{kind}/batch={number}"
+
+    def _dealt(self, rows: DataFrame, kind: str, key: str) -> DataFrame:
+        """What the rows of a kind meet, in so many buckets that one stays small."""
+        size = folder_bytes(self.spark, f"{self.place}/base/{self.bases[-1]}/{kind}")
+        return shuffled(rows.repartition(max(self.buckets, -(-size // BUCKET_BYTES)), key))
+
+    def _read(self, kind: str) -> DataFrame:
+        """Rows of the base and of the batches after it, under the number of what brought them."""
+        base, schema = self.bases[-1], self.schemas[kind]
+        paths = [self._path(kind, n) for n in range(base + 1, self.latest + 1)]
+        reader = self.spark.read.schema(StructType(schema.fields + [StructField("batch", IntegerType())]))
+        brought = reader.option("basePath", f"{self.place}/batches/{kind}").parquet(*paths) if paths else self.spark.createDataFrame([], schema).withColumn("batch", F.lit(base))
+        if kind == "changed":
+            return brought
+        return self.spark.read.schema(schema).parquet(f"{self.place}/base/{base}/{kind}").withColumn("batch", F.lit(base)).union(brought)
+
+    def _filed(self) -> DataFrame:
+        """Nodes of files, ``gone`` being the first batch after their own that changed the file."""
+        changes = self._read("changed").groupBy("file_path").agg(F.collect_set("batch").alias("batches"))
+        rows = self._read("nodes").where("file_path is not null").join(self._dealt(changes, "nodes", "file_path"), "file_path", "left")
+        return rows.withColumn("gone", F.array_min(F.filter("batches", lambda b: b > F.col("batch")))).drop("batches")
 
     def apply(self, changed: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, number: int) -> None:
         """One batch, numbered in order: nodes of the ``changed(file_path)`` files and the edges that touch
         them go, the new rows come."""
-        held = self._table(number - 1)
-        changed = materialize(changed.select("file_path").where("file_path is not null").distinct(), "changed")
-        new_nodes, new_edges = materialize(new_nodes, "new_nodes"), materialize(new_edges, "new_edges")
-        at = self._buckets_of(changed, "file_path")
-        gone = materialize(self._read("nodes", held["nodes"], at).join(changed, "file_path", "left_semi").select("id").distinct(), "gone")
-        touched = [self._read(kind, held[kind], self._buckets_of(gone, "id")).join(gone.withColumnRenamed("id", DEALT[kind]), DEALT[kind], "left_semi") for kind in ("out", "in")]
-        ends = materialize(touched[0].select("source", "target").union(touched[1].select("source", "target")).distinct(), "ends")
-        rewritten = {"nodes": at | self._buckets_of(new_nodes, "file_path")} | {kind: self._buckets_of(ends, DEALT[kind]) | self._buckets_of(new_edges, DEALT[kind]) for kind in ("out", "in")}
-        for kind, wanted in rewritten.items():
-            kept = self._read(kind, held[kind], wanted)
-            if kind == "nodes":
-                kept = kept.join(changed, "file_path", "left_anti").select(*self.schemas[kind].names).unionByName(new_nodes.select(*self.schemas[kind].names))
-            else:
-                for end in ("source", "target"):
-                    kept = kept.join(gone.withColumnRenamed("id", end), end, "left_anti")
-                kept = kept.select(*self.schemas[kind].names).unionByName(new_edges.select(*self.schemas[kind].names))
-            if not wanted:
-                continue
-            full = self._write(kind, kept, number, wanted)
-            held[kind] = {b: v for b, v in held[kind].items() if b not in wanted} | full
-        self._commit(number, held)
-        for d in (changed, new_nodes, new_edges, gone, ends):
-            delete_path(self.spark, d._shared_path)
-        self._prune(number)
-
-    def _prune(self, number: int) -> None:
-        """Buckets that the table two back names and the last two do not are deleted."""
-        if number < 1 or not path_exists(self.spark, f"{self.place}/table/{number - 2}"):
-            return  # a batch that is run again has done it
-        live = [self._table(number), self._table(number - 1)]
-        for kind, versions in self._table(number - 2).items():
-            for b, v in versions.items():
-                if not any(t[kind].get(b) == v for t in live):
-                    delete_path(self.spark, f"{self.place}/{kind}/{v}/bucket={b}")
-        delete_path(self.spark, f"{self.place}/table/{number - 2}")
+        self.latest = number - 1
+        if sum(b for n, b in self.held.items() if self.bases[-1] < n < number) > folder_bytes(self.spark, f"{self.place}/base/{self.bases[-1]}"):
+            self._compact()
+        rows = {"changed": changed.select("file_path").where("file_path is not null").distinct(), "nodes": new_nodes, "edges": new_edges}
+        for kind, df in rows.items():
+            df.select(*self.schemas[kind].names).write.mode("overwrite").parquet(self._path(kind, number))
+        self.held[number] = sum(folder_bytes(self.spark, self._path(kind, number)) for kind in rows)
+        self.latest = number
+
+    def _compact(self) -> None:
+        """The graph as it is becomes the base; the base before the last one goes with its batches."""
+        self._write_base(self.nodes(), self.edges(), self.latest)
+        if len(self.bases) > 2:
+            old = self.bases.pop(0)
+            delete_path(self.spark, f"{self.place}/base/{old}")
+            for n in range(old + 1, self.bases[0] + 1):
+                for kind in self.schemas:
+                    delete_path(self.spark, self._path(kind, n))
 
     def nodes(self) -> DataFrame:
-        return self._read("nodes", self._table(self.latest)["nodes"])
+        names = self.schemas["nodes"].names
+        # a node without a file stays, and meets no change
+        return self._read("nodes").where("file_path is null").select(*names).union(self._filed().where("gone is null").select(*names))
 
     def edges(self) -> DataFrame:
-        return self._read("out", self._table(self.latest)["out"])
+        if self.latest == self.bases[-1]:
+            return self._read("edges").select(*self.schemas["edges"].names)
+        gone = self._filed().where("gone is not null").groupBy("id").agg(F.max("gone").alias("gone"))
+        gone, rows = materialize(gone, "gone"), self._read("edges")
+        for end in ("source", "target"):
+            rows = rows.join(self._dealt(gone, "edges", "id"), (rows[end] == gone["id"]) & (gone["gone"] > rows["batch"]), "left_anti")
+        return rows.select(*self.schemas["edges"].names)
 
 
 def stream_graph(changes: DataFrame, nodes: DataFrame, edges: DataFrame, fresh: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], buckets: int = BUCKETS) -> GraphStore:
@@ -128,18 +117,17 @@ _STREAM = """ch AS (SELECT DISTINCT f.path, n.id FROM events JOIN files f ON f.s
 
 
 def _stream(t: Tables) -> GraphStore:
-    size = t.part.count()
-    changes = materialize(t.events.where("event_type = 'purchase'").select("event_id", (F.col("user_id") % size + 1).alias("seq")), "changes")
+    files = t.files.select("seq", F.col("path").alias("file_path"), "id")
+    changes = t.events.where("event_type = 'purchase'").select("event_id", (F.col("user_id") % t.part.count() + 1).alias("seq")).join(files, "seq")
+    changes = materialize(changes.repartition(BATCHES, "event_id"), "changes")
     stream = t.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(changes._shared_path)
-    nodes = t.nodes.select("id", "name", "file_path")
-    files = materialize(t.files.select("seq", "path", "id"), "files")
 
     def fresh(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        hit = batch.select("seq").distinct().join(files, "seq")
+        hit = batch.select("file_path", "id").distinct()
         new_edges = hit.select(F.col("id").alias("source"), F.lit("region:0").alias("target"), F.lit("fresh").alias("kind"))
-        return hit.select(F.col("path").alias("file_path")), hit.select("id", F.concat("path", F.lit("!")).alias("name"), F.col("path").alias("file_path")), new_edges
+        return hit.select("file_path"), hit.select("id", F.concat("file_path", F.lit("!")).alias("name"), "file_path"), new_edges
 
-    return stream_graph(stream, nodes, t.edges.select("source", "target", "kind"), fresh)
+    return stream_graph(stream, t.nodes.select("id", "name", "file_path"), t.edges.select("source", "target", "kind"), fresh)
 
 
 @query("t1_stream_nodes", f"{_STREAM} SELECT n.id, CASE WHEN ch.id IS NULL THEN name ELSE concat(ch.path, '!') END AS name, file_path FROM nodes n LEFT JOIN ch ON ch.id = n.id", ("files", "nodes"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalog
 from factloom.operators import documents, extract, graph, joins, knowledge, lookups, resolve, traces, triage
+from factloom.streaming import graphs
 from tests.test_oracles import rows
 
 KEYS = {"part": ["p_partkey"], "lineitem": ["l_partkey"]}
@@ -202,3 +203,23 @@ def test_accesses_of_a_table_are_not_brought_together(spark):
     found = extract.sql_accesses(lines, spark.createDataFrame([("A",), ("a",), ("B",)], "tbl string"))
     assert "hashpartitioning(tbl" not in plan(found)
     assert {tuple(r) for r in found.collect()} == {(1, "a", "R", 1), (1, "b", "R", 1), (1, "a", "D", 2)}
+
+
+def test_a_batch_reads_nothing_of_the_graph(spark):
+    """What a batch writes does not grow with the graph; a stream longer than its graph is merged into it."""
+    make = spark.createDataFrame
+    n = spark.range(3000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("f"), (F.col("id") % 50).cast("string")).alias("file_path"))
+    e = n.select(F.col("id").alias("source"), F.lit("n7").alias("target"))
+    store = graphs.GraphStore(spark, n, e, buckets=4)
+    store.apply(make([("f3",)], "file_path string"), make([("x", "f3")], n.schema), make([("x", "n8")], e.schema), 0)
+    assert store.edges().count() == 2941 and store.nodes().count() == 2941 and store.bases == [-1] and store.held[0] < 8000
+    store.held[0] = 1 << 30  # more than the base
+    store.apply(make([("f7",)], "file_path string"), make([("y", "f9")], n.schema), make([("y", "n9")], e.schema), 1)
+    assert store.bases == [-1, 0] and store.nodes().count() == 2882
+    assert {tuple(r) for r in store.edges().collect()} == {("x", "n8"), ("y", "n9")}
+
+
+def test_stream_on_copies(spark, copies):
+    made = copies(0, 200, 400)
+    for name in ("t1_stream_nodes", "t1_stream_edges"):
+        same(spark, made, name)
