@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalog
 from factloom.operators import documents, extract, graph, joins, knowledge, lookups, resolve, traces, triage
+from factloom.plans import shared
 from factloom.streaming import graphs
 from tests.test_oracles import rows
 
@@ -223,3 +224,41 @@ def test_stream_on_copies(spark, copies):
     made = copies(0, 200, 400)
     for name in ("t1_stream_nodes", "t1_stream_edges"):
         same(spark, made, name)
+
+
+def test_communities_go_over_numbers(spark, monkeypatch):
+    """Rounds carry numbers instead of ids, and choose as a plain search over the ids does."""
+    kept, stored = graph.materialize, {}
+    monkeypatch.setattr(graph, "materialize", lambda df, name: stored.setdefault(name, dict(df.dtypes)) and None or kept(df, name))
+    rng = random.Random(24)
+    pairs = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(150)}
+    edges = spark.createDataFrame(sorted(pairs), "source string, target string")
+    got = dict(tuple(r) for r in graph.communities(edges).collect())
+    assert "string" not in stored["undirected"].values() and "string" not in stored["labels"].values()
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    turn = {r.id: r.turn for r in spark.createDataFrame([(i,) for i in near], "id string").select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("turn")).collect()}
+    label, total = {i: i for i in near}, sum(map(len, near.values()))
+    for r in range(8):
+        mass = {}
+        for i, c in label.items():
+            mass[c] = mass.get(c, 0) + len(near[i])
+        moved = dict(label)
+        for i in near:
+            if turn[i] == r % 2:
+                links = [label[j] for j in near[i]]
+                gain = lambda c: round(links.count(c) - len(near[i]) * (mass[c] - (len(near[i]) if c == label[i] else 0)) / total, 9)  # noqa: B023, E731
+                moved[i] = min((-gain(c), c) for c in links)[1]
+        label = moved
+    assert got == label
+
+
+@pytest.mark.parametrize("name", ["a3_churn", "a5_module_rollup", "j13_first_candidate", "j15_suffixes", "j16_unique_name", "q3_requirement_diagnostics", "w8_step_weight", "x9_policy_items"])
+def test_a_task_holds_so_many_rows(spark, copies, monkeypatch, name):
+    monkeypatch.setattr(shared, "TASK_ROWS", 256)
+    made = copies(0, 200, 400)
+    assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES[name](spark, made[0]))
+    same(spark, made, name)
