@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
-from factloom.plans.shared import materialize
+from factloom.plans.shared import materialize, spread
 from factloom.registry import query
 
 # Words that are no table, columns of a policy table that say nothing of it, letters of mapper tags.
@@ -241,7 +241,7 @@ def _x3(t: Tables) -> DataFrame:
 def _x9(t: Tables) -> DataFrame:
     n = (F.col("loc") % 6).cast("string")
     text = F.concat(F.lit("# T\n- **Name**: is "), n, F.lit("\n\n| a | b | Confidence | d |\n|---|---|---|---|\n| **row"), n, F.lit("** | v1 | v2 | v3 |\n|  |  |  |  |\n| Next | x | y | |\n- name: again\n* plain : text "))
-    d = t.files.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_no"), "line")
+    d = spread(t.files.select(F.col("path").alias("file"), text.alias("text")), 10 * t.rows("part"), "file").select("file", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_no"), "line")
     return policy_items(d)
 
 
