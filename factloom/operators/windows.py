@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from factloom.fixtures import Tables
 from factloom.plans.ranges import sums_before
-from factloom.plans.shared import materialize
+from factloom.plans.shared import materialize, spread
 from factloom.registry import query
 
 
@@ -226,7 +226,7 @@ def _w7(t: Tables) -> DataFrame:
 
 @query("w8_step_weight", "SELECT sha, path, added, floor(row_number() OVER (PARTITION BY sha ORDER BY path, added, deleted) * 1e0 / count(*) OVER (PARTITION BY sha) * 10000 + 0.5) / 10000 AS weight FROM commits", ("commits",))
 def _w8(t: Tables) -> DataFrame:
-    return step_weight(t.commits, "sha", ["path", "added", "deleted"]).select("sha", "path", "added", "weight")
+    return step_weight(spread(t.commits, t.rows("lineitem"), "sha"), "sha", ["path", "added", "deleted"]).select("sha", "path", "added", "weight")
 
 
 @query(
