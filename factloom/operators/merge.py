@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.fixtures import Tables
 from factloom.functions import text as fn
 from factloom.operators.windows import keep_heaviest, keep_last
+from factloom.plans.shared import spread
 from factloom.registry import query
 
 
@@ -175,7 +176,9 @@ UNION SELECT req, 'needs-withdrawn' FROM l WHERE req IN (SELECT req FROM r WHERE
 def _q3(t: Tables) -> DataFrame:
     reqs = t.orders.select(F.col("o_orderkey").alias("req"), (F.col("o_orderstatus") == "F").alias("withdrawn"))
     reqs = reqs.union(t.orders.where("o_orderkey % 50 = 0").select("o_orderkey", F.lit(False)))
-    return requirement_diagnostics(reqs, t.lineitem.select(F.col("l_orderkey").alias("req"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("needs")).distinct())
+    reqs = spread(reqs, t.rows("lineitem"), "req")
+    links = spread(t.lineitem.select(F.col("l_orderkey").alias("req"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("needs")), t.rows("lineitem"), "req").distinct()
+    return requirement_diagnostics(reqs, links)
 
 
 @query(
