@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.fixtures import Tables
 from factloom.operators.filters import basename
-from factloom.plans.shared import shuffled
+from factloom.plans.shared import shuffled, spread
 from factloom.registry import query
 
 
@@ -118,19 +118,19 @@ def nearest_ancestor(paths: DataFrame, configs: DataFrame) -> DataFrame:
     return up.join(configs, "dir").groupBy("path").agg(F.max_by("config", "depth").alias("config"))
 
 
-def suffix_index(paths: DataFrame) -> DataFrame:
-    """Every suffix of whole segments of each path, without the extension."""
+def suffix_index(paths: DataFrame, rows: int = 0) -> DataFrame:
+    """Every suffix of whole segments of each path, without the extension; ``rows`` is about how many."""
     bare = F.split(F.regexp_replace("path", r"\.[^./]*$", ""), "/")
-    return paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(bare)), lambda i: F.array_join(F.slice(bare, i, F.size(bare)), "/"))).alias("suffix"))
+    return spread(paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(bare)), lambda i: F.array_join(F.slice(bare, i, F.size(bare)), "/"))).alias("suffix")), rows, "suffix")
 
 
-def unique_name(names: DataFrame, paths: DataFrame) -> DataFrame:
+def unique_name(names: DataFrame, paths: DataFrame, rows: int = 0) -> DataFrame:
     """A dotted name to the one file with that suffix, else to the one file with its
     last part, else NULL."""
-    s = suffix_index(paths)
+    s = suffix_index(paths, rows)
     one = s.groupBy("suffix").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n")
     d = names.select("name", F.replace("name", F.lit("."), F.lit("/")).alias("whole"), F.substring_index("name", ".", -1).alias("last")).distinct()
-    d = d.join(one.toDF("whole", "p1"), "whole", "left").join(one.toDF("last", "p2"), "last", "left")
+    d = d.join(shuffled(one.toDF("whole", "p1")), "whole", "left").join(shuffled(one.toDF("last", "p2")), "last", "left")
     return d.select("name", F.coalesce("p1", "p2").alias("path"))
 
 
@@ -353,7 +353,7 @@ SELECT name, coalesce(a.path, b.path) AS path FROM n LEFT JOIN o a ON a.suffix =
 def _j16(t: Tables) -> DataFrame:
     bare = F.regexp_replace("path", r"\.[^./]*$", "")
     names = t.files.select(F.replace(F.expr("substring(regexp_replace(path, '\\\\.[^./]*$', ''), 5)"), F.lit("/"), F.lit(".")).alias("name")).union(t.files.select(F.concat(F.lit("x."), F.substring_index(bare, "/", -1))))
-    return unique_name(names, t.files.select("path"))
+    return unique_name(names, t.files.select("path"), 4 * t.rows("part"))
 
 
 @query(
