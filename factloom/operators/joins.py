@@ -108,7 +108,7 @@ def route_links(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 def first_candidate(candidates: DataFrame, targets: DataFrame, owner: str, key: str) -> DataFrame:
     """``candidates(owner, pos, key)``: the first that exists in ``targets(key)`` wins."""
-    return candidates.join(targets.select(key).distinct(), key).groupBy(owner).agg(F.min_by(key, "pos").alias(key))
+    return candidates.join(shuffled(targets.select(key).distinct()), key).groupBy(owner).agg(F.min_by(key, "pos").alias(key))
 
 
 def nearest_ancestor(paths: DataFrame, configs: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ SELECT owner, arg_min(path, pos) AS path FROM c WHERE path IN (SELECT path FROM
 def _j13(t: Tables) -> DataFrame:
     stem = F.regexp_replace("path", r"\.[a-z]+$", "")
     c = t.files.select(F.col("seq").alias("owner"), F.posexplode(F.array(*[F.concat(stem, F.lit(e)) for e in (".sql", ".py", ".ts", ".java")])).alias("pos", "path"))
-    return first_candidate(c, t.files, "owner", "path")
+    return first_candidate(c, spread(t.files.select("path"), 4 * t.rows("part"), "path"), "owner", "path")
 
 
 @query(

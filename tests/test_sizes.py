@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import catalog
-from factloom.operators import documents, extract, graph, joins, knowledge, lookups, resolve, traces, triage
+from factloom.operators import documents, extract, graph, impacts, joins, knowledge, lookups, resolve, traces, triage
 from factloom.plans import shared
 from factloom.streaming import graphs
 from tests.test_oracles import rows
@@ -262,3 +262,14 @@ def test_a_task_holds_so_many_rows(spark, copies, monkeypatch, name):
     made = copies(0, 200, 400)
     assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES[name](spark, made[0]))
     same(spark, made, name)
+
+
+def test_suffixes_and_candidates_are_not_built_in_the_driver(spark):
+    make = spark.createDataFrame
+    files = make([("src/a/One.java",), ("src/b/Two.java",)], "path string")
+    found = joins.unique_name(make([("a.One",), ("x.Two",), ("gone",)], "name string"), files)
+    assert "BroadcastExchange" not in plan(found) and {tuple(r) for r in found.collect()} == {("a.One", "src/a/One.java"), ("x.Two", "src/b/Two.java"), ("gone", None)}
+    found = impacts.resolve_suffixes(make([("b.Two",), ("gone",)], "name string"), files)
+    assert "BroadcastExchange" not in plan(found) and {tuple(r) for r in found.collect()} == {("b.Two", 1, "src/b/Two.java"), ("gone", 0, None)}
+    found = joins.first_candidate(make([("o", 1, "x"), ("o", 2, "src/a/One.java")], "owner string, pos int, path string"), files, "owner", "path")
+    assert "BroadcastExchange" not in plan(found) and [tuple(r) for r in found.collect()] == [("o", "src/a/One.java")]
