@@ -14,7 +14,7 @@ from factloom.functions import text as fn
 from factloom.operators.joins import suffix_index
 from factloom.operators.knowledge import containment
 from factloom.operators.lookups import site_path
-from factloom.plans.shared import materialize
+from factloom.plans.shared import materialize, shuffled
 from factloom.registry import query
 
 # Kinds of edges to mappers, shortest names of topics and codes, words that are no table.
@@ -42,11 +42,11 @@ def action_handlers(actions: DataFrame, routes: DataFrame, context: str | None =
     return tried.join(first, "path").groupBy("id").agg(F.min_by(F.struct("handler", "file", "line"), "at").alias("x")).select("id", "x.*")
 
 
-def resolve_suffixes(names: DataFrame, paths: DataFrame) -> DataFrame:
+def resolve_suffixes(names: DataFrame, paths: DataFrame, rows: int = 0) -> DataFrame:
     """``names(name)`` with dots -> ``(name, n, path)``: how many files have the name as their path's last
     segments, without the extension, and the file if it is one."""
-    suffixes = suffix_index(paths).groupBy(F.col("suffix").alias("whole")).agg(F.count("*").alias("n"), F.min("path").alias("path"))
-    d = names.select("name", F.replace("name", F.lit("."), F.lit("/")).alias("whole")).distinct().join(suffixes, "whole", "left")
+    suffixes = suffix_index(paths, rows).groupBy(F.col("suffix").alias("whole")).agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    d = names.select("name", F.replace("name", F.lit("."), F.lit("/")).alias("whole")).distinct().join(shuffled(suffixes), "whole", "left")
     return d.select("name", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("path")).alias("path"))
 
 
@@ -220,7 +220,7 @@ def _j15(t: Tables) -> DataFrame:
     s = F.col("seq")
     name = F.when(s % 3 == 0, F.replace(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("/"), F.lit("."))).when(s % 3 == 1, fn.stem(F.col("path"))).otherwise(F.concat(F.lit("no."), s.cast("string")))
     names = t.files.where("seq % 2 = 0").select(name.alias("name"))
-    return resolve_suffixes(names.union(t.spark.createDataFrame([("Mapper",)], "name string")), t.files)
+    return resolve_suffixes(names.union(t.spark.createDataFrame([("Mapper",)], "name string")), t.files, 4 * t.rows("part"))
 
 
 @query(
