@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from factloom.fixtures import Tables
+from factloom.fixtures import Tables, named
 from factloom.plans.ranges import sums_before
-from factloom.plans.shared import materialize, spread
+from factloom.plans.shared import materialize, shuffled, spread
 from factloom.registry import query
 
 
@@ -115,9 +115,11 @@ def natural_key(text: Column) -> Column:
 
 def cap_neighbours(edges: DataFrame, most: int) -> DataFrame:
     """K4: of each node's neighbours the ``most`` of highest degree, then smallest id."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour")).union(edges.select("target", "source")).where("node <> neighbour").distinct()
+    pairs = edges.where("source <> target").select(F.greatest("source", "target").alias("node"), F.least("source", "target").alias("neighbour")).distinct()
+    pairs = materialize(pairs, "pairs")
+    both = pairs.union(pairs.select("neighbour", "node"))
     degree = both.groupBy(F.col("node").alias("neighbour")).agg(F.count("*").alias("degree"))
-    ranked = both.join(degree, "neighbour").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("degree"), "neighbour")))
+    ranked = both.join(shuffled(degree), "neighbour").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("degree"), "neighbour")))
     return ranked.where(F.col("place") <= most).select("node", "neighbour", "degree", "place")
 
 
@@ -259,7 +261,8 @@ r AS (SELECT b.node, neighbour, degree, row_number() OVER (PARTITION BY b.node O
     ("file_edges",),
 )
 def _k4(t: Tables) -> DataFrame:
-    return cap_neighbours(t.file_edges, 5)
+    edges, names = t.numbered_edges()
+    return named(cap_neighbours(edges, 5), names, "node", "neighbour")
 
 
 @query(

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import catalog
-from factloom.operators import documents, extract, graph, impacts, joins, knowledge, lookups, resolve, traces, triage
+from factloom.fixtures import Tables, named
+from factloom.operators import documents, extract, graph, impacts, joins, knowledge, lookups, resolve, traces, triage, windows
 from factloom.plans import shared
 from factloom.streaming import graphs
 from tests.test_oracles import rows
@@ -273,3 +274,22 @@ def test_suffixes_and_candidates_are_not_built_in_the_driver(spark):
     assert "BroadcastExchange" not in plan(found) and {tuple(r) for r in found.collect()} == {("b.Two", 1, "src/b/Two.java"), ("gone", 0, None)}
     found = joins.first_candidate(make([("o", 1, "x"), ("o", 2, "src/a/One.java")], "owner string, pos int, path string"), files, "owner", "path")
     assert "BroadcastExchange" not in plan(found) and [tuple(r) for r in found.collect()] == [("o", "src/a/One.java")]
+
+
+@pytest.mark.parametrize("module, operator, name", [(windows, "cap_neighbours", "k4_cap_neighbours")])
+def test_file_edges_go_by_numbers(spark, sf_dir, monkeypatch, module, operator, name):
+    seen, plain = [], getattr(module, operator)
+    monkeypatch.setattr(module, operator, lambda edges, *args, **more: seen.append(edges) or plain(edges, *args, **more))
+    got = catalog.QUERIES[name](spark, sf_dir)
+    assert {dict(seen[0].dtypes)[c] for c in ("source", "target")} == {"bigint"}
+    assert {t for _, t in got.drop("degree", "place").dtypes} == {"string"}
+
+
+def test_paths_of_repeated_files_have_one_number(spark, copies):
+    folder, _ = copies(0, 0)
+    edges, names = Tables(spark, folder).numbered_edges()
+    files, plain = Tables(spark, folder).files, Tables(spark, folder).file_edges
+    assert names.count() == names.select("path").distinct().count() == files.select("path").distinct().count()
+    back = named(edges, names, "source", "target").select("source", "target", "kind", "line", "seq")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, plain.select("source", "target", "kind", "line", "seq").collect()))
+    assert [r.path for r in names.orderBy("number").collect()] == sorted(r.path for r in names.collect())
