@@ -276,7 +276,7 @@ def test_suffixes_and_candidates_are_not_built_in_the_driver(spark):
     assert "BroadcastExchange" not in plan(found) and [tuple(r) for r in found.collect()] == [("o", "src/a/One.java")]
 
 
-@pytest.mark.parametrize("module, operator, name", [(windows, "cap_neighbours", "k4_cap_neighbours"), (graph, "key_component", "g12_key_component")])
+@pytest.mark.parametrize("module, operator, name", [(windows, "cap_neighbours", "k4_cap_neighbours"), (graph, "key_component", "g12_key_component"), (graph, "cyclic_core", "g9_cyclic_core")])
 def test_file_edges_go_by_numbers(spark, sf_dir, monkeypatch, module, operator, name):
     seen, plain = [], getattr(module, operator)
     monkeypatch.setattr(module, operator, lambda edges, *args, **more: seen.append(edges) or plain(edges, *args, **more))
