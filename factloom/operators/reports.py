@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.fixtures import Tables
+from factloom.fixtures import Tables, named
 from factloom.functions import text as fn
-from factloom.operators.aggregates import churn, fan
+from factloom.operators.aggregates import linked
 from factloom.operators.windows import grade_bands, half_up, mid_rank
+from factloom.plans.shared import materialize
 from factloom.registry import query
 
 # Weights of the risk score, bounds of the update decision and of growth.
@@ -121,10 +122,12 @@ SELECT path, score, CASE WHEN place < greatest(ceil(n * 0.1e0), 1) THEN 'high' W
     ("files", "commits", "file_edges"),
 )
 def _c1(t: Tables) -> DataFrame:
-    e = t.file_edges
+    edges, names = t.numbered_edges()
+    pairs = materialize(linked(edges, ("call", "import")), "pairs")
+    fan = lambda end, name: named(pairs.groupBy(F.col(end).alias("path")).agg(F.count("*").alias(name)), names, "path")
     p = t.files.select("path", F.when(F.col("domain") != "brand11", F.col("seq") % 17).alias("complexity"), "loc")
-    p = p.join(churn(t.commits).select("path", F.col("lines").alias("churn")), "path", "left")
-    p = p.join(fan(e, "target", "source", ("call", "import")).toDF("path", "fan_in"), "path", "left").join(fan(e, "source", "target", ("call", "import")).toDF("path", "fan_out"), "path", "left")
+    p = p.join(t.commits.groupBy("path").agg(F.sum(F.col("added") + F.col("deleted")).alias("churn")), "path", "left")
+    p = p.join(fan("target", "fan_in"), "path", "left").join(fan("source", "fan_out"), "path", "left")
     return risk(p).select("path", "score", "grade")
 
 

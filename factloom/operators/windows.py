@@ -27,8 +27,9 @@ def mid_rank(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
     Counts per metric and value come from one aggregation; what lies below is summed up in one
     pass over ranges of all metrics' values, so no window spans the whole table. Values are
-    compared as doubles.
+    compared as doubles. The table is stored, since it is read twice.
     """
+    df = materialize(df, "ranked")
     stacked = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     counts = df.select(F.explode(stacked).alias("x")).where("x.value is not null").groupBy("x.metric", "x.value").agg(F.count("*").alias("equal"))
     counts = sums_before(counts, ["metric", "value"], "equal", "before")
@@ -45,7 +46,9 @@ def mid_rank(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def grade_bands(df: DataFrame, score: str, high: float = 0.1, medium: float = 0.3) -> DataFrame:
     """``grade`` by place in descending score; ties share their first member's band, and at
-    least one row is high. A row without a score has no grade and takes no place."""
+    least one row is high. A row without a score has no grade and takes no place. The table is
+    stored, since it is read twice."""
+    df = materialize(df, "graded")
     counts = sums_before(df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("equal")), [F.negative(F.col(score))], "equal", "above")
     counts = counts.join(F.broadcast(counts.agg(F.sum("equal").alias("total"))))  # one row
     place, n = F.col("above"), F.col("total")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalog
 from factloom.fixtures import Tables, named
-from factloom.operators import documents, extract, graph, impacts, joins, knowledge, lookups, resolve, traces, triage, windows
+from factloom.operators import documents, extract, graph, impacts, joins, knowledge, lookups, reports, resolve, traces, triage, windows
 from factloom.plans import shared
 from factloom.streaming import graphs
 from tests.test_oracles import rows
@@ -293,3 +293,11 @@ def test_paths_of_repeated_files_have_one_number(spark, copies):
     back = named(edges, names, "source", "target").select("source", "target", "kind", "line", "seq")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, plain.select("source", "target", "kind", "line", "seq").collect()))
     assert [r.path for r in names.orderBy("number").collect()] == sorted(r.path for r in names.collect())
+
+
+def test_risk_reads_its_programs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: read.add(1) or x, "long").asNondeterministic()
+    programs = spark.range(200).select(F.concat(F.lit("p"), "id").alias("path"), count("id").alias("loc"), *[(F.col("id") % k).alias(m) for k, m in ((7, "complexity"), (5, "churn"), (11, "fan_in"), (3, "fan_out"))])
+    assert reports.risk(programs).count() == 200
+    assert read.value == 200
