@@ -56,6 +56,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.union(alone.select(F.col("node").alias("component"), "node"))
 
 
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether any node reaches itself. An edge from a node to itself and two nodes with edges both
+    ways are looked for first; only without them components are."""
+    e = edges.where("source is not null and target is not null")
+    if not e.where("source = target").isEmpty():
+        return True
+    ends = e.groupBy(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high"))
+    both = ends.agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b")
+    return not both.isEmpty() or not strong_components(e).isEmpty()
+
+
 def _trimmed(e: DataFrame, rounds: int = 3) -> DataFrame:
     """Edges between nodes that have both an incoming and an outgoing one, a few times over; long
     tails that remain only cost colours of their own."""

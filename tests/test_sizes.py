@@ -301,3 +301,13 @@ def test_risk_reads_its_programs_once(spark):
     programs = spark.range(200).select(F.concat(F.lit("p"), "id").alias("path"), count("id").alias("loc"), *[(F.col("id") % k).alias(m) for k, m in ((7, "complexity"), (5, "churn"), (11, "fan_in"), (3, "fan_out"))])
     assert reports.risk(programs).count() == 200
     assert read.value == 200
+
+
+def test_cycles_of_one_and_two_need_no_components(spark, monkeypatch):
+    edges = lambda *pairs: spark.createDataFrame(pairs, "source string, target string")
+    assert traces.has_cycle(edges(("a", "b"), ("b", "c"), ("c", "a")))
+    assert not traces.has_cycle(edges(("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("c", None), (None, "a")))
+    assert not traces.has_cycle(edges(("a", "b")).limit(0))
+    monkeypatch.setattr(traces, "strong_components", None)
+    assert traces.has_cycle(edges(("a", "b"), ("c", "c")))
+    assert traces.has_cycle(edges(("a", "b"), ("b", "c"), ("c", "b")))
