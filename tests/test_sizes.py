@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom import catalog
 from factloom.fixtures import Tables, named
 from factloom.operators import documents, extract, graph, impacts, joins, knowledge, lookups, measures, reports, resolve, traces, triage, windows
-from factloom.plans import shared
+from factloom.plans import shared, sweeps
 from factloom.streaming import graphs
 from tests.test_oracles import rows
 
@@ -320,3 +320,27 @@ def test_node_context_deals_by_the_edges(spark, sf_dir, monkeypatch):
     nodes, edges, _ = measures._nested(t)
     catalog.QUERIES["g6_node_context"](spark, sf_dir)
     assert {(edges.count(), ("source",)), (edges.count(), ("other",)), (nodes.select("id").distinct().count(), ("id",))} <= set(dealt)
+
+
+@pytest.mark.parametrize("name", ["g4_reach_counts"])
+def test_bits_of_roots_are_not_shuffled(spark, copies, monkeypatch, name):
+    made = copies(0, 200, 400, 600)
+    monkeypatch.setattr(graph, "_reached_bits", None)
+    assert len(same(spark, made, name)) > 1
+
+
+def test_sweeps_match_rounds(spark, monkeypatch):
+    rng = random.Random(31)
+    make = spark.createDataFrame
+    names = make([(i + 1, f"f{i:03}") for i in range(200)], "number long, path string")
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(500)] + [(0, 1)] * 9
+    by_name, by_number = make([(f"f{a:03}", f"f{b:03}") for a, b in pairs], "source string, target string"), make([(a + 1, b + 1) for a, b in pairs] + [(None, 3), (3, None)], "source long, target long")
+    roots = make([(f"f{i:03}",) for i in range(150)] + [("f007",), ("alone",), (None,)], "root string")
+    got = lambda d: sorted(map(tuple, d.collect()))
+    for words, cap in ((1, 3), (16, 12)):
+        monkeypatch.setattr(sweeps, "SWEEP_WORDS", words)
+        monkeypatch.setattr(sweeps, "BATCH_ROWS", 16 * words)
+        assert got(graph.reach_counts(by_number, roots, cap, names)) == got(graph.reach_counts(by_name, roots, cap))
+    # more nodes than a task has room for
+    monkeypatch.setattr(sweeps, "SWEEP_BYTES", 800)
+    assert got(graph.reach_counts(by_number, roots, 3, names)) == got(graph.reach_counts(by_name, roots, 3))
