@@ -322,7 +322,7 @@ def test_node_context_deals_by_the_edges(spark, sf_dir, monkeypatch):
     assert {(edges.count(), ("source",)), (edges.count(), ("other",)), (nodes.select("id").distinct().count(), ("id",))} <= set(dealt)
 
 
-@pytest.mark.parametrize("name", ["g4_reach_counts", "c19_hotspots"])
+@pytest.mark.parametrize("name", ["g4_reach_counts", "c19_hotspots", "c4_batch_report"])
 def test_bits_of_roots_are_not_shuffled(spark, copies, monkeypatch, name):
     made = copies(0, 200, 400, 600)
     monkeypatch.setattr(graph, "_reached_bits", None)
