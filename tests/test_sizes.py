@@ -322,7 +322,7 @@ def test_node_context_deals_by_the_edges(spark, sf_dir, monkeypatch):
     assert {(edges.count(), ("source",)), (edges.count(), ("other",)), (nodes.select("id").distinct().count(), ("id",))} <= set(dealt)
 
 
-@pytest.mark.parametrize("name", ["g4_reach_counts", "c19_hotspots", "c4_batch_report", "g2_slices"])
+@pytest.mark.parametrize("name", ["g4_reach_counts", "c19_hotspots", "c4_batch_report", "g2_slices", "g2_ownership"])
 def test_bits_of_roots_are_not_shuffled(spark, copies, monkeypatch, name):
     made = copies(0, 200, 400, 600)
     monkeypatch.setattr(graph, "_reached_bits", None)
@@ -343,6 +343,8 @@ def test_sweeps_match_rounds(spark, monkeypatch):
         assert got(graph.reach_counts(by_number, roots, cap, names)) == got(graph.reach_counts(by_name, roots, cap))
         pairs_ = got(graph.slices(by_number, roots, cap, names))
         assert pairs_ == got(graph.slices(by_name, roots, cap)) and len(pairs_) == len(set(pairs_))
+        files = make([(f"f{i:03}",) for i in range(200)] + [("f003",), ("other",), (None,)], "path string")
+        assert got(graph.owned(files, by_number, roots, names, cap).fillna("-")) == got(graph.ownership(files, graph.slices(by_name, roots, cap)).fillna("-"))
     # more nodes than a task has room for
     monkeypatch.setattr(sweeps, "SWEEP_BYTES", 800)
     assert got(graph.reach_counts(by_number, roots, 3, names)) == got(graph.reach_counts(by_name, roots, 3))
