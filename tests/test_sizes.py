@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom import catalog
 from factloom.fixtures import Tables, named
-from factloom.operators import documents, extract, graph, impacts, joins, knowledge, lookups, measures, reports, resolve, traces, triage, windows
+from factloom.operators import batches, documents, extract, graph, impacts, joins, knowledge, lookups, measures, reports, resolve, traces, triage, windows
 from factloom.plans import shared, sweeps
 from factloom.streaming import graphs
 from tests.test_oracles import rows
@@ -348,3 +348,22 @@ def test_sweeps_match_rounds(spark, monkeypatch):
     # more nodes than a task has room for
     monkeypatch.setattr(sweeps, "SWEEP_BYTES", 800)
     assert got(graph.reach_counts(by_number, roots, 3, names)) == got(graph.reach_counts(by_name, roots, 3))
+
+
+def test_batches_merge_edges_by_ids(spark):
+    make = spark.createDataFrame
+    nodes = make([(1, "file:file:a", "file", "a", "a", "LOW"), (2, "b", "class", "B", "b", "odd"), (3, "file:a", "file", "z", "a", None), (4, "", "file", "n", None, None), (5, None, "widget", "n", None, None)], "seq long, id string, type string, name string, path string, complexity string")
+    edges = make([(1, "file:file:a", "b", "call", "Both", "0.2"), (2, "file:a", "class:b:B", "call", "mutual", "0.7"), (3, "b", "b", "call", None, "x"), (4, None, "b", "call", None, None), (5, "b", "gone", "call", None, None), (6, "gone", None, "call", None, None)], "seq long, source string, target string, type string, direction string, weight string")
+    last, out, report = batches.merge_batches(nodes, edges)
+    assert {tuple(r) for r in last.collect()} == {("file:a", "file", "z", "a", "moderate"), ("class:b:B", "class", "B", "b", "moderate")}
+    assert {tuple(r) for r in out.collect()} == {("file:a", "class:b:B", "call", "bidirectional", 0.7), ("class:b:B", "class:b:B", "call", "forward", None)}
+    got = {(r.part, r.pattern): r.n for r in report.collect()}
+    assert [got[k] for k in (("fixed", "edge references rewritten"), ("open", "edge without source"), ("open", "edge without target"), ("fixed", "duplicate node ids removed"), ("open", "node without id"))] == [4, 2, 1, 1, 2]
+
+
+@pytest.mark.parametrize("name", ["u2_batch_edges"])
+def test_batches_store_no_edges_by_ids(spark, copies, monkeypatch, name):
+    kept, stored = batches.materialize, {}
+    monkeypatch.setattr(batches, "materialize", lambda df, name: stored.setdefault(name, set(df.columns)) and None or kept(df, name))
+    same(spark, copies(0, 200), name)
+    assert not any({"source", "target"} & columns for columns in stored.values()) and (stored or name == "u2_batch_nodes")
