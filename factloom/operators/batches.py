@@ -164,7 +164,7 @@ def _batch(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("u2_batch_nodes", f"{_BATCH} SELECT id, x.type, x.name, x.path, x.complexity FROM la", ("files", "file_edges"))
 def _u2a(t: Tables) -> DataFrame:
-    return last_nodes(materialize(corrected(_batch(t)[0]), "batch_nodes"))
+    return last_nodes(corrected(_batch(t)[0]))
 
 
 @query("u2_batch_edges", f"{_BATCH} SELECT * FROM ou", ("files", "file_edges"))
