@@ -361,7 +361,7 @@ def test_batches_merge_edges_by_ids(spark):
     assert [got[k] for k in (("fixed", "edge references rewritten"), ("open", "edge without source"), ("open", "edge without target"), ("fixed", "duplicate node ids removed"), ("open", "node without id"))] == [4, 2, 1, 1, 2]
 
 
-@pytest.mark.parametrize("name", ["u2_batch_edges", "u2_batch_nodes"])
+@pytest.mark.parametrize("name", ["u2_batch_edges", "u2_batch_nodes", "u2_batch_report"])
 def test_batches_store_no_edges_by_ids(spark, copies, monkeypatch, name):
     kept, stored = batches.materialize, {}
     monkeypatch.setattr(batches, "materialize", lambda df, name: stored.setdefault(name, set(df.columns)) and None or kept(df, name))
