@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from factloom.fixtures import Tables
 from factloom.operators.graph import frontier, strides
 from factloom.operators.windows import half_up
+from factloom.plans import walks
 from factloom.plans.ranges import number_rows
-from factloom.plans.shared import discard, materialize
+from factloom.plans.shared import discard, materialize, shuffled
 from factloom.registry import query
 
 # Fixed value: steps of a flow that are kept.
@@ -104,6 +105,9 @@ def method_reach(calls: DataFrame, roots: DataFrame) -> DataFrame:
     method)`` -> ``(root, file, method)`` of all that is called from a root, directly or not. A call
     without a callee's file ends there; the root itself is among them just if it is called back."""
     starts, steps, places = _numbered(calls, roots)
+    size = places.count() + 1
+    if walks.walkable(steps, size, steps.count()):
+        return walks.called(walks.Walks(steps, starts, size)).join(shuffled(places), "node").select("root", "file", "method")
     first = starts.join(steps.hint("merge"), "node").select("root", F.col("next").alias("node"))
     return strides(first, steps).join(places.hint("merge"), "node").select("root", "file", "method")
 
