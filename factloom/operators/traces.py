@@ -112,14 +112,16 @@ def method_reach(calls: DataFrame, roots: DataFrame) -> DataFrame:
     return strides(first, steps).join(places.hint("merge"), "node").select("root", "file", "method")
 
 
-def _numbered(calls: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``starts(root, node)``, ``steps(node, next)`` and ``places(node, file, method)``, nodes as numbers."""
+def _numbered(calls: DataFrame, roots: DataFrame, ordered: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``starts(root, node)``, ``steps(node, next)``, with the least ``seq`` if ``ordered``, and ``places(node, file,
+    method)``, nodes as numbers in order of file and method."""
     pair = lambda side: F.struct(F.col(f"{side}_file").alias("file"), F.col(f"{side}_method").alias("method")).alias("place")
-    pairs = _resolved(calls).select(pair("caller").alias("caller"), pair("callee").alias("callee")).distinct()
+    pairs = _resolved(calls).select(pair("caller").alias("caller"), pair("callee").alias("callee"), *(["seq"] if ordered else [])).groupBy("caller", "callee")
+    pairs = pairs.agg(F.min("seq").alias("seq")) if ordered else pairs.agg(F.count("*").alias("n")).drop("n")
     known = pairs.select(F.col("caller").alias("place")).union(pairs.select("callee")).union(roots.select(F.struct("file", "method"))).distinct()
     named = materialize(number_rows(known, ["place"], "node"), "places")
     ends = lambda place, node: named.select(F.col("place").alias(place), F.col("node").alias(node)).hint("merge")
-    steps = materialize(pairs.join(ends("caller", "node"), "caller").join(ends("callee", "next"), "callee").select("node", "next"), "steps")
+    steps = materialize(pairs.join(ends("caller", "node"), "caller").join(ends("callee", "next"), "callee").select("node", "next", *(["seq"] if ordered else [])), "steps")
     starts = materialize(roots.select("root", F.struct("file", "method").alias("place")).join(ends("place", "node"), "place").select("root", "node").distinct(), "starts")
     return starts, steps, named.select("node", "place.file", "place.method")
 
@@ -158,17 +160,39 @@ def traced_files(calls: DataFrame, roots: DataFrame, cap: int | None = None) ->
     return first.select("flow", "file", F.row_number().over(Window.partitionBy("flow").orderBy("order")).alias("place"))
 
 
+def _searched(calls: DataFrame, handlers: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """``traced_files`` and, of flows that met the cap, ``(flow, n)``, how many there are in all."""
+    traced = materialize(traced_files(calls, handlers, cap), "traced")
+    full = traced.groupBy("flow").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("flow")
+    counted = reached_files(calls, handlers.join(full, "flow", "left_semi").withColumnRenamed("flow", "root"))
+    return traced, materialize(counted.withColumnRenamed("root", "flow"), "counted")
+
+
+def _walked(calls: DataFrame, handlers: DataFrame, cap: int) -> tuple[DataFrame, DataFrame] | None:
+    """The same by ``walks``, counts being of all flows; None where a task has no room for the calls, or a flow has
+    several handlers."""
+    once = handlers.distinct()
+    if not once.groupBy("flow").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return None
+    starts, steps, places = _numbered(calls, once.withColumnRenamed("flow", "root"), True)
+    size = places.count() + 1
+    if not walks.walkable(steps, size, steps.count()):
+        return None
+    file_of = places.join(shuffled(places.groupBy("file").agg(F.min("node").alias("in_file"))), "file").select("node", F.col("in_file").alias("file"))
+    found = materialize(walks.traced(walks.Walks(steps, starts, size), file_of, cap), "traced")
+    traced = found.join(shuffled(places), "node").select(F.col("root").alias("flow"), "file", "place")
+    return materialize(traced, "traced"), found.where("place = 1").select(F.col("root").alias("flow"), F.col("whole").cast("long").alias("n"))
+
+
 def traced_steps(flows: DataFrame, calls: DataFrame, reached: DataFrame, cap: int = STEP_CAP) -> DataFrame:
     """``flows(flow, root, method, declared)`` -> ``(flow, place, path, weight, dropped)``: a flow's
     first ``cap`` steps, weights rising to 1 in equal steps, and how many more there are. The steps
     are the traced files; where the trace ends at the root and the handler is not declared there,
     they are the root and what ``reached(root, path)`` has, by path."""
     handlers = flows.where("method is not null").select("flow", F.col("root").alias("file"), "method")
-    traced = materialize(traced_files(calls, handlers, max(cap, 2)), "traced")
-    sizes = materialize(traced.groupBy("flow").agg(F.count("*").alias("n")), "sizes")
-    full = handlers.join(sizes.where(F.col("n") >= max(cap, 2)).select("flow"), "flow", "left_semi")
-    counted = materialize(reached_files(calls, full.withColumnRenamed("flow", "root")).withColumnRenamed("root", "flow"), "counted")
-    sizes = sizes.join(counted.withColumnRenamed("n", "whole"), "flow", "left").select("flow", F.coalesce("whole", "n").alias("n"))
+    traced, counted = _walked(calls, handlers, max(cap, 2)) or _searched(calls, handlers, max(cap, 2))
+    sizes = traced.groupBy("flow").agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.join(counted.withColumnRenamed("n", "whole"), "flow", "left").select("flow", F.coalesce("whole", "n").alias("n")), "sizes")
     known = flows.join(sizes, "flow", "left").withColumn("traces", (F.coalesce("n", F.lit(0)) > 1) | (F.col("n").isNotNull() & F.coalesce("declared", F.lit(False))))
     exact = known.where("traces").select("flow").join(traced, "flow").select("flow", F.col("file").alias("path"), "place")
     loose = known.where("not traces").select("flow", "root")

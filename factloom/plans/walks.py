@@ -83,15 +83,14 @@ def _graph(files: list[str], size: int) -> tuple[memoryview, memoryview]:
     return memoryview(np.cumsum(count, dtype="i4")), memoryview(np.concatenate(to))
 
 
-def _further(ptr: memoryview, nxt: memoryview, mark: bytearray, nodes: list[int], found: array) -> None:
-    """Adds to ``found`` what is reached from ``nodes`` and not marked, and marks it."""
+def _further(ptr: memoryview, nxt: memoryview, mark: bytearray, nodes: list[int], found: array, at: int = 0) -> None:
+    """Adds to ``found`` what is reached from ``nodes``, or from place ``at`` of ``found`` on, and not marked, and marks it."""
     for node in nodes:
         for i in range(ptr[node], ptr[node + 1]):
             to = nxt[i]
             if not mark[to]:
                 mark[to] = 1
                 found.append(to)
-    at = 0
     while at < len(found):
         node = found[at]
         at += 1
@@ -150,9 +149,10 @@ def traced(walks: Walks, file_of: DataFrame, cap: int | None) -> DataFrame:
                                 known.add(of[to])
                                 first.append(to)
                 start, end = end, len(found)
+            whole = len(known)
             if start < end:  # the cap was met
-                _further(ptr, nxt, mark, [], found)
-            whole = len(np.unique(np.frombuffer(of, "i4")[np.frombuffer(found, "i4")])) if start < end else len(known)
+                _further(ptr, nxt, mark, [], found, start)
+                whole = len(np.unique(np.frombuffer(of, "i4")[np.frombuffer(found, "i4")]))
             for node in found:
                 mark[node] = 0
             return first, array("i", range(1, len(first) + 1)), array("i", [whole] * len(first))

@@ -378,11 +378,15 @@ def test_walks_match_strides(spark, monkeypatch):
     monkeypatch.setattr(walks, "PAIRS", 64)
     monkeypatch.setattr(walks, "TASK_ROOTS", 8)
     got = sorted(map(tuple, traces.method_reach(calls, roots).collect()))
+    flows = make([(f"r{i}", f"F{i:02}", f"m{i % 2}", i % 3 > 0) for i in range(30)] + [("none", "G", "m0", False), ("null", "G", None, True)], "flow string, root string, method string, declared boolean")
+    reached = make([("G", "F07"), ("F03", "F04")], "root string, path string")
+    steps = [sorted(map(tuple, traces.traced_steps(flows, calls, reached, cap).collect())) for cap in (3, 8)]
     monkeypatch.setattr(walks, "walkable", lambda *_: False)
+    assert steps == [sorted(map(tuple, traces.traced_steps(flows, calls, reached, cap).collect())) for cap in (3, 8)]
     assert got == sorted(map(tuple, traces.method_reach(calls, roots).collect())) and len(got) > 64
 
 
-@pytest.mark.parametrize("name", ["g3_method_pairs"])
+@pytest.mark.parametrize("name", ["g3_method_pairs", "g13_traced_steps"])
 def test_calls_are_walked_without_rounds(spark, copies, monkeypatch, name):
     made = copies(0, 200, 400)
     monkeypatch.setattr(traces, "strides", None)
