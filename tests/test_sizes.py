@@ -386,7 +386,7 @@ def test_walks_match_strides(spark, monkeypatch):
     assert got == sorted(map(tuple, traces.method_reach(calls, roots).collect())) and len(got) > 64
 
 
-@pytest.mark.parametrize("name", ["g3_method_pairs", "g13_traced_steps"])
+@pytest.mark.parametrize("name", ["g3_method_pairs", "g13_traced_steps", "g13_step_calls"])
 def test_calls_are_walked_without_rounds(spark, copies, monkeypatch, name):
     made = copies(0, 200, 400)
     monkeypatch.setattr(traces, "strides", None)
